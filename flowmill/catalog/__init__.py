@@ -1,4 +1,4 @@
 """Every operator as a named query over the test tables, with its reference SQL."""
 
-from flowmill.catalog import base  # noqa: F401
+from flowmill.catalog import base, rows  # noqa: F401
 from flowmill.catalog.registry import ORACLES, QUERIES  # noqa: F401

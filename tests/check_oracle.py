@@ -18,6 +18,9 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "pages benchmark labels conversations").split()
 
 
+TYPES = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     for t in TABLES:
@@ -45,6 +48,10 @@ def compare(spark: SparkSession, con, sf_dir: str, name: str) -> str | None:
     sql_names = [d[0] for d in rel.description]
     if sorted(sql_names) != names:
         return f"columns {names} != {sorted(sql_names)}"
+    types = {d[0]: str(d[1]) for d in rel.description}
+    off = [(c, t, types[c]) for c, t in df.dtypes if TYPES.get(t) != types[c]]
+    if off:
+        return f"types differ: {off}"
     order = [sql_names.index(c) for c in names]
     want = sorted(tuple(cell(row[i]) for i in order) for row in rel.fetchall())
     if len(got) != len(want):
