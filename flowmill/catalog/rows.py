@@ -306,11 +306,10 @@ loss AS (SELECT {SPLIT_SQL} AS split, -ln(greatest(powers[attack + 1] / list_sum
   CASE WHEN {ARGMAX} <> attack THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS wrong FROM p)
 SELECT split, {r('avg(loss)', 'mlogloss')}, {r('avg(wrong)', 'merror')}, count(*) AS n_rows FROM loss GROUP BY split""")
 def log_loss(spark, sf_dir):
-    df = traffic(spark, sf_dir).select(
-        job.split_of().alias("split"), F.col("attack").alias("label"),
-        scalar.softmax(scores.concept_scores()).alias("probability"),
+    scored = traffic(spark, sf_dir).select(
+        job.split_of().alias("split"), F.col("attack").alias("label"), scores.concept_scores().alias("scores")
     )
-    return rounded(metrics.log_loss(df, by=("split",)))
+    return rounded(metrics.log_loss(scored.withColumn("probability", scalar.softmax("scores")), by=("split",)))
 
 
 # ---- runs -----------------------------------------------------------------------

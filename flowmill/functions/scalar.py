@@ -37,9 +37,13 @@ def above_half(probability: Column) -> Column:
     return (probability > 0.5).cast("long")
 
 
-def softmax(scores: Column) -> Column:
-    """Class probabilities of raw scores, shifted by the maximum so that exp cannot overflow."""
-    powers = F.transform(scores, lambda x: F.exp(x - F.array_max(scores)))
+def softmax(column: str) -> Column:
+    """Class probabilities of an array column of raw scores.
+
+    Scores are shifted by their maximum so that exp cannot overflow. The column should be
+    stored or projected first: each use inside the array functions would compute it again.
+    """
+    powers = F.transform(column, lambda x: F.exp(x - F.array_max(column)))
     total = F.aggregate(powers, F.lit(0.0), lambda a, x: a + x)
     return F.transform(powers, lambda x: x / total)
 

@@ -15,13 +15,11 @@ from flowmill.operators.sampling import assign_variant
 from flowmill.sources.schemas import FEATURES, NUM_CLASSES, TARGET
 
 
-def _probability(scored: DataFrame) -> Column:
+def _class_weights(scored: DataFrame) -> Column:
+    """One non-negative number per class; probabilities once scaled to sum to 1."""
     if "probability" in scored.columns:
         return vector_to_array("probability")
-    # one margin per class: each class's own probability, scaled to sum to 1
-    own = [vector_to_array(f"probability_{k}")[1] for k in range(NUM_CLASSES)]
-    total = F.greatest(reduce(lambda a, b: a + b, own), F.lit(1e-300))
-    return F.array(*[p / total for p in own])
+    return F.array(*[vector_to_array(f"probability_{k}")[1] for k in range(NUM_CLASSES)])
 
 
 def score(
@@ -34,11 +32,14 @@ def score(
     """
     ready = features.fillna(0.0, subset=list(FEATURES))
     scored = model.transform(ready)
-    with_p = scored.withColumn("_p", _probability(scored))
-    return with_p.select(
+    # the weights get a projection of their own: they are used several times below
+    weighted = scored.select(*features.columns, _class_weights(scored).alias("_weights"))
+    total = F.greatest(F.aggregate("_weights", F.lit(0.0), lambda a, w: a + w), F.lit(1e-300))
+    summed = weighted.withColumn("_total", total)
+    return summed.select(
         *features.columns,
-        scalar.argmax(F.col("_p")).alias("prediction"),
-        F.col("_p").alias("probability"),
+        scalar.argmax(F.col("_weights")).alias("prediction"),
+        F.transform("_weights", lambda w: w / F.col("_total")).alias("probability"),
         F.lit(variant).alias("variant"),
         F.lit(framework).alias("framework"),
         F.lit(model_key or f"model_{framework}").alias("model_key"),

@@ -32,7 +32,7 @@ def _assembler() -> VectorAssembler:
     return VectorAssembler(inputCols=list(FEATURES), outputCol="features")
 
 
-def fit_trees(train: DataFrame, target: str = TARGET, seed: int = 42, parallel: int = 3, **params) -> PipelineModel:
+def fit_trees(train: DataFrame, target: str = TARGET, seed: int = 42, parallel: int = NUM_CLASSES, **params) -> PipelineModel:
     """Boosted trees, one ensemble per class, fitted side by side on one cached table.
 
     ``eta``, ``max_depth``, ``rounds``, ``min_child_weight`` and ``subsample`` are the step
@@ -46,11 +46,10 @@ def fit_trees(train: DataFrame, target: str = TARGET, seed: int = 42, parallel:
 
     def fit_class(k: int):
         gbt = GBTClassifier(
-            labelCol=f"is_{k}", featuresCol="features", predictionCol=f"prediction_{k}",
-            rawPredictionCol=f"margin_{k}", probabilityCol=f"probability_{k}",
-            maxIter=p["rounds"], maxDepth=p["max_depth"], stepSize=p["eta"],
+            labelCol=f"is_{k}", featuresCol="features", predictionCol=f"prediction_{k}", maxIter=p["rounds"],
+            maxDepth=p["max_depth"], stepSize=p["eta"],
             minInstancesPerNode=p["min_child_weight"], subsamplingRate=p["subsample"], seed=seed,
-        )
+        ).setRawPredictionCol(f"margin_{k}").setProbabilityCol(f"probability_{k}")
         return gbt.fit(rows.withColumn(f"is_{k}", (F.col("label") == k).cast("double")))
 
     try:
