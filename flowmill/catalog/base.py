@@ -208,8 +208,8 @@ def clip(spark, sf_dir):
 powers AS (SELECT event_id, list_transform(scores, lambda x: exp(x - list_max(scores))) AS p FROM concept)
 SELECT event_id, {', '.join(r(f'p[{k + 1}] / list_sum(p)', f'p{k}') for k in range(6))} FROM powers""")
 def softmax(spark, sf_dir):
-    scored = traffic(spark, sf_dir).select("event_id", scores.concept_scores().alias("scores"))
-    df = scored.select("event_id", scalar.softmax("scores").alias("p"))
+    scored = traffic(spark, sf_dir).select("event_id", F.array(*scores.concept_scores()).alias("scores"))
+    df = scalar.with_softmax(scored, "scores", "p")
     return rounded(df.select("event_id", *[F.col("p")[k].alias(f"p{k}") for k in range(6)]))
 
 

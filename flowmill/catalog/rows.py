@@ -307,9 +307,9 @@ loss AS (SELECT {SPLIT_SQL} AS split, -ln(greatest(powers[attack + 1] / list_sum
 SELECT split, {r('avg(loss)', 'mlogloss')}, {r('avg(wrong)', 'merror')}, count(*) AS n_rows FROM loss GROUP BY split""")
 def log_loss(spark, sf_dir):
     scored = traffic(spark, sf_dir).select(
-        job.split_of().alias("split"), F.col("attack").alias("label"), scores.concept_scores().alias("scores")
+        job.split_of().alias("split"), F.col("attack").alias("label"), F.array(*scores.concept_scores()).alias("scores")
     )
-    return rounded(metrics.log_loss(scored.withColumn("probability", scalar.softmax("scores")), by=("split",)))
+    return rounded(metrics.log_loss(scalar.with_softmax(scored, "scores", "probability"), by=("split",)))
 
 
 # ---- runs -----------------------------------------------------------------------

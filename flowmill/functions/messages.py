@@ -53,7 +53,14 @@ def decode_events(messages: DataFrame, value: str = "value") -> DataFrame:
 
 
 def usable(decoded: DataFrame) -> DataFrame:
-    return decoded.filter(F.col("problem").isNull()).drop("problem")
+    """Rows without a problem.
+
+    Written as an inline of zero or one row: a filter would be pushed below the parser and
+    parse each text once per checked field.
+    """
+    columns = [c for c in decoded.columns if c != "problem"]
+    row = F.when(F.col("problem").isNull(), F.array(F.struct(*columns)))
+    return decoded.select(F.inline(row))
 
 
 def quarantined(decoded: DataFrame, value: str = "value") -> DataFrame:
@@ -66,13 +73,18 @@ def request_rows(requests: DataFrame, body: str = "body") -> DataFrame:
     A request that cannot be read gives a single row whose ``error`` says why.
     """
     keep = [c for c in requests.columns if c != body]
-    document = F.try_parse_json(F.col(body))
-    kind = F.coalesce(F.schema_of_variant(document), F.lit("TEXT"))
-    data_kind = F.coalesce(
-        F.schema_of_variant(F.try_variant_get(document, "$.data", "variant")), F.lit("VOID")
+    # document, data and rows get a projection each, so that a body is parsed once
+    documents = requests.select(*keep, F.try_parse_json(F.col(body)).alias("_document"))
+    data = documents.select(
+        *keep, F.coalesce(F.schema_of_variant("_document"), F.lit("TEXT")).alias("_kind"),
+        F.try_variant_get("_document", "$.data", "variant").alias("_data"),
+    )
+    typed = data.select(
+        *keep, "_kind", F.coalesce(F.schema_of_variant("_data"), F.lit("VOID")).alias("_data_kind"),
+        F.try_variant_get("_data", "$", REQUEST_ROW).alias("_one"),
+        F.try_variant_get("_data", "$", f"array<{REQUEST_ROW}>").alias("_many"),
     )
-    one = F.try_variant_get(document, "$.data", REQUEST_ROW)
-    many = F.try_variant_get(document, "$.data", f"array<{REQUEST_ROW}>")
+    kind, data_kind, one, many = F.col("_kind"), F.col("_data_kind"), F.col("_one"), F.col("_many")
     error = (
         F.when(~kind.startswith("OBJECT"), "not_an_object")
         .when(data_kind == "VOID", "missing_data")
@@ -81,7 +93,7 @@ def request_rows(requests: DataFrame, body: str = "body") -> DataFrame:
         .when(many.isNull() | F.exists(many, lambda r: r.isNull()), "wrong_kind")
         .when(F.size(many) == 0, "no_rows")
     )
-    read = requests.select(
+    read = typed.select(
         *keep,
         error.alias("error"),
         F.when(error.isNull(), F.when(data_kind.startswith("OBJECT"), F.array(one)).otherwise(many)).alias("_rows"),

@@ -6,7 +6,7 @@ import math
 from functools import reduce
 from itertools import accumulate
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -28,24 +28,35 @@ def spread_category(column: str, values: tuple[str, ...]) -> Column:
 
 
 def argmax(scores: Column) -> Column:
-    """Zero-based position of the largest element; the first one wins a tie."""
+    """Zero-based position of the largest element of a stored array; the first one wins a tie."""
     return (F.array_position(scores, F.array_max(scores)) - 1).cast("long")
 
 
+def argmax_of(scores: list[Column]) -> Column:
+    """:func:`argmax` of separate expressions, each of them evaluated once.
+
+    The largest (score, -position) pair has the first of the largest scores.
+    """
+    pairs = [F.struct(s.alias("score"), F.lit(-k).alias("position")) for k, s in enumerate(scores)]
+    return (-F.greatest(*pairs)["position"]).cast("long")
+
+
 def above_half(probability: Column) -> Column:
     """Class of a two-class model that returns one probability."""
     return (probability > 0.5).cast("long")
 
 
-def softmax(column: str) -> Column:
-    """Class probabilities of an array column of raw scores.
+def with_softmax(df: DataFrame, scores: str, out: str) -> DataFrame:
+    """Add class probabilities of an array column of raw scores.
 
-    Scores are shifted by their maximum so that exp cannot overflow. The column should be
-    stored or projected first: each use inside the array functions would compute it again.
+    Scores are shifted by their maximum so that exp cannot overflow. Maximum, powers and sum
+    get a projection each, so that none is computed once per element.
     """
-    powers = F.transform(column, lambda x: F.exp(x - F.array_max(column)))
-    total = F.aggregate(powers, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(powers, lambda x: x / total)
+    shifted = df.withColumn("_max", F.array_max(scores)).withColumn(
+        "_powers", F.transform(scores, lambda x: F.exp(x - F.col("_max")))
+    )
+    summed = shifted.withColumn("_sum", F.aggregate("_powers", F.lit(0.0), lambda a, x: a + x))
+    return summed.withColumn(out, F.transform("_powers", lambda x: x / F.col("_sum"))).drop("_max", "_powers", "_sum")
 
 
 def hash_key(key: str, seed: int | str) -> Column:

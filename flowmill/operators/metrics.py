@@ -18,11 +18,14 @@ def confusion(
     """Dense matrix ``(*by, label, prediction, n)``; pairs outside ``[0, classes)`` are left out."""
     pair = F.col(label).cast("long") * classes + F.col(prediction).cast("long")
     inside = F.col(label).between(0, classes - 1) & F.col(prediction).between(0, classes - 1)
-    # counting by cell number and filling the grid inside the group needs no join: partial
-    # counts are the only rows that move
-    counts = df.filter(inside).groupBy(*by, pair.alias("_cell")).agg(F.count(F.lit(1)).alias("_n"))
+    # Rows outside get a null cell, dropped after counting: a filter before it would be pushed
+    # below the prediction and compute it again. The grid is filled inside the group, without a
+    # join, so partial counts are the only rows that move.
+    counts = df.groupBy(*by, F.when(inside, pair).alias("_cell")).agg(F.count(F.lit(1)).alias("_n"))
     cells = counts.groupBy(*by).agg(
-        F.map_from_entries(F.collect_list(F.struct("_cell", "_n"))).alias("_cells")
+        F.map_from_entries(
+            F.collect_list(F.when(F.col("_cell").isNotNull(), F.struct("_cell", "_n")))
+        ).alias("_cells")
     )
     grid = cells.select(
         *by, "_cells", F.explode(F.sequence(F.lit(0), F.lit(classes * classes - 1)).cast("array<bigint>")).alias("_cell")
