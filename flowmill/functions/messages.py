@@ -73,31 +73,28 @@ def request_rows(requests: DataFrame, body: str = "body") -> DataFrame:
     A request that cannot be read gives a single row whose ``error`` says why.
     """
     keep = [c for c in requests.columns if c != body]
-    # document, data and rows get a projection each, so that a body is parsed once
+    # every step gets a projection of its own, so that a body is parsed and cast once
     documents = requests.select(*keep, F.try_parse_json(F.col(body)).alias("_document"))
     data = documents.select(
         *keep, F.coalesce(F.schema_of_variant("_document"), F.lit("TEXT")).alias("_kind"),
         F.try_variant_get("_document", "$.data", "variant").alias("_data"),
     )
-    typed = data.select(
-        *keep, "_kind", F.coalesce(F.schema_of_variant("_data"), F.lit("VOID")).alias("_data_kind"),
-        F.try_variant_get("_data", "$", REQUEST_ROW).alias("_one"),
-        F.try_variant_get("_data", "$", f"array<{REQUEST_ROW}>").alias("_many"),
+    kinds = data.withColumn("_data_kind", F.coalesce(F.schema_of_variant("_data"), F.lit("VOID")))
+    kind, data_kind, rows = F.col("_kind"), F.col("_data_kind"), F.col("_rows")
+    one, many = data_kind.startswith("OBJECT"), data_kind.startswith("ARRAY")
+    typed = kinds.select(
+        *keep, "_kind", "_data_kind",
+        F.when(one, F.array(F.try_variant_get("_data", "$", REQUEST_ROW)))
+        .when(many, F.try_variant_get("_data", "$", f"array<{REQUEST_ROW}>")).alias("_rows"),
     )
-    kind, data_kind, one, many = F.col("_kind"), F.col("_data_kind"), F.col("_one"), F.col("_many")
     error = (
         F.when(~kind.startswith("OBJECT"), "not_an_object")
         .when(data_kind == "VOID", "missing_data")
-        .when(data_kind.startswith("OBJECT"), None)
-        .when(~data_kind.startswith("ARRAY"), "wrong_kind")
-        .when(many.isNull() | F.exists(many, lambda r: r.isNull()), "wrong_kind")
-        .when(F.size(many) == 0, "no_rows")
-    )
-    read = typed.select(
-        *keep,
-        error.alias("error"),
-        F.when(error.isNull(), F.when(data_kind.startswith("OBJECT"), F.array(one)).otherwise(many)).alias("_rows"),
+        .when(rows.isNull() | F.exists(rows, lambda r: r.isNull()), "wrong_kind")
+        .when(F.size(rows) == 0, "no_rows")
     )
+    checked = typed.select(*keep, error.alias("error"), "_rows")
+    read = checked.withColumn("_rows", F.when(F.col("error").isNull(), rows))
     return read.select(*keep, "error", F.posexplode_outer("_rows").alias("pos", "_row")).select(
         *keep, F.coalesce("pos", F.lit(0)).alias("pos"), "error", "_row.*"
     )

@@ -52,15 +52,18 @@ def fit_encoder(
     return values.select("column", "value", "n", (position - 1).cast("int").alias("idx"))
 
 
-def driver_encoders(encoders: DataFrame, columns: tuple[str, ...]) -> Encoders | None:
-    """Encoders as a dictionary, or ``None`` when they are too many values for the driver."""
-    rows = encoders.limit(DRIVER_VALUES + 1).collect()
-    if len(rows) > DRIVER_VALUES:
-        return None
-    out: Encoders = {c: {} for c in columns}
-    for row in sorted(rows, key=lambda r: (r["column"], r["idx"])):
-        out[row["column"]][row["value"]] = row["idx"]
-    return out
+def learn_encoders(df: DataFrame, columns: tuple[str, ...], by: str = "value",
+                   driver_values: int = DRIVER_VALUES) -> Encoders | DataFrame:
+    """Encoders as a dictionary, or as the table of :func:`fit_encoder` when the columns have
+    more than ``driver_values`` values in all."""
+    rows = vocabulary(df, columns).limit(driver_values + 1).collect()
+    if len(rows) > driver_values:
+        return fit_encoder(df, columns, by)
+    rank = {"value": lambda r: r["value"], "frequency": lambda r: (-r["n"], r["value"])}[by]
+    return {
+        c: {r["value"]: i for i, r in enumerate(sorted((r for r in rows if r["column"] == c), key=rank))}
+        for c in columns
+    }
 
 
 def _literal_index(column: str, mapping: dict[str, int]) -> Column:

@@ -55,9 +55,7 @@ def fit_base(df: DataFrame, unit: str = "s", weekend_days: tuple[int, ...] = (5,
     """Two scans, each reading only the columns it needs: one for all vocabularies, one for
     all statistics. The input is not cached: a second pruned scan is cheaper than keeping it."""
     derived = base_columns(df, unit, weekend_days)
-    table = enc.fit_encoder(derived, S.CATEGORICAL)
-    encoders = enc.driver_encoders(table, S.CATEGORICAL)
-    return Fitted(table if encoders is None else encoders, sc.fit_scaler(derived, S.NUMERIC))
+    return Fitted(enc.learn_encoders(derived, S.CATEGORICAL), sc.fit_scaler(derived, S.NUMERIC))
 
 
 def apply_base(
@@ -95,9 +93,7 @@ def apply_extended(df: DataFrame, encoders: enc.Encoders | DataFrame, unit: str
 
 def fit_extended_encoders(df: DataFrame, unit: str = "s") -> enc.Encoders | DataFrame:
     # the windows do not touch the categories, so fitting leaves them out
-    table = enc.fit_encoder(base_columns(df, unit), S.CATEGORICAL, by="frequency")
-    encoders = enc.driver_encoders(table, S.CATEGORICAL)
-    return table if encoders is None else encoders
+    return enc.learn_encoders(base_columns(df, unit), S.CATEGORICAL, by="frequency")
 
 
 def extended_vectors(df: DataFrame, unit: str = "s") -> DataFrame:
@@ -128,9 +124,7 @@ SESSION_CATEGORICAL = ("protocol", "conn_state")
 
 def fit_session(df: DataFrame, unit: str = "s", hot_rows: int = skew.HOT_ROWS) -> Fitted:
     """Encoders by value, population deviation, nulls counted as 0."""
-    table = enc.fit_encoder(df, SESSION_CATEGORICAL)
-    encoders = enc.driver_encoders(table, SESSION_CATEGORICAL)
-    encoders = table if encoders is None else encoders
+    encoders = enc.learn_encoders(df, SESSION_CATEGORICAL)
     ready = enc.encode(session_columns(df, unit, hot_rows), encoders, SESSION_CATEGORICAL)
     scaler = sc.fit_scaler(ready, S.SESSION_FEATURES, population=True, nulls_as_zero=True)
     return Fitted(encoders, scaler)
