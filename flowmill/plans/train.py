@@ -17,7 +17,7 @@ from flowmill.sources.schemas import FEATURES, NUM_CLASSES, TARGET
 from flowmill.sources.session import shared_dir
 
 # fixed values: default training parameters
-TREE_PARAMS = {"eta": 0.3, "max_depth": 6, "rounds": 10, "min_child_weight": 1, "subsample": 1.0}
+TREE_PARAMS = {"eta": 0.3, "max_depth": 6, "rounds": 10, "min_child_weight": 1, "subsample": 1.0, "max_bins": 256}
 NET_PARAMS = {"hidden": (512, 512), "max_epochs": 10, "batch_size": 256, "lr": 1e-3}
 
 
@@ -35,8 +35,8 @@ def _assembler() -> VectorAssembler:
 def fit_trees(train: DataFrame, target: str = TARGET, seed: int = 42, parallel: int = NUM_CLASSES, **params) -> PipelineModel:
     """Boosted trees, one ensemble per class, fitted side by side on one cached table.
 
-    ``eta``, ``max_depth``, ``rounds``, ``min_child_weight`` and ``subsample`` are the step
-    size, depth, number of trees, smallest leaf and row sample of each ensemble.
+    ``eta``, ``max_depth``, ``rounds``, ``min_child_weight``, ``subsample`` and ``max_bins``
+    are the step size, depth, number of trees, smallest leaf, row sample and histogram size.
     """
     p = TREE_PARAMS | params
     shared_dir(train.sparkSession)  # long boosting lineage is cut in the shared folder
@@ -47,7 +47,7 @@ def fit_trees(train: DataFrame, target: str = TARGET, seed: int = 42, parallel:
     def fit_class(k: int):
         gbt = GBTClassifier(
             labelCol=f"is_{k}", featuresCol="features", predictionCol=f"prediction_{k}", maxIter=p["rounds"],
-            maxDepth=p["max_depth"], stepSize=p["eta"],
+            maxDepth=p["max_depth"], stepSize=p["eta"], maxBins=p["max_bins"],
             minInstancesPerNode=p["min_child_weight"], subsamplingRate=p["subsample"], seed=seed,
         ).setRawPredictionCol(f"margin_{k}").setProbabilityCol(f"probability_{k}")
         return gbt.fit(rows.withColumn(f"is_{k}", (F.col("label") == k).cast("double")))
