@@ -11,30 +11,42 @@ from flowmill.sources.schemas import NUM_CLASSES
 AVERAGED = ("precision", "recall", "f1")
 
 
+def _row_loss(label: str, probability: str, floor: float = 1e-15) -> Column:
+    given = F.element_at(F.col(probability), F.col(label).cast("int") + 1)
+    return -F.log(F.greatest(given, F.lit(floor)))
+
+
 def confusion(
     df: DataFrame, label: str = "label", prediction: str = "prediction",
-    classes: int = NUM_CLASSES, by: tuple[str, ...] = (),
+    classes: int = NUM_CLASSES, by: tuple[str, ...] = (), probability: str | None = None,
 ) -> DataFrame:
-    """Dense matrix ``(*by, label, prediction, n)``; pairs outside ``[0, classes)`` are left out."""
+    """Dense matrix ``(*by, label, prediction, n)``; pairs outside ``[0, classes)`` are left out.
+
+    With ``probability`` each cell also has the sum of its rows' log losses in ``loss``.
+    """
     pair = F.col(label).cast("long") * classes + F.col(prediction).cast("long")
     inside = F.col(label).between(0, classes - 1) & F.col(prediction).between(0, classes - 1)
     # Rows outside get a null cell, dropped after counting: a filter before it would be pushed
     # below the prediction and compute it again. The grid is filled inside the group, without a
     # join, so partial counts are the only rows that move.
-    counts = df.groupBy(*by, F.when(inside, pair).alias("_cell")).agg(F.count(F.lit(1)).alias("_n"))
+    sums = [F.count(F.lit(1)).alias("n")]
+    if probability is not None:
+        sums.append(F.sum(F.when(inside, _row_loss(label, probability))).alias("loss"))
+    measures = ["n", "loss"][: len(sums)]
+    counts = df.groupBy(*by, F.when(inside, pair).alias("_cell")).agg(*sums)
+    entry = F.struct("_cell", F.struct(*measures))
     cells = counts.groupBy(*by).agg(
-        F.map_from_entries(
-            F.collect_list(F.when(F.col("_cell").isNotNull(), F.struct("_cell", "_n")))
-        ).alias("_cells")
-    )
-    grid = cells.select(
-        *by, "_cells", F.explode(F.sequence(F.lit(0), F.lit(classes * classes - 1)).cast("array<bigint>")).alias("_cell")
+        F.map_from_entries(F.collect_list(F.when(F.col("_cell").isNotNull(), entry))).alias("_cells")
     )
+    numbers = F.sequence(F.lit(0), F.lit(classes * classes - 1)).cast("array<bigint>")
+    grid = cells.select(*by, "_cells", F.explode(numbers).alias("_cell"))
+    found = F.col("_cells")[F.col("_cell")]
+    zero = {"n": F.lit(0).cast("long"), "loss": F.lit(0.0)}
     return grid.select(
         *by,
         F.floor(F.col("_cell") / classes).cast("long").alias("label"),
         F.pmod(F.col("_cell"), F.lit(classes)).cast("long").alias("prediction"),
-        F.coalesce(F.col("_cells")[F.col("_cell")], F.lit(0)).cast("long").alias("n"),
+        *[F.coalesce(found[m], zero[m]).alias(m) for m in measures],
     )
 
 
@@ -112,20 +124,25 @@ def accuracy(df: DataFrame, label: str = "label", prediction: str = "prediction"
     return df.groupBy(*by).agg(hit.alias("accuracy")).withColumn("merror", 1.0 - F.col("accuracy"))
 
 
-def log_loss(
-    df: DataFrame, label: str = "label", probability: str = "probability", by: tuple[str, ...] = (),
-    floor: float = 1e-15,
-) -> DataFrame:
+def log_loss(df: DataFrame, label: str = "label", probability: str = "probability", by: tuple[str, ...] = ()) -> DataFrame:
     """Mean negative log of the probability given to the true class, and the error rate."""
-    given = F.element_at(F.col(probability), F.col(label).cast("int") + 1)
     best = F.array_position(F.col(probability), F.array_max(probability)) - 1
     return df.groupBy(*by).agg(
-        F.avg(-F.log(F.greatest(given, F.lit(floor)))).alias("mlogloss"),
+        F.avg(_row_loss(label, probability)).alias("mlogloss"),
         F.avg((best != F.col(label)).cast("double")).alias("merror"),
         F.count(F.lit(1)).alias("n_rows"),
     )
 
 
+def matrix_loss(matrix: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """:func:`log_loss` from a matrix that has the ``loss`` sums."""
+    wrong = F.when(F.col("label") != F.col("prediction"), F.col("n")).otherwise(0)
+    total = F.greatest(F.sum("n"), F.lit(1))
+    return matrix.groupBy(*by).agg(
+        (F.sum("loss") / total).alias("mlogloss"), (F.sum(wrong) / total).alias("merror"), F.sum("n").alias("n_rows")
+    )
+
+
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), column)
 

@@ -13,6 +13,7 @@ from flowmill.functions import scalar
 from flowmill.operators import metrics
 from flowmill.operators.sampling import assign_variant
 from flowmill.sources.schemas import FEATURES, NUM_CLASSES, TARGET
+from flowmill.sources.session import pinned
 
 
 def _class_weights(scored: DataFrame) -> Column:
@@ -60,16 +61,18 @@ def score_routed(
 
 
 def evaluate(scored: DataFrame, target: str = TARGET, by: tuple[str, ...] = ("split",)) -> dict[str, DataFrame]:
-    """``confusion``, ``classes``, ``summary``, ``report`` and ``loss`` tables per group."""
-    matrix = metrics.confusion(scored, label=target, by=by)
+    """``confusion``, ``classes``, ``summary``, ``report`` and ``loss`` tables per group.
+
+    Rows are scored once: counts and loss sums per cell are pinned, and all tables follow from them.
+    """
+    matrix = pinned(metrics.confusion(scored, label=target, by=by, probability="probability"))
     classes = metrics.class_metrics(matrix, by)
-    inside = scored.filter(F.col(target).between(0, NUM_CLASSES - 1))
     return {
-        "confusion": matrix,
+        "confusion": matrix.drop("loss"),
         "classes": classes,
         "summary": metrics.summary(classes, by),
         "report": metrics.report(classes, by),
-        "loss": metrics.log_loss(inside, label=target, by=by),
+        "loss": metrics.matrix_loss(matrix, by),
     }
 
 

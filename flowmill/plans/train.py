@@ -32,6 +32,13 @@ def _assembler() -> VectorAssembler:
     return VectorAssembler(inputCols=list(FEATURES), outputCol="features")
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """``rows`` over all cores, if the input has fewer partitions than that. A large table has
+    more and is not shuffled."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def fit_trees(train: DataFrame, target: str = TARGET, seed: int = 42, parallel: int = NUM_CLASSES, **params) -> PipelineModel:
     """Boosted trees, one ensemble per class, fitted side by side on one cached table.
 
@@ -64,7 +71,7 @@ def fit_net(train: DataFrame, target: str = TARGET, seed: int = 42, **params) ->
     """Feed-forward net 14 -> hidden layers -> 6 with softmax output."""
     p = NET_PARAMS | params
     assembler = _assembler()
-    rows = assembler.transform(model_input(train, target)).select("features", "label")
+    rows = _spread(assembler.transform(model_input(train, target)).select("features", "label"))
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     net = MultilayerPerceptronClassifier(
         layers=[len(FEATURES), *p["hidden"], NUM_CLASSES], maxIter=p["max_epochs"],

@@ -3,21 +3,33 @@
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def model_path(root: str, framework: str) -> str:
     return f"{root.rstrip('/')}/model_{framework}"
 
 
+_LOADED: dict[tuple[str, str], PipelineModel] = {}
+
+
+def _key(path: str) -> tuple[str, str]:
+    return SparkSession.active().sparkContext.applicationId, path
+
+
 def save_model(model: PipelineModel, root: str, framework: str) -> str:
     path = model_path(root, framework)
     model.write().overwrite().save(path)
+    _LOADED.pop(_key(path), None)
     return path
 
 
-def load_model(root: str, framework: str) -> PipelineModel:
-    return PipelineModel.load(model_path(root, framework))
+def load_model(root: str, framework: str, refresh: bool = False) -> PipelineModel:
+    """Model from storage; a second call in the session is served from memory unless refreshed."""
+    path = model_path(root, framework)
+    if refresh or _key(path) not in _LOADED:
+        _LOADED[_key(path)] = PipelineModel.load(path)
+    return _LOADED[_key(path)]
 
 
 def save_evaluation(root: str, run_id: str, results: dict[str, DataFrame]) -> list[str]:

@@ -152,6 +152,10 @@ def test_evaluation_tables(rows, trees, tmp_path, spark):
     tables = score.evaluate(score.score(rows, trees))
     assert tables["confusion"].count() == 3 * 36
     assert sorted(rows_of(tables["summary"], "split", "support")) == [("test", 200), ("train", 600), ("val", 200)]
+    direct = metrics.log_loss(score.score(rows, trees), "attack", by=("split",))
+    for a, b in zip(tables["loss"].orderBy("split").collect(), direct.orderBy("split").collect(), strict=True):
+        assert a["n_rows"] == b["n_rows"]
+        assert a["mlogloss"] == pytest.approx(b["mlogloss"]) and a["merror"] == pytest.approx(b["merror"])
     one = metrics.confusion(score.score(rows.filter("split = 'val'"), trees), "attack")
     paths = stored.save_evaluation(str(tmp_path), "r1", {"confusion_matrix": one, "test_confusion_matrix": one})
     assert [p.split("run_id=")[1] for p in paths] == ["r1/split=val", "r1/split=test"]
