@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from flowmill.functions import scalar
 from flowmill.operators import skew
 
-BUCKETS = 65_536
+PREFIX = 4  # hex digits that name a bucket: 65,536 buckets
 MIN_PER_CLASS = 5
 
 
@@ -21,41 +21,40 @@ def sample_fraction(df: DataFrame, fraction: float | None, key: str, seed: int =
 
 
 def _first_by_hash(df: DataFrame, by: tuple[str, ...], quota: DataFrame, key: str, seed: int) -> DataFrame:
-    """Per group, the ``_quota`` rows with the smallest key hash, without ranking whole groups.
+    """Per group, the ``_quota`` rows with the smallest key hash, without sorting whole groups.
 
-    ``quota`` has one row per group and must be small enough to broadcast. Rows are counted
-    by the first 16 hash bits. Groups keep all rows of the buckets before the one in which
-    their count passes the quota; only that bucket, about 1/65536 of a group, is ranked.
+    ``quota`` has one row per group and must be small enough to broadcast. Rows are counted by
+    the first hash digits; the last wanted row lies in the bucket where a group's running count
+    passes its quota, and only that bucket (about 1/65536 of a group) is ranked. The rows up to
+    that one are then a plain filter of the input.
     """
-    digits = scalar.hash_key(key, seed)
-    hashed = df.withColumn("_hash", digits).withColumn(
-        "_bucket", F.conv(F.substring("_hash", 1, 4), 16, 10).cast("int")
-    )
-    counts = hashed.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    upto = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    on = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by]
     named = quota.select(*[F.col(c).alias(f"_of_{c}") for c in by], "_quota")
-    passed = (
-        counts.withColumn("_upto", F.sum("_n").over(upto))
+    on = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by]
+    hashes = df.select(*by, key, scalar.hash_key(key, seed).alias("_hash"))
+    bucket = F.substring("_hash", 1, PREFIX)
+
+    counts = hashes.groupBy(*by, bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"))
+    running = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
+    upto, before = F.col("_upto"), F.col("_upto") - F.col("_n")
+    edge = (
+        counts.withColumn("_upto", F.sum("_n").over(running))
         .join(F.broadcast(named), on)
-        .filter((F.col("_upto") >= F.col("_quota")) & (F.col("_upto") - F.col("_n") < F.col("_quota")))
-    )
-    edge = passed.select(
-        *[f"_of_{c}" for c in by], F.col("_bucket").alias("_edge"),
-        (F.col("_quota") - (F.col("_upto") - F.col("_n"))).alias("_rest"),
+        .filter((upto >= F.col("_quota")) & (before < F.col("_quota")))
+        .select(*named.columns[:-1], F.col("_bucket").alias("_edge"), (F.col("_quota") - before).alias("_rest"))
     )
-    near = hashed.join(F.broadcast(edge), on).filter(F.col("_bucket") <= F.col("_edge"))
-    order = Window.partitionBy(*by).orderBy("_hash", key)
-    ranked = (
-        near.filter(F.col("_bucket") == F.col("_edge"))
-        .withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= F.col("_rest"))
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("_hash", key))
+    last = (
+        hashes.join(F.broadcast(edge), [*on, bucket == F.col("_edge")])
+        .withColumn("_place", place).filter(F.col("_place") == F.col("_rest"))
+        .select(*named.columns[:-1], F.struct("_hash", key).alias("_last"))
     )
-    sure = near.filter(F.col("_bucket") < F.col("_edge"))
-    return sure.select(*df.columns).unionByName(ranked.select(*df.columns))
+    placed = df.withColumn("_at", F.struct(scalar.hash_key(key, seed).alias("_hash"), F.col(key)))
+    return placed.join(F.broadcast(last), on).filter(F.col("_at") <= F.col("_last")).select(*df.columns)
 
 
 def _class_quota(n: Column, fraction: float) -> Column:
-    return F.greatest(F.least(n, F.lit(MIN_PER_CLASS)), F.floor(n * F.lit(fraction))).cast("long")
+    wanted = F.greatest(F.lit(MIN_PER_CLASS), F.floor(n * F.lit(fraction)))
+    return F.least(n, wanted).cast("long")
 
 
 def stratified_sample(
