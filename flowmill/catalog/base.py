@@ -55,13 +55,18 @@ def _stats(table: str, columns: tuple[str, ...], where: str = "true", fn: str =
     return f"stats AS (SELECT {parts} FROM {table} WHERE {where})"
 
 
-def _scaled(columns: tuple[str, ...]) -> str:
-    return ", ".join(r(f"({c} - m_{c}) / s_{c}", f"{c}_norm") for c in columns)
+def _scaled(columns: tuple[str, ...], digits: int = 6) -> str:
+    return ", ".join(r(f"({c} - m_{c}) / s_{c}", f"{c}_norm", digits) for c in columns)
 
 
-FINAL = f"""{TRAFFIC}, {BASE}, {_encoders('bucket < 6')}, {_stats('base', S.NUMERIC, 'bucket < 6')},
-final AS (SELECT event_id, bucket, {', '.join(_indexed(c) for c in S.CATEGORICAL)}, {_scaled(S.NUMERIC)}, attack
+def _final(digits: int) -> str:
+    return f"""{TRAFFIC}, {BASE}, {_encoders('bucket < 6')}, {_stats('base', S.NUMERIC, 'bucket < 6')},
+final AS (SELECT event_id, bucket, {', '.join(_indexed(c) for c in S.CATEGORICAL)}, {_scaled(S.NUMERIC, digits)}, attack
   FROM base, stats)"""
+
+
+FINAL = _final(6)
+UNROUNDED = _final(15)
 FINAL_COLUMNS = ", ".join(["event_id", *S.FEATURES, "attack"])
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from flowmill.catalog.base import fitted_base
-from flowmill.catalog.fixture import split, traffic
-from flowmill.catalog.registry import query, rounded
+from flowmill.catalog.base import UNROUNDED, fitted_base
+from flowmill.catalog.fixture import ARGMAX, split, traffic
+from flowmill.catalog.registry import query, r, rounded
 from flowmill.operators import labelling
 from flowmill.plans import features as plan
 from flowmill.plans import score as scoring
@@ -61,6 +62,28 @@ def score_batch(spark, sf_dir):
                       "variant", "framework", "model_key")
 
 
+# a fixed linear model as the model from outside: weights of each class for three columns
+_WEIGHTS = {"bytes_log_norm": (0.1, 0.9, -0.4, 0.2, 1.1, -0.7), "packet_log_norm": (0.3, -0.6, 0.8, 0.1, -0.2, 0.5),
+            "hour_sin_norm": (0.5, 0.2, -0.3, -0.9, 0.4, 0.6)}
+_LINEAR = ", ".join(" + ".join(f"{c} * {w[k]}::DOUBLE" for c, w in _WEIGHTS.items()) for k in range(6))
+
+
+@query("score_foreign", f"""WITH {UNROUNDED}, scored AS (SELECT event_id, [{_LINEAR}] AS scores FROM final WHERE bucket >= 8),
+powers AS (SELECT event_id, scores, list_transform(scores, lambda x: exp(x - list_max(scores))) AS p FROM scored)
+SELECT event_id, {ARGMAX} AS prediction, {r('list_max(p) / list_sum(p)', 'confidence')}, 'linear' AS framework FROM powers""")
+def score_foreign(spark, sf_dir):
+    weights = np.array(list(_WEIGHTS.values()))
+
+    def predict(x: np.ndarray) -> np.ndarray:
+        z = x @ weights
+        e = np.exp(z - z.max(axis=1, keepdims=True))
+        return e / e.sum(axis=1, keepdims=True)
+
+    test = feature_rows(spark, sf_dir).filter("split = 'test'").select("event_id", *_WEIGHTS)
+    out = scoring.score_foreign(test, predict, tuple(_WEIGHTS), framework="linear")
+    return rounded(out.select("event_id", "prediction", F.array_max("probability").alias("confidence"), "framework"))
+
+
 @query("score_canary")
 def score_canary(spark, sf_dir):
     test = feature_rows(spark, sf_dir).filter("split = 'test'")

@@ -21,8 +21,9 @@ FILES = 4
 def _topic(spark, sf_dir, broken: bool = False, copies: bool = False) -> str:
     path = new_dir(spark, "topic")
     out = event_messages(spark, sf_dir, broken)
-    if copies:  # every fifth event is delivered twice
-        out = out.unionByName(out.filter(F.col("key").cast("long") % 5 == 0))
+    if copies:  # every fifth event is delivered again at another offset
+        again = out.filter(F.col("key").cast("long") % 5 == 0).withColumn("offset", F.col("offset") + 1)
+        out = out.unionByName(again)
     out.repartition(FILES).write.parquet(path)
     return path
 
@@ -56,8 +57,8 @@ def stream_dedup(spark, sf_dir):
     events.keep_state_on_disk(spark)
     flows = messages.usable(events.decoded(_stream(spark, _topic(spark, sf_dir, copies=True))))
     # the files are not in time order, so the delay spans the month of data
-    distinct = events.deduplicated(flows.drop("key", "value", "partition", "offset"), "31 days")
-    return _finish(distinct, spark)
+    distinct = events.deduplicated(flows, "31 days")
+    return _finish(distinct.drop("key", "value", "partition", "offset"), spark)
 
 
 @query("stream_quarantine", """SELECT CASE WHEN event_id % 10 > 3 THEN 'good' ELSE 'bad' END AS sink,

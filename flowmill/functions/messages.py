@@ -52,19 +52,19 @@ def decode_events(messages: DataFrame, value: str = "value") -> DataFrame:
     return flat.withColumn("problem", problem)
 
 
-def usable(decoded: DataFrame) -> DataFrame:
-    """Rows without a problem.
+def _keep_if(df: DataFrame, condition: Column, columns: list[str]) -> DataFrame:
+    """Filter and select, written as an inline of zero or one row: a filter would be pushed
+    below the parser and parse each text once per field it looks at."""
+    return df.select(F.inline(F.when(condition, F.array(F.struct(*columns)))))
 
-    Written as an inline of zero or one row: a filter would be pushed below the parser and
-    parse each text once per checked field.
-    """
+
+def usable(decoded: DataFrame) -> DataFrame:
     columns = [c for c in decoded.columns if c != "problem"]
-    row = F.when(F.col("problem").isNull(), F.array(F.struct(*columns)))
-    return decoded.select(F.inline(row))
+    return _keep_if(decoded, F.col("problem").isNull(), columns)
 
 
 def quarantined(decoded: DataFrame, value: str = "value") -> DataFrame:
-    return decoded.filter(F.col("problem").isNotNull()).select(value, "problem")
+    return _keep_if(decoded, F.col("problem").isNotNull(), [value, "problem"])
 
 
 def request_rows(requests: DataFrame, body: str = "body") -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +14,7 @@ from flowmill.operators import scale as sc
 from flowmill.operators import sessions, skew
 from flowmill.sources import params as stored
 from flowmill.sources import schemas as S
+from flowmill.sources.session import pinned
 
 
 # ---- base set: 14 features ------------------------------------------------
@@ -98,7 +99,8 @@ def fit_extended_encoders(df: DataFrame, unit: str = "s") -> enc.Encoders | Data
 
 def extended_vectors(df: DataFrame, unit: str = "s") -> DataFrame:
     """``features`` and its scaled form ``features_scaled`` for the 20 columns."""
-    ready = apply_extended(df, fit_extended_encoders(df, unit), unit)
+    # fitting and scaling both read the windows: computed once, then kept in the shared folder
+    ready = pinned(apply_extended(df, fit_extended_encoders(df, unit), unit))
     vectors = sc.assemble(ready, S.EXTENDED_FEATURES)
     return sc.fit_vector_scaler(vectors).transform(vectors)
 
@@ -106,6 +108,9 @@ def extended_vectors(df: DataFrame, unit: str = "s") -> DataFrame:
 # ---- session set: 17 features with previous-event and whole-session columns
 
 def session_columns(df: DataFrame, unit: str = "s", hot_rows: int = skew.HOT_ROWS) -> DataFrame:
+    """The derived columns; a table that has them already is returned as it is."""
+    if set(sessions.STATISTICS) <= set(df.columns):
+        return df
     ratio = flow.bytes_per_packet()
     derived = df.withColumns(
         flow.log_columns()
@@ -144,16 +149,23 @@ def apply_session(
 
 @dataclass(frozen=True)
 class FeatureSet:
-    """A named pair: ``fit(df) -> Fitted`` and ``apply(df, fitted, **options) -> DataFrame``."""
+    """A named pair: ``fit(df) -> Fitted`` and ``apply(df, fitted, **options) -> DataFrame``.
+
+    ``derive(df)``, if given, adds the costly columns both of them need. A job that fits and
+    applies on one table calls it first and keeps the result.
+    """
 
     fit: Callable[..., Fitted]
     apply: Callable[..., DataFrame]
-    columns: tuple[str, ...] = field(default=())
+    columns: tuple[str, ...] = ()
+    derive: Callable[[DataFrame], DataFrame] | None = None
 
 
 FEATURE_SETS: dict[str, FeatureSet] = {
     "base": FeatureSet(fit_base, apply_base, S.FEATURES),
-    "session": FeatureSet(fit_session, apply_session, tuple(f"{c}_norm" for c in S.SESSION_FEATURES)),
+    "session": FeatureSet(
+        fit_session, apply_session, tuple(f"{c}_norm" for c in S.SESSION_FEATURES), session_columns
+    ),
 }
 
 

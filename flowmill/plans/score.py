@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowmill.functions import scalar
 from flowmill.operators import metrics
@@ -47,6 +51,33 @@ def score(
     )
 
 
+def score_foreign(
+    features: DataFrame, predict: Callable[[np.ndarray], np.ndarray], columns: tuple[str, ...] = FEATURES,
+    variant: str = "stable", framework: str = "foreign", model_key: str | None = None,
+) -> DataFrame:
+    """:func:`score` with a model from outside Spark, called once per Arrow batch.
+
+    ``predict`` takes a (rows, columns) array and returns (rows, classes) probabilities, or one
+    probability per row for two classes. It is shipped to the workers once per task.
+    """
+    names = list(columns)
+
+    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            p = np.asarray(predict(frame[names].to_numpy(dtype=float, na_value=0.0)), dtype=float)
+            two = np.stack([1.0 - p, p], axis=1) if p.ndim == 1 else p
+            best = (p > 0.5) if p.ndim == 1 else p.argmax(axis=1)
+            yield frame.assign(prediction=best.astype("int64"), probability=list(two))
+
+    schema = T.StructType([
+        *features.schema.fields,
+        T.StructField("prediction", T.LongType()),
+        T.StructField("probability", T.ArrayType(T.DoubleType())),
+    ])
+    tags = {"variant": variant, "framework": framework, "model_key": model_key or f"model_{framework}"}
+    return features.mapInPandas(batches, schema).withColumns({k: F.lit(v) for k, v in tags.items()})
+
+
 def score_routed(
     features: DataFrame, stable: PipelineModel, canary: PipelineModel, share: float,
     key: str = "event_id", seed: int = 42, framework: str = "trees",

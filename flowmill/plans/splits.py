@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from flowmill.plans.features import Fitted, feature_set
 from flowmill.sources import parquet
 from flowmill.sources.schemas import FLOW_SCHEMA, SPLITS
+from flowmill.sources.session import pinned
 
 
 def split_of(bucket: str = "bucket") -> Column:
@@ -24,6 +25,8 @@ def prepare_split(
     features = feature_set(name)
     df = parquet.scan_split(spark, raw, split, schema)
     if split == "train":
+        if features.derive:
+            df = pinned(features.derive(df))
         fitted = features.fit(df)
         fitted.save(spark, params)
     else:

@@ -33,9 +33,14 @@ def scan_partitions(
     spark: SparkSession, path: str, partitions: int | None = None,
     schema: T.StructType | None = FLOW_SCHEMA,
 ) -> DataFrame:
-    """Scan with a chosen number of partitions; ``None`` leaves it to the file splits."""
+    """Scan with a chosen number of partitions; ``None`` leaves it to the file splits.
+
+    Fewer partitions than file splits are merged without a shuffle.
+    """
     df = scan(spark, path, schema)
-    return df if partitions is None else df.repartition(partitions)
+    if partitions is None:
+        return df
+    return df.coalesce(partitions) if partitions <= df.rdd.getNumPartitions() else df.repartition(partitions)
 
 
 def set_read_size(spark: SparkSession, megabytes: int = 256) -> None:

@@ -1,5 +1,6 @@
 """Storage, split job, models and streams."""
 
+import numpy as np
 import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
@@ -80,6 +81,21 @@ def test_val_needs_train_parameters(spark, sf_dir, tmp_path):
     assert counts == {"train": 600, "val": 200, "test": 200}
 
 
+def test_session_features_of_the_split_job(spark, sf_dir, tmp_path):
+    schema = "event_id long, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in S.FLOW_SCHEMA)
+    raw, out = str(tmp_path / "raw"), str(tmp_path / "out")
+    for s in S.SPLITS:
+        df = split(traffic(spark, sf_dir), s).select("event_id", *S.FLOW_SCHEMA.fieldNames())
+        parquet.write(df, parquet.split_path(raw, s))
+    job.prepare_all(spark, raw, out, str(tmp_path / "params"), name="session", schema=schema, keep=("event_id",))
+    got = job.read_splits(spark, out).filter("split = 'val'").drop("split")
+    flows = traffic(spark, sf_dir)
+    want = plan.apply_session(split(flows, "val"), plan.fit_session(split(flows, "train")), keep=("event_id",))
+    assert got.columns == want.columns == ["event_id", *plan.feature_set("session").columns, "attack"]
+    for a, b in zip(got.orderBy("event_id").collect(), want.orderBy("event_id").collect(), strict=True):
+        assert tuple(a) == pytest.approx(tuple(b))
+
+
 # ---- models -------------------------------------------------------------------
 
 @pytest.fixture(scope="module")
@@ -140,6 +156,16 @@ def test_model_survives_storage(rows, trees, tmp_path):
     assert sorted(a.collect()) == sorted(b.collect())
 
 
+def test_foreign_models(rows, trees):
+    columns = ("hour_sin_norm", "bytes_log_norm")
+    many = score.score_foreign(rows, lambda x: np.tile([0.2, 0.7, 0.1], (len(x), 1)), columns)
+    assert many.columns == score.score(rows, trees).columns
+    assert many.select("prediction", "probability", "framework").distinct().collect() == [(1, [0.2, 0.7, 0.1], "foreign")]
+    one = score.score_foreign(rows, lambda x: np.where(x[:, 1] > 0, 0.75, 0.25), columns)
+    assert one.filter((F.col("bytes_log_norm") > 0) != (F.col("prediction") == 1)).count() == 0
+    assert one.filter("probability[prediction] <> 0.75").count() == 0
+
+
 def test_canary_rows_get_the_canary_model(rows, trees, net):
     out = score.score_routed(rows, trees, net, 0.3)
     assert out.count() == rows.count()
@@ -217,6 +243,18 @@ def test_batches_replace_their_own_output(spark, sf_dir, tmp_path):
         assert spark.read.parquet(good).count() == 600 and spark.read.parquet(bad).count() == 400
 
 
+def test_copies_of_one_event_are_dropped_across_batches(spark, flows, tmp_path):
+    text = messages.encode_event(F.lit("same"))
+    copies = flows({}).select(text.alias("value")).withColumn("offset", F.explode(F.sequence(F.lit(0), F.lit(399)).cast("array<bigint>")))
+    path = str(tmp_path / "topic")
+    copies.select(F.lit("k").alias("key"), "value", F.lit(0).alias("partition"), "offset").repartition(4).write.parquet(path)
+    events.keep_state_on_disk(spark)
+    decoded = messages.usable(events.decoded(events.file_stream(spark, path, files_per_batch=1)))
+    query = events.write_files(events.deduplicated(decoded), str(tmp_path / "out"), str(tmp_path / "progress"), finish=True)
+    query.awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
 def test_empty_messages_are_skipped(spark):
     df = spark.createDataFrame([("k", None), ("k", " "), ("k", "x")], "key string, value string")
     assert events.present(df).count() == 1
