@@ -6,14 +6,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from flowmill.catalog.fixture import (
-    ARGMAX, CONCEPT, FLOW_COLUMNS, NORMAL, SPLIT_SQL, TRAFFIC, UNITS, events, split, traffic,
+    ARGMAX, CONCEPT, FLOW_COLUMNS, SPLIT_SQL, TRAFFIC, UNITS, events, split, traffic,
 )
 from flowmill.catalog.registry import query, r, rounded
 from flowmill.functions import flow, scalar, scores, time
 from flowmill.operators import encode as enc
-from flowmill.operators import labelling, metrics, sampling, sessions
+from flowmill.operators import labelling, sessions
 from flowmill.operators import scale as sc
-from flowmill.operators import validate as val
 from flowmill.plans import features as plan
 from flowmill.plans import splits as job
 from flowmill.sources import parquet

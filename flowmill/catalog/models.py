@@ -7,7 +7,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from flowmill.catalog.base import UNROUNDED, fitted_base
-from flowmill.catalog.fixture import ARGMAX, split, traffic
+from flowmill.catalog.fixture import ARGMAX, requests, split, traffic
 from flowmill.catalog.registry import query, r, rounded
 from flowmill.operators import labelling
 from flowmill.plans import features as plan
@@ -91,6 +91,11 @@ def score_canary(spark, sf_dir):
     return out.select("event_id", "prediction", "variant", "framework", "model_key")
 
 
+@query("score_requests")
+def score_requests(spark, sf_dir):
+    return scoring.answer_requests(requests(spark, sf_dir), fitted_base(spark, sf_dir), model(spark, sf_dir))
+
+
 @query("eval_by_split")
 def eval_by_split(spark, sf_dir):
     held_out = feature_rows(spark, sf_dir).filter("split <> 'train'")

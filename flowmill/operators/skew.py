@@ -17,6 +17,7 @@ from flowmill.sources.session import pinned
 
 HOT_ROWS = 1_000_000
 HOT_KEYS = 100_000
+MAX_CHUNKS = 20_000
 
 
 def hot_keys(df: DataFrame, keys: tuple[str, ...], hot_rows: int = HOT_ROWS) -> DataFrame | None:
@@ -40,9 +41,10 @@ def split_hot(df: DataFrame, hot: DataFrame, keys: tuple[str, ...]) -> tuple[Dat
 def range_chunks(df: DataFrame, order: tuple[str, ...], rows: int, chunk_rows: int = HOT_ROWS) -> DataFrame:
     """``df`` cut into chunks of about ``chunk_rows`` rows along ``order``, numbered by ``_chunk``.
 
-    Chunk numbers rise with ``order``. The result is pinned because range bounds are sampled:
+    There are at most ``MAX_CHUNKS`` of them, so chunks of a huge table get longer instead of
+    more. Chunk numbers rise with ``order``. The result is pinned because range bounds are sampled:
     a second evaluation could cut elsewhere.
     """
-    chunks = max(1, -(-rows // chunk_rows))
+    chunks = min(MAX_CHUNKS, max(1, -(-rows // chunk_rows)))
     cut = df.repartitionByRange(chunks, *order).withColumn("_chunk", F.spark_partition_id())
     return pinned(cut)

@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowmill.functions import scalar
+from flowmill.functions.messages import request_rows
 from flowmill.operators import metrics
 from flowmill.operators.sampling import assign_variant
+from flowmill.plans.features import Fitted, apply_base
 from flowmill.sources.schemas import FEATURES, NUM_CLASSES, TARGET
 from flowmill.sources.session import pinned
 
@@ -91,6 +93,27 @@ def score_routed(
     return parts[0].unionByName(parts[1])
 
 
+def replies(scored: DataFrame, keep: tuple[str, ...], error: str | None = None) -> DataFrame:
+    """Reply text per row: predictions, probabilities and model, or the reason of a bad request."""
+    answer = F.to_json(F.struct(
+        F.array("prediction").alias("predictions"), F.array("probability").alias("probabilities"),
+        F.struct("variant", "framework", "model_key").alias("model"),
+    ))
+    if error is not None:
+        answer = F.when(F.col(error).isNull(), answer).otherwise(F.to_json(F.struct(F.col(error).alias("error"))))
+    return scored.select(*keep, answer.alias("reply"))
+
+
+def answer_requests(
+    requests: DataFrame, fitted: Fitted, model: PipelineModel, body: str = "body", **tag: str
+) -> DataFrame:
+    """Replies to scoring requests, one row per flow record of a request (``pos`` numbers them)."""
+    rows = request_rows(requests, body)
+    keep = (*[c for c in requests.columns if c != body], "pos")
+    features = apply_base(rows, fitted, keep=(*keep, "error"), fill=0.0)
+    return replies(score(features, model, **tag), keep, "error")
+
+
 def evaluate(scored: DataFrame, target: str = TARGET, by: tuple[str, ...] = ("split",)) -> dict[str, DataFrame]:
     """``confusion``, ``classes``, ``summary``, ``report`` and ``loss`` tables per group.
 

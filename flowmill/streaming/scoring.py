@@ -7,8 +7,7 @@ from pyspark.sql import DataFrame
 
 from flowmill.functions import messages
 from flowmill.plans.features import Fitted, apply_base
-from flowmill.plans.score import score
-from flowmill.sources import kafka
+from flowmill.plans.score import replies, score
 from flowmill.streaming import events
 
 CARRIED = ("key", "event_id", "partition", "offset")
@@ -28,4 +27,4 @@ def scores(stream: DataFrame, fitted: Fitted, model: PipelineModel, **tag: str)
 
 def score_messages(scored: DataFrame) -> DataFrame:
     """Scores as ``(key, value)`` messages for the reply topic."""
-    return kafka.as_messages(scored.drop("partition", "offset"), key="key")
+    return replies(scored, ("key",)).withColumnRenamed("reply", "value")

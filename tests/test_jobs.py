@@ -1,5 +1,7 @@
 """Storage, split job, models and streams."""
 
+import json
+
 import numpy as np
 import pytest
 from conftest import rows_of
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 from __spark_entry__ import queries
 from flowmill.catalog import models as catalog_models
 from flowmill.catalog.base import fitted_base
-from flowmill.catalog.fixture import event_messages, split, traffic
+from flowmill.catalog.fixture import event_messages, requests, split, traffic
 from flowmill.functions import messages
 from flowmill.operators import labelling, metrics
 from flowmill.plans import features as plan
@@ -174,6 +176,22 @@ def test_canary_rows_get_the_canary_model(rows, trees, net):
     assert canary.filter("prediction <> p").count() == 0 and 200 < canary.count() < 400
 
 
+def test_replies_to_requests(spark, sf_dir, rows, trees):
+    fitted = fitted_base(spark, sf_dir)
+    got = score.answer_requests(requests(spark, sf_dir), fitted, trees)
+    assert got.columns == ["request_id", "pos", "reply"] and got.count() == 1000 + 125
+    alone = {r["event_id"]: r for r in score.score(rows, trees).collect()}
+    for r in got.filter("request_id < 80").collect():
+        reply = json.loads(r["reply"])
+        if r["request_id"] % 8 in (0, 6, 7):
+            want = alone[r["request_id"]]
+            assert reply["predictions"] == [want["prediction"]]
+            assert reply["probabilities"][0] == pytest.approx(want["probability"])
+            assert reply["model"] == {"variant": "stable", "framework": "trees", "model_key": "model_trees"}
+        else:
+            assert set(reply) == {"error"}
+
+
 def test_evaluation_tables(rows, trees, tmp_path, spark):
     tables = score.evaluate(score.score(rows, trees))
     assert tables["confusion"].count() == 3 * 36
