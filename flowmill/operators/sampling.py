@@ -13,10 +13,15 @@ PREFIX = 4  # hex digits that name a bucket: 65,536 buckets
 MIN_PER_CLASS = 5
 
 
-def sample_fraction(df: DataFrame, fraction: float | None, key: str, seed: int = 42) -> DataFrame:
-    """Keep each row with probability ``fraction``; none, 0 or less and 1 or more mean all rows."""
+def sample_fraction(df: DataFrame, fraction: float | None, key: str | None, seed: int = 42) -> DataFrame:
+    """Keep each row with probability ``fraction``; none, 0 or less and 1 or more mean all rows.
+
+    Without a key the draw is Spark's own, which is repeatable for the same input files only.
+    """
     if fraction is None or not 0.0 < fraction < 1.0:
         return df
+    if key is None:
+        return df.sample(fraction=fraction, seed=seed)
     return df.filter(scalar.uniform(key, seed) < fraction)
 
 

@@ -107,7 +107,8 @@ def session_windows(
     Previous means and counts cover up to ``n`` earlier events of the session, the current
     one excluded; ``fill`` replaces their nulls. ``order`` must be unique within a session.
     All windows share the session partitioning, so rows are shuffled once. Sessions with more
-    than ``hot_rows`` rows are cut into chunks, and their statistics are pre-aggregated.
+    than ``hot_rows`` rows are cut into chunks, and their statistics are pre-aggregated. Their
+    rows are written to the shared folder on the way, so select the needed columns first.
     """
     measured = tuple(sorted({*PREVIOUS_MEANS.values(), *PREVIOUS_COUNT.values()}))
     build = _previous_events(n) if previous else None

@@ -158,7 +158,7 @@ class FeatureSet:
     fit: Callable[..., Fitted]
     apply: Callable[..., DataFrame]
     columns: tuple[str, ...] = ()
-    derive: Callable[[DataFrame], DataFrame] | None = None
+    derive: Callable[..., DataFrame] | None = None
 
 
 FEATURE_SETS: dict[str, FeatureSet] = {

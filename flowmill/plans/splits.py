@@ -19,19 +19,22 @@ def split_of(bucket: str = "bucket") -> Column:
 
 def prepare_split(
     spark: SparkSession, raw: str, processed: str, params: str, split: str, name: str = "base",
-    schema=FLOW_SCHEMA, records_per_file: int = parquet.RECORDS_PER_FILE, **options,
+    schema=FLOW_SCHEMA, records_per_file: int = parquet.RECORDS_PER_FILE, shared: dict | None = None, **options,
 ) -> None:
-    """Process one split; ``train`` fits and stores the parameters the others load."""
-    features = feature_set(name)
+    """Process one split; ``train`` fits and stores the parameters the others load.
+
+    ``shared`` options, such as the time unit, go to fitting and applying; ``options`` to applying.
+    """
+    features, shared = feature_set(name), shared or {}
     df = parquet.scan_split(spark, raw, split, schema)
     if split == "train":
         if features.derive:
-            df = pinned(features.derive(df))
-        fitted = features.fit(df)
+            df = pinned(features.derive(df, **shared))
+        fitted = features.fit(df, **shared)
         fitted.save(spark, params)
     else:
         fitted = Fitted.load(spark, params)
-    out = features.apply(df, fitted, **options)
+    out = features.apply(df, fitted, **shared, **options)
     parquet.write(out, parquet.split_path(processed, split), records_per_file)
 
 

@@ -58,7 +58,7 @@ def draw_trials(framework: str, trials: int | None = None, seed: int = 42) -> li
 
 
 def random_search(
-    train_df: DataFrame, val_df: DataFrame, framework: str = "trees", key: str = "event_id",
+    train_df: DataFrame, val_df: DataFrame, framework: str = "trees", key: str | None = "event_id",
     target: str = TARGET, trials: int | None = None, seed: int = 42, fraction: float | None = 0.2,
     max_train_rows: int = 0, max_val_rows: int = 0, concurrent: int = 1, **fixed,
 ) -> DataFrame:

@@ -51,6 +51,16 @@ def append(rows: DataFrame, path: str | None) -> bool:
     return True
 
 
+def log_run(
+    spark: SparkSession, path: str | None, run_id: str, framework: str, common: dict, params: dict, metrics: dict
+) -> bool:
+    """Append one run's parameters and numeric metrics; without a destination nothing happens."""
+    if not path:
+        return False
+    rows = param_rows(spark, run_id, framework, common, params).unionByName(metric_rows(spark, run_id, metrics))
+    return append(rows, path)
+
+
 def best_run(runs: DataFrame, metric: str, mode: str = "min") -> DataFrame:
     """The run with the smallest (or largest) value of one metric; ties go to the first run id."""
     wanted = runs.filter((F.col("name") == metric) & F.col("number").isNotNull())

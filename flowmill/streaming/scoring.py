@@ -13,15 +13,17 @@ from flowmill.streaming import events
 CARRIED = ("key", "event_id", "partition", "offset")
 
 
-def features(stream: DataFrame, fitted: Fitted) -> DataFrame:
+def features(stream: DataFrame, fitted: Fitted, weekend_days: tuple[int, ...] = (5, 6)) -> DataFrame:
     """Feature rows of a message stream: the batch transform with nulls as 0."""
     flows = messages.usable(events.decoded(stream))
-    return apply_base(flows, fitted, keep=CARRIED, fill=0.0)
+    return apply_base(flows, fitted, weekend_days=weekend_days, keep=CARRIED, fill=0.0)
 
 
-def scores(stream: DataFrame, fitted: Fitted, model: PipelineModel, **tag: str) -> DataFrame:
+def scores(
+    stream: DataFrame, fitted: Fitted, model: PipelineModel, weekend_days: tuple[int, ...] = (5, 6), **tag: str
+) -> DataFrame:
     """Predictions with the message key carried through."""
-    scored = score(features(stream, fitted), model, **tag)
+    scored = score(features(stream, fitted, weekend_days), model, **tag)
     return scored.select(*CARRIED, "prediction", "probability", "variant", "framework", "model_key")
 
 

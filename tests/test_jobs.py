@@ -14,7 +14,7 @@ from flowmill.catalog.fixture import event_messages, requests, split, traffic
 from flowmill.functions import messages
 from flowmill.operators import labelling, metrics
 from flowmill.plans import features as plan
-from flowmill.plans import score, train, tune
+from flowmill.plans import score, train, training, tune
 from flowmill.plans import splits as job
 from flowmill.sources import models as stored
 from flowmill.sources import parquet
@@ -208,6 +208,39 @@ def test_evaluation_tables(rows, trees, tmp_path, spark):
     assert back.filter("run_id = 'r1' AND split = 'val'").count() == 36
 
 
+def test_training_job(spark, rows, tmp_path):
+    processed, output, log = (str(tmp_path / n) for n in ("processed", "models", "runs"))
+    for s in S.SPLITS:
+        parquet.write(rows.filter(F.col("split") == s).select(*S.FEATURES, S.TARGET), parquet.split_path(processed, s))
+    model, numbers = training.run(
+        spark, processed, output, "net", "r1", search=True, fraction=0.5, trials=2, max_val_rows=100, runs_path=log,
+        hidden=(6,), max_epochs=2,
+    )
+    assert set(numbers) >= {"val_accuracy", "test_f1_avg", "val_mlogloss", "test_recall_class_5", "val_support_class_0"}
+    assert sum(numbers[f"val_support_class_{k}"] for k in range(6)) == 200
+    again = score.score(rows, stored.load_model(output, "net"), framework="net").filter("split = 'test'")
+    assert metrics.accuracy(again, "attack").first()["accuracy"] == pytest.approx(numbers["test_accuracy"])
+    logged = {r["name"]: (r["kind"], r["text"], r["number"]) for r in spark.read.parquet(log).collect()}
+    assert logged["val_accuracy"] == ("metric", None, numbers["val_accuracy"])
+    assert logged["pt_hidden"] == ("param", "(6,)", None) and "pt_lr" in logged and logged["num_classes"][1] == "6"
+    assert spark.read.parquet(f"{output}/classification_report").filter("split = 'test'").count() == 9
+    parquet.write(rows.drop("hour_norm"), parquet.split_path(processed, "test"))
+    with pytest.raises(ValueError, match="hour_norm"):
+        training.run(spark, processed, output, "net")
+
+
+def test_split_job_uses_one_time_unit(spark, sf_dir, tmp_path):
+    raw, out = str(tmp_path / "raw"), str(tmp_path / "out")
+    for s in S.SPLITS:
+        df = split(traffic(spark, sf_dir), s).withColumn("timestamp", F.col("timestamp") * 1000)
+        parquet.write(df.select(*S.FLOW_SCHEMA.fieldNames()), parquet.split_path(raw, s))
+    job.prepare_all(spark, raw, out, str(tmp_path / "params"), shared={"unit": "ms"})
+    flows = traffic(spark, sf_dir)
+    want = plan.apply_base(split(flows, "val"), plan.fit_base(split(flows, "train")))
+    got = job.read_splits(spark, out).filter("split = 'val'").drop("split")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
 def test_search_draws(rows):
     assert tune.draw_trials("trees", seed=1) == tune.draw_trials("trees", seed=1)
     drawn = tune.draw_trials("trees", 200)
