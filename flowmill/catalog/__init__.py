@@ -1,4 +1,4 @@
-"""Every operator as a named query over the test tables, with its reference SQL."""
+"""Every operator as a named query over the test tables, next to the SQL it is checked against."""
 
 from flowmill.catalog import base, models, rows, streams  # noqa: F401
 from flowmill.catalog.registry import ORACLES, QUERIES  # noqa: F401

@@ -37,7 +37,7 @@ def decode_events(messages: DataFrame, value: str = "value") -> DataFrame:
     """
     parsed = F.from_json(F.col(value), EVENT_SCHEMA)
     df = messages.withColumn("_event", parsed)
-    instant = F.try_to_timestamp(F.col("_event.timestamp"), F.lit("yyyy-MM-dd'T'HH:mm:ss"))
+    instant = F.try_to_timestamp(F.col("_event.timestamp"))  # ISO text, with or without fractions
     flat = df.select(
         *messages.columns,
         F.col("_event.event_id").alias("event_id"),

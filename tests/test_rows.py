@@ -190,6 +190,13 @@ def test_events_round_trip(flows):
     assert sorted(map(str, back.collect())) == sorted(map(str, df.select(*S.FLOW_SCHEMA.fieldNames()).collect()))
 
 
+def test_fractions_of_seconds_are_cut(spark, flows):
+    text = flows({}).select(messages.encode_event(F.lit("a")).alias("value")).first()["value"]
+    text = text.replace("22:13:20", "22:13:20.987654")
+    out = messages.usable(messages.decode_events(spark.createDataFrame([(text,)], "value string")))
+    assert out.first()["timestamp"] == 1_700_000_000
+
+
 def test_broken_events(spark, flows):
     good = flows({}).select(messages.encode_event(F.lit("a")).alias("value")).first()["value"]
     texts = [good, "not json", "{}", '{"data": 5}', "[1]", good.replace("10,", '"ten",'), good.replace("2023-11-14", "soon")]
