@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from flowmill.llm import chat, fingerprint, mixing, warc
+from flowmill.llm import chat, fingerprint, mixing, packing, quality, warc
 from flowmill.llm.common import table
 
 QUERIES = {}
@@ -69,3 +71,14 @@ def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_fingerprints")
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edit_report(table(spark, sf_dir, "documents"))
+
+
+@query("op1_pack_pow2")
+def pack_pow2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query("op7_quality_pu")
+def quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
