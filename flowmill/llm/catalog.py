@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowmill.llm import chat, fingerprint, mixing, packing, quality, warc
+from flowmill.llm import chat, fingerprint, licenses, mixing, packing, quality, warc
 from flowmill.llm.common import table
 
 QUERIES = {}
@@ -82,3 +82,28 @@ def pack_pow2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_quality_pu")
 def quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def _values(rows) -> str:
+    quoted = ["('{}', '{}')".format(n, t.replace("'", "''")) for n, t in rows]
+    return f"(VALUES {', '.join(quoted)}) v(license, text)"
+
+
+OP8_SQL = f"""
+WITH known AS (SELECT sha256({licenses.sql_canonical('text')}) AS digest, min(license) AS license
+  FROM {_values(licenses.TEXTS)} GROUP BY 1),
+notice AS (SELECT sha256({licenses.sql_canonical('text')}) AS digest, min(license) AS license
+  FROM {_values(licenses.NOTICES)} GROUP BY 1),
+line AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
+found AS (SELECT line.doc_id, count(*) AS n, min(license) AS license
+  FROM line JOIN notice ON sha256({licenses.sql_canonical('line')}) = notice.digest GROUP BY 1),
+doc AS (SELECT doc_id, sha256({licenses.sql_canonical('text')}) AS digest FROM documents)
+SELECT doc.doc_id, doc.digest, known.license, coalesce(found.n, 0) AS n_notices, found.license AS notice
+FROM doc LEFT JOIN known USING (digest) LEFT JOIN found USING (doc_id)
+"""
+
+
+@query("op8_license_digests", OP8_SQL)
+def license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known, notices = (spark.createDataFrame(list(rows), "license string, text string") for rows in (licenses.TEXTS, licenses.NOTICES))
+    return licenses.scan(table(spark, sf_dir, "documents"), known, notices)
