@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowmill.llm import chat, fingerprint, licenses, mixing, packing, quality, warc
+from flowmill.llm import ann, chat, fingerprint, licenses, mixing, packing, quality, separators, warc
 from flowmill.llm.common import table
 
 QUERIES = {}
@@ -107,3 +107,15 @@ FROM doc LEFT JOIN known USING (digest) LEFT JOIN found USING (doc_id)
 def license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     known, notices = (spark.createDataFrame(list(rows), "license string, text string") for rows in (licenses.TEXTS, licenses.NOTICES))
     return licenses.scan(table(spark, sf_dir, "documents"), known, notices)
+
+
+@query("op3_separator_counts")
+def separator_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return separators.count_tokens(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
+@query("op6_kmeans_tree")
+def kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return ann.search(rows, rows.filter(F.col("vec_id") % 20 == 0))
