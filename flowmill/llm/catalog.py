@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowmill.llm import ann, chat, fingerprint, licenses, mixing, packing, quality, separators, warc
+from flowmill.llm import ann, chat, fingerprint, jaccard, licenses, mixing, packing, quality, separators, warc
 from flowmill.llm.common import table
 
 QUERIES = {}
@@ -119,3 +119,9 @@ def separator_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return ann.search(rows, rows.filter(F.col("vec_id") % 20 == 0))
+
+
+@query("op4_jaccard_components")
+def jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.join(table(spark, sf_dir, "documents"), k=3, percent=90)
+    return found.select("doc_id", "n_shingles", "component_id")
