@@ -298,3 +298,55 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     return found.join(smallest, "component").select(
         "doc_id", "id", F.col("n").alias("n_shingles"), "k1", "k2", "component", "component_id"
     )
+
+
+def _with_key(docs: DataFrame, k: int) -> DataFrame:
+    """All columns of ``docs``, and the key and size of each text's shingle set."""
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(len(s), *shingles.set_key(s)) for s in shingles.shingle_sets(_texts(b.column(b.num_columns - 1)), k)]
+            keys = [pa.array([f[i] for f in found], pa.int64()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *keys], [*names, "_n", "_k1", "_k2"])
+
+    plain = docs.toDF(*names)
+    schema = plain.selectExpr("*", "0L AS _n", "0L AS _k1", "0L AS _k2").schema
+    for field in schema:
+        field.nullable = True
+    return plain.withColumn("_text", F.col(names[docs.columns.index("text")])).mapInArrow(work, schema)
+
+
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that remain when each component keeps one: the one with the smallest ``doc_id``
+    (null last). Documents without words are never linked, so all of them remain."""
+    found = saved(join(docs, k, percent), "components")
+    best = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id")).alias("m"))
+    kept = found.join(best.select(F.col("m.id").alias("id")), "id", "left_semi")
+    counted = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).join(
+        kept.select("doc_id", F.lit(True).alias("kept")).distinct(), "doc_id", "left")
+    # every id that needs no closer look, because one row has it and that row goes; and the ids of several rows
+    out = saved(counted.filter("doc_id is not null and (rows > 1 or kept is null)").select("doc_id", "rows"), "dropped")
+    several = out.filter("rows > 1")
+    ids = out.select(F.col("doc_id").alias("_id"))
+    n_out = ids.count()
+    plain = docs.filter(docs["doc_id"].isNotNull()).join(
+        F.broadcast(ids) if n_out <= BROADCAST_ROWS else ids, F.col("doc_id") == F.col("_id"), "left_anti")
+    n_none = found.filter("doc_id is null").count()
+    n_several = several.count()
+    if not n_several and not n_none:
+        return plain
+    # rows that share an id: found again by their shingles
+    again = several.select(F.col("doc_id").alias("_id"))
+    again = F.broadcast(again) if n_several <= BROADCAST_ROWS else again
+    rest = docs.join(again, F.col("doc_id") == F.col("_id"), "left_semi").unionByName(docs.filter(docs["doc_id"].isNull()))
+    keyed = _with_key(rest, k)
+    names = keyed.columns[:-3]
+    at = names[docs.columns.index("doc_id")]
+    wanted = kept.select(F.col("doc_id").alias("_d"), F.col("k1").alias("_w1"), F.col("k2").alias("_w2")).distinct()
+    same = F.col(at).eqNullSafe(F.col("_d")) & (F.col("_k1") == F.col("_w1")) & (F.col("_k2") == F.col("_w2"))
+    alive = keyed.join(wanted, same, "left_semi")
+    text = names[docs.columns.index("text")]
+    once = alive.filter("_n > 0").groupBy(at, "_k1", "_k2").agg(F.min_by(F.struct(*names), F.xxhash64(text)).alias("r"))
+    rows = once.select(*[F.col(f"r.{c}").alias(c) for c in names]).unionByName(alive.filter("_n = 0").select(*names))
+    return plain.unionByName(rows.toDF(*docs.columns))
