@@ -175,7 +175,7 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, percen
             sets = shingles.shingle_sets(_texts(b.column(6)), k)
             for a, salt, other, node, k1, k2, s in zip(*(c.to_pylist() for c in b.columns[:6]), sets):
                 if (a, salt) != at:
-                    at, lead = (a, salt), None
+                    at, lead, done = (a, salt), None, None
                 # rows that share a doc_id with another text, or repeat one, are left out
                 if node == done and other or shingles.set_key(s) != (k1, k2):
                     continue
