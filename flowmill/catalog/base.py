@@ -10,6 +10,7 @@ from flowmill.catalog.fixture import (
 )
 from flowmill.catalog.registry import query, r, rounded
 from flowmill.functions import flow, scalar, scores, time
+from flowmill.functions.messages import new_event_id
 from flowmill.operators import encode as enc
 from flowmill.operators import labelling, sessions
 from flowmill.operators import scale as sc
@@ -233,16 +234,17 @@ def binary_threshold(spark, sf_dir):
     return events(spark, sf_dir).select("event_id", scalar.above_half(p).alias("class_id"))
 
 
-@query("drop_target", f"""WITH {FINAL} SELECT {', '.join(S.FEATURES)} FROM final WHERE bucket < 6""")
+@query("drop_target", f"""WITH {FINAL} SELECT {SPLIT_SQL} AS split, {', '.join(S.FEATURES)} FROM final""")
 def drop_target(spark, sf_dir):
-    train = split(traffic(spark, sf_dir), "train")
-    return rounded(plan.apply_base(train, plan.fit_base(train)).drop(S.TARGET))
+    flows = traffic(spark, sf_dir).withColumn("split", job.split_of())
+    return rounded(plan.apply_base(flows, fitted_base(spark, sf_dir), keep=("split",)).drop(S.TARGET))
 
 
-@query("feature_order", f"""WITH {FINAL} SELECT {', '.join(sorted(S.FEATURES))} FROM final WHERE bucket IN (6, 7)""")
+@query("feature_order", f"""WITH {FINAL} SELECT {', '.join(sorted(S.FEATURES))}, {SPLIT_SQL} AS split FROM final""")
 def feature_order(spark, sf_dir):
-    out = plan.apply_base(split(traffic(spark, sf_dir), "val"), fitted_base(spark, sf_dir))
-    return rounded(out.select(*sorted(c for c in out.columns if c != S.TARGET)))
+    flows = traffic(spark, sf_dir).withColumn("split", job.split_of())
+    out = plan.apply_base(flows, fitted_base(spark, sf_dir), keep=("split",))
+    return rounded(out.select(*sorted(c for c in out.columns if c not in (S.TARGET, "split")), "split"))
 
 
 _RAW = ("src_port", "dst_port", "packet_count", "bytes_transferred")
@@ -336,7 +338,7 @@ def scale_pop(spark, sf_dir):
 SELECT event_id, {', '.join(r(f'({c} - m_{c}) / (s_{c} + 1e-6::DOUBLE)', f'{c}_norm') for c in _POP)} FROM base, stats""")
 def scale_eps(spark, sf_dir):
     df = plan.base_columns(traffic(spark, sf_dir))
-    scaled = sc.scale(df, sc.fit_scaler(df, _POP), _POP, nulls_as_zero=True, epsilon=1e-6)
+    scaled = sc.scale(df, sc.fit_scaler(df, _POP, keep_zero=True), _POP, nulls_as_zero=True, epsilon=1e-6)
     return rounded(scaled.select("event_id", *[f"{c}_norm" for c in _POP]))
 
 
@@ -461,3 +463,68 @@ def three_splits(spark, sf_dir):
     raw, processed, params = _raw_splits(spark, sf_dir), new_dir(spark, "processed"), new_dir(spark, "params")
     job.prepare_all(spark, raw, processed, params)
     return rounded(job.read_splits(spark, processed))
+
+
+# each flow several times under many protocols: a vocabulary of more than 100,000 values from sf0.01 on
+_WIDE = 20
+_WIDE_VALUES = 150_000
+
+
+@query("three_splits_wide", f"""WITH {TRAFFIC}, wide AS (
+  SELECT event_id, bucket, {SPLIT_SQL} AS split, 'P' || CAST((event_id * {_WIDE} + i.range) % {_WIDE_VALUES} AS VARCHAR) AS protocol
+  FROM traffic, range({_WIDE}) i),
+vocabulary AS (SELECT protocol, row_number() OVER (ORDER BY protocol) - 1 AS idx
+  FROM (SELECT DISTINCT protocol FROM wide WHERE bucket < 6))
+SELECT split, CAST(count(*) AS BIGINT) AS n_rows, CAST(sum(coalesce(idx, -1)) AS BIGINT) AS sum_idx,
+  CAST(count(*) FILTER (idx IS NULL) AS BIGINT) AS n_unseen FROM wide LEFT JOIN vocabulary USING (protocol) GROUP BY split""")
+def three_splits_wide(spark, sf_dir):
+    root, processed, params = new_dir(spark, "raw"), new_dir(spark, "processed"), new_dir(spark, "params")
+    wide = traffic(spark, sf_dir).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(_WIDE - 1))))
+    named = F.concat(F.lit("P"), ((F.col("event_id") * _WIDE + F.col("i")) % _WIDE_VALUES).cast("string"))
+    wide = wide.withColumn("protocol", named)
+    for name in S.SPLITS:
+        parquet.write(split(wide, name).select(*FLOW_COLUMNS), parquet.split_path(root, name))
+    job.prepare_all(spark, root, processed, params)
+    idx = F.col("protocol_idx")
+    return job.read_splits(spark, processed).groupBy("split").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum(idx.cast("long")).alias("sum_idx"), F.count(F.when(idx < 0, 1)).alias("n_unseen")
+    )
+
+
+@query("read_size", "SELECT event_id, value FROM events")
+def read_size(spark, sf_dir):
+    parquet.set_read_size(configure(spark), 128)
+    return parquet.scan(spark, f"{sf_dir}/events.parquet", "event_id long, value double")
+
+
+@query("serving_defaults", f"""WITH {TRAFFIC}, {_stats('traffic', ('src_port',))}
+SELECT event_id, {r('(src_port - m_src_port) / s_src_port', 'src_port_norm')}, {r('CAST(packet_count AS DOUBLE)', 'packet_count_norm')}
+FROM traffic, stats""")
+def serving_defaults(spark, sf_dir):
+    """A column without parameters is scaled with mean 0 and deviation 1."""
+    df = traffic(spark, sf_dir)
+    scaled = sc.scale(df, sc.fit_scaler(df, ("src_port",)), ("src_port", "packet_count"))
+    return rounded(scaled.select("event_id", "src_port_norm", "packet_count_norm"))
+
+
+@query("constant_eps", f"""WITH {TRAFFIC} SELECT event_id, {r('(CAST(packet_count AS DOUBLE) - 5) / 1e-6::DOUBLE', 'packet_count_norm', 1)}
+FROM traffic""")
+def constant_eps(spark, sf_dir):
+    """Scaled by the epsilon alone: the column is constant where the scaler is fitted."""
+    df = traffic(spark, sf_dir)
+    constant = df.withColumn("packet_count", F.lit(5))
+    scaler = sc.fit_scaler(constant, ("packet_count",), population=True, keep_zero=True)
+    return rounded(sc.scale(df, scaler, ("packet_count",), epsilon=1e-6).select("event_id", "packet_count_norm"), 1)
+
+
+@query("feature_registry", f"WITH {FINAL} SELECT {FINAL_COLUMNS} FROM final")
+def feature_registry(spark, sf_dir):
+    named = plan.feature_set("base")
+    flows = traffic(spark, sf_dir)
+    return rounded(named.apply(flows, named.fit(split(flows, "train")), keep=("event_id",)))
+
+
+@query("event_ids", "SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(count(*) AS BIGINT) AS n_ids FROM events")
+def event_ids(spark, sf_dir):
+    made = events(spark, sf_dir).select(new_event_id().alias("id"))
+    return made.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("id").alias("n_ids"))

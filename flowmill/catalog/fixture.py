@@ -107,9 +107,15 @@ predictions AS (SELECT *, attack AS label, {ARGMAX} AS prediction FROM concept)"
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One scoring request per flow; every eighth kind is broken in its own way."""
-    row = F.to_json(F.struct(*FLOW_COLUMNS[:-1]))
+    """One scoring request per flow; every eighth kind is broken in its own way, and one kind brings
+    its time features along instead of a time."""
     kind = F.col("event_id") % 8
+    brought = {"hour": F.col("event_id") % 24, "dayofweek": F.lit(4), "is_weekend": F.lit(0), "hour_sin": F.lit(0.5),
+               "hour_cos": F.lit(-0.25)}
+    row = F.to_json(F.struct(
+        *FLOW_COLUMNS[:-2], F.when(kind != 7, F.col("timestamp")).alias("timestamp"),
+        *[F.when(kind == 7, v).alias(k) for k, v in brought.items()],
+    ))
     body = (
         F.when(kind == 0, F.concat(F.lit('{"data": ['), row, F.lit(", "), row, F.lit("]}")))
         .when(kind == 1, F.lit("[]"))
@@ -138,5 +144,5 @@ def event_messages(spark: SparkSession, sf_dir: str, broken: bool = False) -> Da
     return flows.select(
         F.col("event_id").cast("string").alias("key"), text.alias("value"),
         (F.col("event_id") % 6).cast("int").alias("partition"),
-        F.floor(F.col("event_id") / 6).cast("long").alias("offset"),
+        F.floor(F.col("event_id") / 6).cast("long").alias("offset"), F.timestamp_seconds("timestamp").alias("message_time"),
     )

@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import numpy as np
 from pyspark.ml import PipelineModel
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowmill.catalog.base import UNROUNDED, fitted_base
-from flowmill.catalog.fixture import ARGMAX, requests, split, traffic
+from flowmill.catalog.fixture import ARGMAX, PREDICTIONS, SPLIT_SQL, TRAFFIC, predictions, requests, traffic
 from flowmill.catalog.registry import query, r, rounded
-from flowmill.operators import labelling
+from flowmill.catalog.rows import draw
+from flowmill.operators import labelling, metrics
 from flowmill.plans import features as plan
 from flowmill.plans import score as scoring
-from flowmill.plans import train, tune
+from flowmill.plans import train, training, tune
 from flowmill.plans.splits import split_of
 from flowmill.sources import models as stored
-from flowmill.sources import runs
+from flowmill.sources import parquet, runs
+from flowmill.sources import schemas as S
 from flowmill.sources.session import new_dir
 
 _TRAINED: dict[tuple[str, str, str], str] = {}
@@ -38,28 +44,49 @@ def model(spark, sf_dir: str, framework: str = "trees", refresh: bool = False) -
     return stored.load_model(_TRAINED[key], framework)
 
 
-def _scored_val(spark, sf_dir, framework: str):
-    val = feature_rows(spark, sf_dir).filter("split = 'val'")
-    out = scoring.score(val, model(spark, sf_dir, framework, refresh=True), framework=framework)
-    return out.select("event_id", "prediction", F.element_at("probability", F.col("prediction").cast("int") + 1).alias("confidence"))
+def _trained(spark, sf_dir, framework: str):
+    """All rows scored by a model trained on the train split: what holds for any such model."""
+    rows = feature_rows(spark, sf_dir)
+    out = scoring.score(rows, model(spark, sf_dir, framework, refresh=True), framework=framework)
+    p, best = F.col("probability"), F.col("prediction")
+    in_range = best.between(0, 5) & (F.get(p, best.cast("int")) == F.array_max(p)) & (F.array_min(p) >= 0)
+    total = F.aggregate(p, F.lit(0.0), lambda a, x: a + x)
+    return rounded(out.select("event_id", "split", in_range.alias("in_range"), total.alias("total"), "framework"))
+
+
+def _trained_sql(framework: str) -> str:
+    return f"""WITH {TRAFFIC} SELECT event_id, {SPLIT_SQL} AS split, TRUE AS in_range, 1.0::DOUBLE AS total,
+  '{framework}' AS framework FROM traffic"""
 
 
-@query("train_trees")
+@query("train_trees", _trained_sql("trees"))
 def train_trees(spark, sf_dir):
-    return rounded(_scored_val(spark, sf_dir, "trees"))
+    return _trained(spark, sf_dir, "trees")
 
 
-@query("train_mlp")
+@query("train_mlp", _trained_sql("net"))
 def train_mlp(spark, sf_dir):
-    return rounded(_scored_val(spark, sf_dir, "net"))
+    return _trained(spark, sf_dir, "net")
 
 
-@query("score_batch")
+@query("score_batch", f"""WITH {TRAFFIC} SELECT event_id, {SPLIT_SQL} AS split, CAST(6 AS INTEGER) AS n_classes, TRUE AS best,
+  'stable' AS variant, 'trees' AS framework, 'model_trees' AS model_key FROM traffic""")
 def score_batch(spark, sf_dir):
-    test = feature_rows(spark, sf_dir).filter("split = 'test'")
-    out = scoring.score(test, model(spark, sf_dir))
-    return out.select("event_id", "prediction", *[F.round(F.col("probability")[k], 6).alias(f"p{k}") for k in range(6)],
-                      "variant", "framework", "model_key")
+    out = scoring.score(feature_rows(spark, sf_dir), model(spark, sf_dir))
+    best = F.get("probability", F.col("prediction").cast("int")) == F.array_max("probability")
+    return out.select("event_id", "split", F.size("probability").alias("n_classes"), best.alias("best"), "variant", "framework", "model_key")
+
+
+@query("model_roundtrip", "SELECT event_id, TRUE AS same FROM events")
+def model_roundtrip(spark, sf_dir):
+    """A model read back from storage predicts what the saved one does."""
+    rows, root = feature_rows(spark, sf_dir), new_dir(spark, "models")
+    kept = model(spark, sf_dir)
+    stored.save_model(kept, root, "trees")
+    again = stored.load_model(root, "trees", refresh=True)
+    a = scoring.score(rows, kept).select("event_id", "probability")
+    b = scoring.score(rows, again).select("event_id", F.col("probability").alias("again"))
+    return a.join(b, "event_id").select("event_id", (F.col("probability") == F.col("again")).alias("same"))
 
 
 # a fixed linear model as the model from outside: weights of each class for three columns
@@ -68,9 +95,9 @@ _WEIGHTS = {"bytes_log_norm": (0.1, 0.9, -0.4, 0.2, 1.1, -0.7), "packet_log_norm
 _LINEAR = ", ".join(" + ".join(f"{c} * {w[k]}::DOUBLE" for c, w in _WEIGHTS.items()) for k in range(6))
 
 
-@query("score_foreign", f"""WITH {UNROUNDED}, scored AS (SELECT event_id, [{_LINEAR}] AS scores FROM final WHERE bucket >= 8),
-powers AS (SELECT event_id, scores, list_transform(scores, lambda x: exp(x - list_max(scores))) AS p FROM scored)
-SELECT event_id, {ARGMAX} AS prediction, {r('list_max(p) / list_sum(p)', 'confidence')}, 'linear' AS framework FROM powers""")
+@query("score_foreign", f"""WITH {UNROUNDED}, scored AS (SELECT event_id, [{_LINEAR}] AS scores, bucket FROM final),
+powers AS (SELECT event_id, bucket, scores, list_transform(scores, lambda x: exp(x - list_max(scores))) AS p FROM scored)
+SELECT event_id, {SPLIT_SQL} AS split, {ARGMAX} AS prediction, {r('list_max(p) / list_sum(p)', 'confidence')}, 'linear' AS framework FROM powers""")
 def score_foreign(spark, sf_dir):
     weights = np.array(list(_WEIGHTS.values()))
 
@@ -79,61 +106,117 @@ def score_foreign(spark, sf_dir):
         e = np.exp(z - z.max(axis=1, keepdims=True))
         return e / e.sum(axis=1, keepdims=True)
 
-    test = feature_rows(spark, sf_dir).filter("split = 'test'").select("event_id", *_WEIGHTS)
-    out = scoring.score_foreign(test, predict, tuple(_WEIGHTS), framework="linear")
-    return rounded(out.select("event_id", "prediction", F.array_max("probability").alias("confidence"), "framework"))
+    rows = feature_rows(spark, sf_dir).select("event_id", "split", *_WEIGHTS)
+    out = scoring.score_foreign(rows, predict, tuple(_WEIGHTS), framework="linear")
+    return rounded(out.select("event_id", "split", "prediction", F.array_max("probability").alias("confidence"), "framework"))
 
 
-@query("score_canary")
+@query("score_canary", f"""WITH drawn AS (SELECT event_id, {draw('event_id', '42')} < 0.1 AS canary FROM events)
+SELECT event_id, CASE WHEN canary THEN 'canary' ELSE 'stable' END AS variant, CASE WHEN canary THEN 'net' ELSE 'trees' END AS framework,
+  CASE WHEN canary THEN 'model_net' ELSE 'model_trees' END AS model_key, TRUE AS in_range FROM drawn""")
 def score_canary(spark, sf_dir):
-    test = feature_rows(spark, sf_dir).filter("split = 'test'")
-    out = scoring.score_routed(test, model(spark, sf_dir), model(spark, sf_dir, "net"), 0.1)
-    return out.select("event_id", "prediction", "variant", "framework", "model_key")
+    models = [scoring.Tagged(model(spark, sf_dir, f), f) for f in ("trees", "net")]
+    out = scoring.score_routed(feature_rows(spark, sf_dir), *models, 0.1)
+    return out.select("event_id", "variant", "framework", "model_key", F.col("prediction").between(0, 5).alias("in_range"))
 
 
-@query("score_requests")
+@query("score_requests", """SELECT event_id AS request_id,
+  CASE event_id % 8 WHEN 0 THEN CAST(2 AS BIGINT) WHEN 6 THEN CAST(1 AS BIGINT) WHEN 7 THEN CAST(1 AS BIGINT) ELSE CAST(0 AS BIGINT) END AS n_predictions,
+  CASE event_id % 8 WHEN 1 THEN 'not_an_object' WHEN 2 THEN 'missing_data' WHEN 3 THEN 'wrong_kind'
+    WHEN 4 THEN 'not_an_object' WHEN 5 THEN 'no_rows' END AS error FROM events""")
 def score_requests(spark, sf_dir):
-    return scoring.answer_requests(requests(spark, sf_dir), fitted_base(spark, sf_dir), model(spark, sf_dir))
+    replies = scoring.answer_requests(requests(spark, sf_dir), fitted_base(spark, sf_dir), model(spark, sf_dir))
+    return replies.select("request_id", "n_predictions", "error")
 
 
-@query("eval_by_split")
+@query("eval_by_split", f"""WITH {TRAFFIC} SELECT {SPLIT_SQL} AS split, CAST(count(*) AS BIGINT) AS support,
+  CAST(count(*) AS BIGINT) AS n_rows, TRUE AS in_range FROM traffic GROUP BY 1""")
 def eval_by_split(spark, sf_dir):
-    held_out = feature_rows(spark, sf_dir).filter("split <> 'train'")
-    tables = scoring.evaluate(scoring.score(held_out, model(spark, sf_dir)))
-    return rounded(tables["summary"].join(F.broadcast(tables["loss"].select("split", "mlogloss", "merror")), "split"))
+    tables = scoring.evaluate(scoring.score(feature_rows(spark, sf_dir), model(spark, sf_dir)))
+    both = tables["summary"].join(F.broadcast(tables["loss"]), "split")
+    shares = [F.col(c).between(0, 1) for c in ("accuracy", "precision_macro", "recall_weighted", "f1_avg", "merror")]
+    agree = F.abs(1 - F.col("accuracy") - F.col("merror")) < 1e-9
+    return both.select("split", "support", "n_rows", reduce(and_, shares, agree & (F.col("mlogloss") > 0)).alias("in_range"))
+
+
+@query("evaluation_saved", f"""WITH {PREDICTIONS}, grid AS (SELECT l.range AS label, p.range AS prediction FROM range(6) l, range(6) p)
+SELECT 'val' AS split, g.label, g.prediction, count(x.label) AS n FROM grid g LEFT JOIN predictions x
+  ON x.label = g.label AND x.prediction = g.prediction GROUP BY ALL""")
+def evaluation_saved(spark, sf_dir):
+    root = new_dir(spark, "evaluation")
+    stored.save_evaluation(root, "r1", {"confusion_matrix": metrics.confusion(predictions(spark, sf_dir))})
+    return spark.read.parquet(f"{root}/confusion_matrix").filter("run_id = 'r1'").select("split", "label", "prediction", "n")
+
+
+@query("checked_splits", f"""WITH {TRAFFIC} SELECT {SPLIT_SQL} AS split, CAST(count(*) AS BIGINT) AS n_rows FROM traffic GROUP BY 1""")
+def checked_splits(spark, sf_dir):
+    """The three splits of a training job, each with its target and features."""
+    processed, rows = new_dir(spark, "processed"), feature_rows(spark, sf_dir)
+    for name in S.SPLITS:
+        parquet.write(rows.filter(F.col("split") == name).drop("split"), parquet.split_path(processed, name))
+    counts = [df.agg(F.lit(name).alias("split"), F.count(F.lit(1)).alias("n_rows")) for name, df in training.load_splits(spark, processed).items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
+def _trials(spark, trials):
+    """What holds for every search: finite losses, one best run, and parameters that matter."""
+    best = runs.best_run(trials, "mlogloss").agg(F.count(F.lit(1)).alias("n_best"), F.min("number").alias("best"))
+    told = trials.agg(
+        F.count(F.lit(1)).alias("n_trials"), F.count_distinct("params").alias("n_params"), F.min("number").alias("smallest"),
+        (F.count_distinct("number") > 1).alias("losses_differ"), F.bool_and(F.col("number").between(1e-9, 1e9)).alias("finite"),
+    )
+    return told.crossJoin(F.broadcast(best)).select(
+        "n_trials", "n_params", "n_best", (F.col("best") == F.col("smallest")).alias("best_is_smallest"), "losses_differ", "finite"
+    )  # one row each
+
 
+def _trials_sql(n: int) -> str:
+    return f"""SELECT CAST({n} AS BIGINT) AS n_trials, CAST({n} AS BIGINT) AS n_params, CAST(1 AS BIGINT) AS n_best,
+  TRUE AS best_is_smallest, TRUE AS losses_differ, count(*) > 0 AS finite FROM events"""
 
-@query("tune_random")
+
+@query("tune_random", _trials_sql(3))
 def tune_random(spark, sf_dir):
     rows = feature_rows(spark, sf_dir)
     trials = tune.random_search(
-        rows.filter("split = 'train'"), rows.filter("split = 'val'"), max_train_rows=250_000, max_val_rows=150_000,
-        concurrent=2,
+        rows.filter("split = 'train'"), rows.filter("split = 'val'"), max_train_rows=250_000, concurrent=2,
+    )
+    return _trials(spark, trials)
+
+
+@query("tune_net", _trials_sql(3))
+def tune_net(spark, sf_dir):
+    rows = feature_rows(spark, sf_dir)
+    trials = tune.random_search(
+        rows.filter("split = 'train'"), rows.filter("split = 'val'"), "net", trials=3, max_train_rows=250_000, concurrent=2, hidden=(32,),
     )
-    best = runs.best_run(trials, "mlogloss").select("run_id", F.lit(True).alias("best"))
-    return rounded(trials.join(F.broadcast(best), "run_id", "left").fillna(False, subset=["best"]))
+    return _trials(spark, trials)
 
 
-@query("retrain_eval")
+@query("retrain_eval", f"""WITH {TRAFFIC} SELECT {SPLIT_SQL} AS split, CAST(count(*) AS BIGINT) AS support, TRUE AS better
+FROM traffic GROUP BY 1""")
 def retrain_eval(spark, sf_dir):
     """The model of the old labels against one trained on the concept rule's labels."""
     shifted = labelling.with_label(traffic(spark, sf_dir).withColumn("split", split_of()), "concept")
     rows = plan.apply_base(shifted, fitted_base(spark, sf_dir), keep=("event_id", "split"))
     again = train.fit("trees", rows.filter("split = 'train'"))
-    val = rows.filter("split = 'val'")
-    summaries = [
-        scoring.compare_drift({name: val}, m) for name, m in (("before", model(spark, sf_dir)), ("after", again))
-    ]
-    return rounded(summaries[0].unionByName(summaries[1]).withColumnRenamed("drift", "model"))
+    before, after = (
+        scoring.compare_drift({name: rows}, m, by=("split",)).select("split", "support", F.col("accuracy").alias(name))
+        for name, m in (("before", model(spark, sf_dir)), ("after", again))
+    )
+    return before.join(after.drop("support"), "split").select("split", "support", (F.col("after") > F.col("before")).alias("better"))
 
 
-@query("drift_model")
+@query("drift_model", f"""WITH {TRAFFIC} SELECT d.drift, {SPLIT_SQL} AS split, CAST(count(*) AS BIGINT) AS support, TRUE AS in_range
+FROM traffic, (VALUES ('normal'), ('data_drift'), ('concept_drift')) d(drift) GROUP BY ALL""")
 def drift_model(spark, sf_dir):
     """One model on the baseline, on shifted features and on shifted labels."""
-    flows = split(traffic(spark, sf_dir), "val")
+    flows = traffic(spark, sf_dir).withColumn("split", split_of())
     fitted = fitted_base(spark, sf_dir)
     shifted = labelling.clip_ranges(flows.withColumns({
         "packet_count": F.col("packet_count") + 400, "bytes_transferred": F.col("bytes_transferred") * 1.5,
     }))
     sets = {"normal": flows, "data_drift": shifted, "concept_drift": labelling.with_label(flows, "concept")}
-    return rounded(scoring.compare_drift({k: plan.apply_base(v, fitted) for k, v in sets.items()}, model(spark, sf_dir)))
+    rows = {k: plan.apply_base(v, fitted, keep=("split",)) for k, v in sets.items()}
+    out = scoring.compare_drift(rows, model(spark, sf_dir), by=("split",))
+    return out.select("drift", "split", "support", F.col("accuracy").between(0, 1).alias("in_range"))

@@ -107,7 +107,11 @@ def json_quarantine(spark, sf_dir):
 SELECT event_id AS request_id, pos,
   CASE event_id % 8 WHEN 1 THEN 'not_an_object' WHEN 2 THEN 'missing_data' WHEN 3 THEN 'wrong_kind'
     WHEN 4 THEN 'not_an_object' WHEN 5 THEN 'no_rows' END AS error,
-  {', '.join(f'CASE WHEN event_id % 8 IN (0, 6, 7) THEN {c} END AS {c}' for c in FLOW_SQL.split(', '))} FROM numbered""")
+  {', '.join(f'CASE WHEN event_id % 8 IN (0, 6, 7) THEN {c} END AS {c}' for c in FLOW_SQL.split(', ')[:6])},
+  CASE WHEN event_id % 8 IN (0, 6) THEN "timestamp" END AS "timestamp",
+  CASE WHEN event_id % 8 = 7 THEN CAST(event_id % 24 AS INTEGER) END AS hour, CASE WHEN event_id % 8 = 7 THEN 4 END AS dayofweek,
+  CASE WHEN event_id % 8 = 7 THEN 0 END AS is_weekend, CASE WHEN event_id % 8 = 7 THEN 0.5::DOUBLE END AS hour_sin,
+  CASE WHEN event_id % 8 = 7 THEN -0.25::DOUBLE END AS hour_cos FROM numbered""")
 def payload_rows(spark, sf_dir):
     return messages.request_rows(requests(spark, sf_dir))
 
@@ -304,7 +308,7 @@ def num_classes(spark, sf_dir):
 p AS (SELECT *, list_transform(scores, lambda x: exp(x - list_max(scores))) AS powers FROM concept),
 loss AS (SELECT {SPLIT_SQL} AS split, -ln(greatest(powers[attack + 1] / list_sum(powers), 1e-15::DOUBLE)) AS loss,
   CASE WHEN {ARGMAX} <> attack THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS wrong FROM p)
-SELECT split, {r('avg(loss)', 'mlogloss')}, {r('avg(wrong)', 'merror')}, count(*) AS n_rows FROM loss GROUP BY split""")
+SELECT split, {r('avg(loss)', 'mlogloss')}, {r('avg(wrong)', 'merror')}, count(*) AS n_rows, CAST(0 AS BIGINT) AS n_excluded FROM loss GROUP BY split""")
 def log_loss(spark, sf_dir):
     scored = traffic(spark, sf_dir).select(
         job.split_of().alias("split"), F.col("attack").alias("label"), F.array(*scores.concept_scores()).alias("scores")

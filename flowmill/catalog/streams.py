@@ -12,6 +12,7 @@ from flowmill.catalog.registry import query, rounded
 from flowmill.catalog.rows import FLOW_SQL
 from flowmill.functions import messages
 from flowmill.plans.features import apply_base
+from flowmill.sources import kafka
 from flowmill.sources.session import new_dir
 from flowmill.streaming import events, scoring
 
@@ -24,12 +25,16 @@ def _topic(spark, sf_dir, broken: bool = False, copies: bool = False) -> str:
     if copies:  # every fifth event is delivered again at another offset
         again = out.filter(F.col("key").cast("long") % 5 == 0).withColumn("offset", F.col("offset") + 1)
         out = out.unionByName(again)
-    out.repartition(FILES).write.parquet(path)
+    # by hash of the message: each file spans the whole time, in no order
+    out.repartition(FILES, F.xxhash64("key", "offset")).write.parquet(path)
     return path
 
 
-def _stream(spark, path: str):
-    return events.file_stream(spark, path, files_per_batch=2)
+def _stream(spark, path: str, files: int = 2):
+    return events.file_stream(spark, path, files_per_batch=files)
+
+
+MESSAGE_COLUMNS = ("key", "value", "partition", "offset", "message_time")
 
 
 def _finish(df, spark):
@@ -40,25 +45,42 @@ def _finish(df, spark):
 
 
 @query("stream_source", """SELECT CAST(event_id AS VARCHAR) AS key, CAST(event_id % 6 AS INTEGER) AS "partition",
-  CAST(floor(event_id / 6) AS BIGINT) AS "offset" FROM events""")
+  CAST(floor(event_id / 6) AS BIGINT) AS "offset", CAST(floor(epoch(ts)) AS BIGINT) AS message_epoch FROM events""")
 def stream_source(spark, sf_dir):
     stream = events.present(_stream(spark, _topic(spark, sf_dir)))
-    return _finish(stream.select("key", "partition", "offset"), spark)
+    return _finish(stream.select("key", "partition", "offset", F.unix_timestamp("message_time").alias("message_epoch")), spark)
+
+
+@query("kafka_records", f"WITH {TRAFFIC} SELECT CAST(event_id AS VARCHAR) AS event_id, {FLOW_SQL}, attack FROM traffic".replace(", attack, attack", ", attack"))
+def kafka_records(spark, sf_dir):
+    """Records in the connector's own shape (bytes, a ``timestamp`` column), decoded."""
+    sent = event_messages(spark, sf_dir)
+    records = sent.select(F.encode("key", "UTF-8").alias("key"), F.encode("value", "UTF-8").alias("value"), F.lit("t").alias("topic"),
+                          "partition", "offset", F.col("message_time").alias("timestamp"), F.lit(0).alias("timestampType"))
+    return messages.usable(events.decoded(kafka.as_rows(records))).drop(*MESSAGE_COLUMNS)
+
+
+@query("empty_polls", "SELECT CAST(event_id AS VARCHAR) AS key FROM events WHERE event_id % 7 > 1")
+def empty_polls(spark, sf_dir):
+    path = new_dir(spark, "topic")
+    kind = F.col("key").cast("long") % 7
+    blank = F.when(kind == 0, F.lit(None).cast("string")).when(kind == 1, F.lit("  ")).otherwise(F.col("value"))
+    event_messages(spark, sf_dir).withColumn("value", blank).write.parquet(path)
+    return _finish(events.present(_stream(spark, path)).select("key"), spark)
 
 
 @query("stream_land", f"WITH {TRAFFIC} SELECT CAST(event_id AS VARCHAR) AS event_id, {FLOW_SQL}, attack FROM traffic")
 def stream_land(spark, sf_dir):
     flows = messages.usable(events.decoded(_stream(spark, _topic(spark, sf_dir))))
-    return _finish(flows.drop("key", "value", "partition", "offset"), spark)
+    return _finish(flows.drop(*MESSAGE_COLUMNS), spark)
 
 
 @query("stream_dedup", f"WITH {TRAFFIC} SELECT CAST(event_id AS VARCHAR) AS event_id, {FLOW_SQL}, attack FROM traffic")
 def stream_dedup(spark, sf_dir):
     events.keep_state_on_disk(spark)
-    flows = messages.usable(events.decoded(_stream(spark, _topic(spark, sf_dir, copies=True))))
-    # the files are not in time order, so the delay spans the month of data
-    distinct = events.deduplicated(flows, "31 days")
-    return _finish(distinct.drop("key", "value", "partition", "offset"), spark)
+    flows = messages.usable(events.decoded(_stream(spark, _topic(spark, sf_dir, copies=True), files=1)))
+    distinct = events.deduplicated(flows)
+    return _finish(distinct.drop(*MESSAGE_COLUMNS), spark)
 
 
 @query("stream_quarantine", """SELECT CASE WHEN event_id % 10 > 3 THEN 'good' ELSE 'bad' END AS sink,
@@ -81,9 +103,20 @@ def stream_features(spark, sf_dir):
     return rounded(_finish(features, spark))
 
 
-@query("stream_score")
+@query("stream_score", """SELECT CAST(event_id AS VARCHAR) AS key, CASE WHEN event_id % 10 > 3 THEN 'scored'
+  WHEN event_id % 10 IN (0, 3) THEN 'unparsable' ELSE 'missing_field' END AS outcome,
+  CASE WHEN event_id % 10 > 3 THEN CAST(1 AS BIGINT) ELSE CAST(0 AS BIGINT) END AS n_predictions,
+  CASE WHEN event_id % 10 > 3 THEN 'model_trees' END AS model_key FROM events""")
 def stream_score(spark, sf_dir):
-    scored = scoring.scores(
-        _stream(spark, _topic(spark, sf_dir, broken=True)), fitted_base(spark, sf_dir), models.model(spark, sf_dir)
-    )
-    return _finish(scoring.score_messages(scored), spark)
+    """Scores and rejected messages; together they are all messages."""
+    fitted, model = fitted_base(spark, sf_dir), models.model(spark, sf_dir)
+    decoded = events.decoded(_stream(spark, _topic(spark, sf_dir, broken=True)))
+    good, bad = new_dir(spark, "good"), new_dir(spark, "bad")
+    events.write_split(decoded, good, bad, new_dir(spark, "progress"), finish=True, carried=("key",),
+                       prepare=lambda flows: scoring.score_messages(scoring.score_flows(flows, fitted, model))).awaitTermination()
+    reply = F.from_json("value", "predictions array<long>, model struct<model_key string>")
+    scored = spark.read.parquet(good).withColumn("reply", reply).select(
+        "key", F.lit("scored").alias("outcome"), F.size("reply.predictions").cast("long").alias("n_predictions"), "reply.model.model_key")
+    rejected = spark.read.parquet(bad).select("key", F.col("problem").alias("outcome"), F.lit(0).cast("long").alias("n_predictions"),
+                                              F.lit(None).cast("string").alias("model_key"))
+    return scored.unionByName(rejected)

@@ -9,6 +9,9 @@ from flowmill.functions import time
 from flowmill.sources.schemas import WELL_KNOWN_PORTS
 
 
+TIME_FEATURES = ("hour", "dayofweek", "is_weekend", "hour_sin", "hour_cos")
+
+
 def time_columns(
     column: str = "timestamp", unit: str = "s", weekend_days: tuple[int, ...] = (5, 6)
 ) -> dict[str, Column]:

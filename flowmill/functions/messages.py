@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from flowmill.functions import time
 from flowmill.sources.schemas import EVENT_SCHEMA, FLOW_SCHEMA, PROPERTIES
 
+# a request's record: the flow, and the time features if the sender has them already
 REQUEST_ROW = "struct<" + ",".join(
-    f"{f.name}:{f.dataType.simpleString()}" for f in FLOW_SCHEMA if f.name != "attack"
+    [f"{f.name}:{f.dataType.simpleString()}" for f in FLOW_SCHEMA if f.name != "attack"]
+    + ["hour:int", "dayofweek:int", "is_weekend:int", "hour_sin:double", "hour_cos:double"]
 ) + ">"
 
 
@@ -63,8 +65,8 @@ def usable(decoded: DataFrame) -> DataFrame:
     return _keep_if(decoded, F.col("problem").isNull(), columns)
 
 
-def quarantined(decoded: DataFrame, value: str = "value") -> DataFrame:
-    return _keep_if(decoded, F.col("problem").isNotNull(), [value, "problem"])
+def quarantined(decoded: DataFrame, value: str = "value", carried: tuple[str, ...] = ()) -> DataFrame:
+    return _keep_if(decoded, F.col("problem").isNotNull(), [*carried, value, "problem"])
 
 
 def request_rows(requests: DataFrame, body: str = "body") -> DataFrame:

@@ -12,8 +12,9 @@ AVERAGED = ("precision", "recall", "f1")
 
 
 def _row_loss(label: str, probability: str, floor: float = 1e-15) -> Column:
-    given = F.element_at(F.col(probability), F.col(label).cast("int") + 1)
-    return -F.log(F.greatest(given, F.lit(floor)))
+    # null for a label outside the classes
+    given = F.get(F.col(probability), F.col(label).cast("int"))
+    return F.when(given.isNotNull(), -F.log(F.greatest(given, F.lit(floor))))
 
 
 def confusion(
@@ -125,12 +126,14 @@ def accuracy(df: DataFrame, label: str = "label", prediction: str = "prediction"
 
 
 def log_loss(df: DataFrame, label: str = "label", probability: str = "probability", by: tuple[str, ...] = ()) -> DataFrame:
-    """Mean negative log of the probability given to the true class, and the error rate."""
+    """Mean negative log of the probability given to the true class, and the error rate, over the
+    ``n_rows`` rows whose label is a class; ``n_excluded`` counts the others."""
     best = F.array_position(F.col(probability), F.array_max(probability)) - 1
+    inside = F.coalesce((F.col(label) >= 0) & (F.col(label) < F.size(probability)), F.lit(False))
     return df.groupBy(*by).agg(
-        F.avg(_row_loss(label, probability)).alias("mlogloss"),
-        F.avg((best != F.col(label)).cast("double")).alias("merror"),
-        F.count(F.lit(1)).alias("n_rows"),
+        F.avg(F.when(inside, _row_loss(label, probability))).alias("mlogloss"),
+        F.avg(F.when(inside, (best != F.col(label)).cast("double"))).alias("merror"),
+        F.count(F.when(inside, 1)).alias("n_rows"), F.count(F.when(~inside, 1)).alias("n_excluded"),
     )
 
 

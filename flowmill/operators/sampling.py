@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from flowmill.functions import scalar
 from flowmill.operators import skew
 
-PREFIX = 4  # hex digits that name a bucket: 65,536 buckets
+BUCKET_ROWS = 50_000  # rows of a group that are ranked together, about
 MIN_PER_CLASS = 5
 
 
@@ -28,15 +28,19 @@ def sample_fraction(df: DataFrame, fraction: float | None, key: str | None, seed
 def _first_by_hash(df: DataFrame, by: tuple[str, ...], quota: DataFrame, key: str, seed: int) -> DataFrame:
     """Per group, the ``_quota`` rows with the smallest key hash, without sorting whole groups.
 
-    ``quota`` has one row per group and must be small enough to broadcast. Rows are counted by
-    the first hash digits; the last wanted row lies in the bucket where a group's running count
-    passes its quota, and only that bucket (about 1/65536 of a group) is ranked. The rows up to
-    that one are then a plain filter of the input.
+    ``quota`` has one row ``(*by, _quota, _rows)`` per group and must be small enough to broadcast.
+    Rows are counted by as many hash digits as make buckets of at most ``BUCKET_ROWS`` rows; the last
+    wanted row lies in the bucket where a group's running count passes its quota, and only that bucket
+    is ranked. The rows up to that one are then a plain filter of the input.
     """
-    named = quota.select(*[F.col(c).alias(f"_of_{c}") for c in by], "_quota")
+    digits = F.greatest(F.lit(1), F.ceil(F.log(16.0, F.col("_rows") / F.lit(BUCKET_ROWS)))).cast("int")
+    sized = quota.select(*[F.col(c).alias(f"_of_{c}") for c in by], "_quota", digits.alias("_digits"))
+    named = sized.drop("_digits")
     on = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by]
-    hashes = df.select(*by, key, scalar.hash_key(key, seed).alias("_hash"))
-    bucket = F.substring("_hash", 1, PREFIX)
+    hashes = df.select(*by, key, scalar.hash_key(key, seed).alias("_hash")).join(F.broadcast(sized.drop("_quota")), on)
+    hashes = hashes.withColumn("_digits_hash", F.substring(F.col("_hash"), F.lit(1), F.col("_digits"))).drop(
+        "_digits", *[f"_of_{c}" for c in by])
+    bucket = F.col("_digits_hash")
 
     counts = hashes.groupBy(*by, bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"))
     running = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
@@ -80,21 +84,21 @@ def stratified_sample(
     out = ranked.filter(F.col("_rank") <= _class_quota(F.col("_n"), fraction)).drop("_rank", "_n")
     if large is None:
         return out
-    quota = hot.select(by, _class_quota(F.col("n_rows"), fraction).alias("_quota"))
+    quota = hot.select(by, _class_quota(F.col("n_rows"), fraction).alias("_quota"), F.col("n_rows").alias("_rows"))
     return out.unionByName(_first_by_hash(large, (by,), quota, key, seed))
 
 
 def cap_rows(df: DataFrame, n: int, key: str | None = None, seed: int = 42) -> DataFrame:
-    """At most ``n`` rows, 0 or less for no cap: the smallest key hashes, or any rows without a key."""
+    """At most ``n`` rows, 0 or less for no cap: those with the smallest hashes of the unique ``key``."""
     if n <= 0:
         return df
     if key is None:
-        return df.limit(n)
+        raise ValueError("a row cap draws by hashes of a unique key; name that column")
     one = df.withColumn("_all", F.lit(0))
     total = df.count()
     if total <= n:
         return df
-    quota = df.sparkSession.createDataFrame([(0, n)], "_all int, _quota long")
+    quota = df.sparkSession.createDataFrame([(0, n, total)], "_all int, _quota long, _rows long")
     return _first_by_hash(one, ("_all",), quota, key, seed).drop("_all")
 
 

@@ -10,9 +10,11 @@ Scaler = dict[str, dict[str, float]]
 
 
 def scaler_table(
-    df: DataFrame, columns: tuple[str, ...], population: bool = False, nulls_as_zero: bool = False
+    df: DataFrame, columns: tuple[str, ...], population: bool = False, nulls_as_zero: bool = False,
+    keep_zero: bool = False,
 ) -> DataFrame:
-    """Rows ``(column, mean, std)``; a missing or zero deviation becomes 1."""
+    """Rows ``(column, mean, std)``; a missing deviation becomes 1, and so does a zero one unless
+    ``keep_zero``, which is for :func:`scale` with an epsilon."""
     deviation = F.stddev_pop if population else F.stddev_samp
     inputs = {c: F.col(c).cast("double") for c in columns}
     if nulls_as_zero:
@@ -24,7 +26,7 @@ def scaler_table(
     entry = [
         F.struct(
             F.lit(c).alias("column"), F.col(f"mean_{c}").alias("mean"),
-            F.coalesce(F.nullif(F.col(f"std_{c}"), F.lit(0.0)), F.lit(1.0)).alias("std"),
+            F.coalesce(F.col(f"std_{c}") if keep_zero else F.nullif(F.col(f"std_{c}"), F.lit(0.0)), F.lit(1.0)).alias("std"),
         )
         for c in columns
     ]
@@ -32,9 +34,9 @@ def scaler_table(
 
 
 def fit_scaler(df: DataFrame, columns: tuple[str, ...], population: bool = False,
-               nulls_as_zero: bool = False) -> Scaler:
+               nulls_as_zero: bool = False, keep_zero: bool = False) -> Scaler:
     """Scaler parameters on the driver: one row per column."""
-    rows = scaler_table(df, columns, population, nulls_as_zero).collect()
+    rows = scaler_table(df, columns, population, nulls_as_zero, keep_zero).collect()
     empty = [r["column"] for r in rows if r["mean"] is None]
     if empty:
         raise ValueError(f"no values to fit a scaler on: {empty}")

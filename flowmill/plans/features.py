@@ -20,31 +20,26 @@ from flowmill.sources.session import pinned
 # ---- base set: 14 features ------------------------------------------------
 
 def base_columns(df: DataFrame, unit: str = "s", weekend_days: tuple[int, ...] = (5, 6)) -> DataFrame:
-    """Time, log and crossed columns, in one projection."""
-    return df.withColumns(
-        flow.time_columns("timestamp", unit, weekend_days)
-        | flow.log_columns()
-        | {"protocol_conn": flow.protocol_conn()}
-    )
+    """Time, log and crossed columns, in one projection. Time columns that a row brings along are
+    kept and only derived where they are null."""
+    derived = flow.time_columns("timestamp", unit, weekend_days)
+    brought = {c: F.coalesce(F.col(c), derived[c]) for c in flow.TIME_FEATURES if c in df.columns}
+    return df.withColumns(derived | brought | flow.log_columns() | {"protocol_conn": flow.protocol_conn()})
 
 
 @dataclass(frozen=True)
 class Fitted:
     """Encoders and scaler of a training table.
 
-    ``encoders`` is a dictionary, or a table when the vocabulary is too large for the driver.
+    ``encoders`` is a dictionary, or a table when the vocabulary is too large for the driver. Both
+    are stored as a table.
     """
 
     encoders: enc.Encoders | DataFrame
     scaler: sc.Scaler
 
-    def as_params(self) -> dict:
-        if not isinstance(self.encoders, dict):
-            raise ValueError("the vocabulary is too large for one JSON document; write the table")
-        return {"encoders": self.encoders, "scaler": self.scaler}
-
     def save(self, spark, path: str) -> None:
-        stored.save(spark, self.as_params(), path)
+        stored.save(spark, self.encoders, self.scaler, path)
 
     @staticmethod
     def load(spark, path: str) -> "Fitted":

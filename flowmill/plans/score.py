@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -29,6 +30,28 @@ def _class_weights(scored: DataFrame) -> Column:
     return F.array(*[vector_to_array(f"probability_{k}")[1] for k in range(NUM_CLASSES)])
 
 
+def _weighed(ready: DataFrame, model: PipelineModel, out: str) -> DataFrame:
+    scored = model.transform(ready)
+    return scored.select(*ready.columns, _class_weights(scored).alias(out))
+
+
+def _ready(features: DataFrame) -> DataFrame:
+    """Features with nulls as 0 beside the columns as they came, which go out again."""
+    kept = F.struct(*[F.col(f"`{c}`") for c in features.columns]).alias("_kept")
+    return features.select("*", kept).fillna(0.0, subset=list(FEATURES))
+
+
+def _predicted(weighted: DataFrame, columns: list[str], tags: list[Column]) -> DataFrame:
+    # the weights get a projection of their own: they are used several times below
+    total = F.greatest(F.aggregate("_weights", F.lit(0.0), lambda a, w: a + w), F.lit(1e-300))
+    summed = weighted.withColumn("_total", total)
+    return summed.select(
+        *[F.col(f"_kept.`{c}`").alias(c) for c in columns],
+        scalar.argmax(F.col("_weights")).alias("prediction"),
+        F.transform("_weights", lambda w: w / F.col("_total")).alias("probability"), *tags,
+    )
+
+
 def score(
     features: DataFrame, model: PipelineModel, variant: str = "stable", framework: str = "trees",
     model_key: str | None = None,
@@ -37,20 +60,9 @@ def score(
 
     Works alike on batch and streaming tables; nothing but JVM expressions runs per row.
     """
-    ready = features.fillna(0.0, subset=list(FEATURES))
-    scored = model.transform(ready)
-    # the weights get a projection of their own: they are used several times below
-    weighted = scored.select(*features.columns, _class_weights(scored).alias("_weights"))
-    total = F.greatest(F.aggregate("_weights", F.lit(0.0), lambda a, w: a + w), F.lit(1e-300))
-    summed = weighted.withColumn("_total", total)
-    return summed.select(
-        *features.columns,
-        scalar.argmax(F.col("_weights")).alias("prediction"),
-        F.transform("_weights", lambda w: w / F.col("_total")).alias("probability"),
-        F.lit(variant).alias("variant"),
-        F.lit(framework).alias("framework"),
-        F.lit(model_key or f"model_{framework}").alias("model_key"),
-    )
+    weighted = _weighed(_ready(features), model, "_weights").select("_kept", "_weights")
+    tags = {"variant": variant, "framework": framework, "model_key": model_key or f"model_{framework}"}
+    return _predicted(weighted, features.columns, [F.lit(v).alias(k) for k, v in tags.items()])
 
 
 def score_foreign(
@@ -80,21 +92,40 @@ def score_foreign(
     return features.mapInPandas(batches, schema).withColumns({k: F.lit(v) for k, v in tags.items()})
 
 
+@dataclass(frozen=True)
+class Tagged:
+    """A model and the names its predictions carry."""
+
+    model: PipelineModel
+    framework: str = "trees"
+    model_key: str | None = None
+
+    @property
+    def key(self) -> str:
+        return self.model_key or f"model_{self.framework}"
+
+
 def score_routed(
-    features: DataFrame, stable: PipelineModel, canary: PipelineModel, share: float,
-    key: str = "event_id", seed: int = 42, framework: str = "trees",
+    features: DataFrame, stable: Tagged, canary: Tagged, share: float, key: str = "event_id", seed: int = 42,
 ) -> DataFrame:
-    """Score a ``share`` of rows with the canary model and the rest with the stable one."""
-    routed = assign_variant(features, share, key, seed)
-    parts = [
-        score(routed.filter(F.col("variant") == v).drop("variant"), m, v, framework)
-        for v, m in (("stable", stable), ("canary", canary))
+    """Score a ``share`` of rows with the canary model and the rest with the stable one, in one pass
+    over the input; every row is tagged with the model that scored it."""
+    routed = _ready(assign_variant(features.drop("variant"), share, key, seed).withColumnRenamed("variant", "_variant"))
+    columns = [c for c in features.columns if c != "variant"]
+    both = _weighed(routed, stable.model, "_stable")
+    both = _weighed(both, canary.model, "_canary")
+    is_canary = F.col("_variant") == "canary"
+    chosen = both.select("_kept", "_variant", F.when(is_canary, F.col("_canary")).otherwise(F.col("_stable")).alias("_weights"))
+    tags = [
+        F.col("_variant").alias("variant"),
+        F.when(is_canary, canary.framework).otherwise(stable.framework).alias("framework"),
+        F.when(is_canary, canary.key).otherwise(stable.key).alias("model_key"),
     ]
-    return parts[0].unionByName(parts[1])
+    return _predicted(chosen, columns, tags)
 
 
 def replies(scored: DataFrame, keep: tuple[str, ...], error: str | None = None) -> DataFrame:
-    """Reply text per row: predictions, probabilities and model, or the reason of a bad request."""
+    """Reply text per row: prediction, probabilities and model, or the reason of a bad request."""
     answer = F.to_json(F.struct(
         F.array("prediction").alias("predictions"), F.array("probability").alias("probabilities"),
         F.struct("variant", "framework", "model_key").alias("model"),
@@ -105,13 +136,30 @@ def replies(scored: DataFrame, keep: tuple[str, ...], error: str | None = None)
 
 
 def answer_requests(
-    requests: DataFrame, fitted: Fitted, model: PipelineModel, body: str = "body", **tag: str
+    requests: DataFrame, fitted: Fitted, model: PipelineModel, key: str = "request_id", body: str = "body",
+    received: str | None = None, **tag: str,
 ) -> DataFrame:
-    """Replies to scoring requests, one row per flow record of a request (``pos`` numbers them)."""
-    rows = request_rows(requests, body)
-    keep = (*[c for c in requests.columns if c != body], "pos")
-    features = apply_base(rows, fitted, keep=(*keep, "error"), fill=0.0)
-    return replies(score(features, model, **tag), keep, "error")
+    """One reply per request ``key``: the predictions and probabilities of all its records in order,
+    the model, and ``latency_ms`` since the time in ``received`` if that is given; or the error."""
+    keep = (key,) if received is None else (key, received)
+    rows = request_rows(requests.select(*keep, body), body)
+    features = apply_base(rows, fitted, keep=(*keep, "pos", "error"), fill=0.0)
+    scored = score(features, model, **tag)
+    # a request is one message, so its records are few
+    records = F.array_sort(F.collect_list(F.struct("pos", "prediction", "probability")))
+    grouped = scored.groupBy(*keep, "variant", "framework", "model_key").agg(
+        records.alias("records"), F.min("error").alias("error")
+    )
+    body_of = {"predictions": F.col("records.prediction"), "probabilities": F.col("records.probability")}
+    if received is not None:
+        body_of["latency_ms"] = (F.unix_micros(F.current_timestamp()) - F.unix_micros(F.col(received))) / 1000.0
+    body_of["model"] = F.struct("variant", "framework", "model_key")
+    answer = F.to_json(F.struct(*[v.alias(k) for k, v in body_of.items()]))
+    failed = F.to_json(F.struct("error"))
+    return grouped.select(
+        key, F.when(F.col("error").isNull(), F.size("records")).otherwise(0).cast("long").alias("n_predictions"), "error",
+        F.when(F.col("error").isNull(), answer).otherwise(failed).alias("reply"),
+    )
 
 
 def evaluate(scored: DataFrame, target: str = TARGET, by: tuple[str, ...] = ("split",)) -> dict[str, DataFrame]:
@@ -130,8 +178,8 @@ def evaluate(scored: DataFrame, target: str = TARGET, by: tuple[str, ...] = ("sp
     }
 
 
-def compare_drift(sets: dict[str, DataFrame], model: PipelineModel, target: str = TARGET) -> DataFrame:
-    """One model's summary on several labelled tables, one row per table (``drift``)."""
+def compare_drift(sets: dict[str, DataFrame], model: PipelineModel, target: str = TARGET, by: tuple[str, ...] = ()) -> DataFrame:
+    """One model's summary on several labelled tables, one row per table (``drift``) and group."""
     tagged = [df.withColumn("drift", F.lit(name)) for name, df in sets.items()]
     scored = score(reduce(DataFrame.unionByName, tagged), model)
-    return evaluate(scored, target, ("drift",))["summary"]
+    return evaluate(scored, target, ("drift", *by))["summary"]

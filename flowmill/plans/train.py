@@ -18,7 +18,7 @@ from flowmill.sources.session import shared_dir
 
 # fixed values: default training parameters
 TREE_PARAMS = {"eta": 0.3, "max_depth": 6, "rounds": 10, "min_child_weight": 1, "subsample": 1.0, "max_bins": 256}
-NET_PARAMS = {"hidden": (512, 512), "max_epochs": 10, "batch_size": 256, "lr": 1e-3}
+NET_PARAMS = {"hidden": (512, 512), "max_epochs": 10, "batch_size": 256, "lr": 1e-3, "solver": "l-bfgs"}
 
 
 def model_input(df: DataFrame, target: str = TARGET) -> DataFrame:
@@ -39,8 +39,10 @@ def _spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
-def fit_trees(train: DataFrame, target: str = TARGET, seed: int = 42, parallel: int = NUM_CLASSES, **params) -> PipelineModel:
-    """Boosted trees, one ensemble per class, fitted side by side on one cached table.
+def fit_trees(train: DataFrame, target: str = TARGET, seed: int = 42, parallel: int = 2, **params) -> PipelineModel:
+    """Boosted trees, one ensemble per class, ``parallel`` of them side by side on one cached table.
+
+    Each fit keeps tables of its own beside that one, so memory bounds ``parallel``.
 
     ``eta``, ``max_depth``, ``rounds``, ``min_child_weight``, ``subsample`` and ``max_bins``
     are the step size, depth, number of trees, smallest leaf, row sample and histogram size.
@@ -48,7 +50,7 @@ def fit_trees(train: DataFrame, target: str = TARGET, seed: int = 42, parallel:
     p = TREE_PARAMS | params
     shared_dir(train.sparkSession)  # long boosting lineage is cut in the shared folder
     assembler = _assembler()
-    rows = assembler.transform(model_input(train, target)).select("features", "label")
+    rows = _spread(assembler.transform(model_input(train, target)).select("features", "label"))
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
 
     def fit_class(k: int):
@@ -68,14 +70,17 @@ def fit_trees(train: DataFrame, target: str = TARGET, seed: int = 42, parallel:
 
 
 def fit_net(train: DataFrame, target: str = TARGET, seed: int = 42, **params) -> PipelineModel:
-    """Feed-forward net 14 -> hidden layers -> 6 with softmax output."""
+    """Feed-forward net 14 -> hidden layers -> 6 with softmax output.
+
+    ``lr`` is the step size of the solver ``gd``; ``l-bfgs`` finds its steps itself.
+    """
     p = NET_PARAMS | params
     assembler = _assembler()
     rows = _spread(assembler.transform(model_input(train, target)).select("features", "label"))
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     net = MultilayerPerceptronClassifier(
         layers=[len(FEATURES), *p["hidden"], NUM_CLASSES], maxIter=p["max_epochs"],
-        blockSize=p["batch_size"], stepSize=p["lr"], seed=seed,
+        blockSize=p["batch_size"], stepSize=p["lr"], solver=p["solver"], seed=seed,
     )
     try:
         return PipelineModel([assembler, net.fit(rows)])

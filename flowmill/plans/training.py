@@ -33,19 +33,20 @@ def _wide_metrics(tables: dict[str, DataFrame]) -> dict[str, float]:
 def run(
     spark: SparkSession, processed: str, output: str, framework: str = "trees", run_id: str = "run",
     search: bool = False, fraction: float | None = 0.2, trials: int | None = None, key: str | None = None,
-    max_train_rows: int = 0, max_val_rows: int = 0, runs_path: str | None = None, target: str = TARGET,
+    max_train_rows: int = 0, runs_path: str | None = None, target: str = TARGET,
     seed: int = 42, **params,
 ) -> tuple[PipelineModel, dict[str, float]]:
     """Train on ``train``, evaluate on ``val`` and ``test``; returns the model and its metrics.
 
-    With ``search`` the parameters come from a random search on a sample. The model, the
+    With ``search`` the parameters come from a random search on a sample, drawn by hashes of the unique
+    column ``key`` (keep one through the split job); a row cap needs it. The model, the
     matrices and the reports go to ``output``, parameters and metrics to ``runs_path`` if given.
     """
     splits = load_splits(spark, processed, target)
     if search:
         found = tune.random_search(
             splits["train"], splits["val"], framework, key, target, trials, seed, fraction,
-            max_train_rows, max_val_rows, **params,
+            max_train_rows, **params,
         )
         params = params | tune.best_params(found)
     model = train.fit(framework, splits["train"], target=target, seed=seed, **params)

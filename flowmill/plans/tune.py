@@ -46,7 +46,8 @@ SPACES: dict[str, dict[str, Draw]] = {
         "subsample": uniform(0.5, 1.0),
         "eta": log_uniform(1e-4, 3e-1),
     },
-    "net": {"batch_size": choice(64, 128, 256), "lr": log_uniform(1e-5, 1e-1)},
+    # the step size acts under gradient descent only
+    "net": {"solver": choice("gd"), "lr": log_uniform(1e-5, 1e-1), "max_epochs": whole(5, 21)},
 }
 TRIALS = {"trees": 3, "net": 5}
 
@@ -60,16 +61,17 @@ def draw_trials(framework: str, trials: int | None = None, seed: int = 42) -> li
 def random_search(
     train_df: DataFrame, val_df: DataFrame, framework: str = "trees", key: str | None = "event_id",
     target: str = TARGET, trials: int | None = None, seed: int = 42, fraction: float | None = 0.2,
-    max_train_rows: int = 0, max_val_rows: int = 0, concurrent: int = 1, **fixed,
+    max_train_rows: int = 0, concurrent: int = 1, **fixed,
 ) -> DataFrame:
     """One row per trial: ``run_id``, ``name`` (``mlogloss``), ``number`` and its parameters.
 
-    Trials share one cached sample of the training table and one cached validation table.
+    Trials share one cached sample of the training table, ``max_train_rows`` rows at most, and are
+    compared on the whole validation table.
     ``fixed`` parameters go to every trial unchanged.
     """
     sample = cap_rows(sample_fraction(train_df, fraction, key, seed), max_train_rows, key, seed)
     sample = sample.persist(StorageLevel.MEMORY_AND_DISK)
-    held_out = cap_rows(val_df, max_val_rows, key, seed).persist(StorageLevel.MEMORY_AND_DISK)
+    held_out = val_df.persist(StorageLevel.MEMORY_AND_DISK)
 
     def trial(job: tuple[int, dict]) -> tuple[str, str, float, str]:
         number, params = job

@@ -39,11 +39,18 @@ def source_options(servers: str, topic: str = EVENT_TOPIC, min_partitions: int |
 
 
 def stream(spark: SparkSession, options: dict[str, str]) -> DataFrame:
-    """Unbounded rows ``(key, value, partition, offset, timestamp)`` with text key and value."""
-    raw = spark.readStream.format("kafka").options(**options).load()
-    return raw.select(
-        F.col("key").cast("string"), F.col("value").cast("string"),
-        "partition", "offset", "timestamp",
+    """Unbounded rows of :data:`flowmill.sources.schemas.MESSAGE_SCHEMA`, key and value as text.
+
+    The broker's time is ``message_time``; the decoded event has a ``timestamp`` of its own.
+    """
+    return as_rows(spark.readStream.format("kafka").options(**options).load())
+
+
+def as_rows(records: DataFrame) -> DataFrame:
+    """Records as the connector gives them, in the common message schema."""
+    return records.select(
+        F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"),
+        "partition", "offset", F.col("timestamp").alias("message_time"),
     )
 
 

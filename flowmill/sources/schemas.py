@@ -43,6 +43,9 @@ EVENT_SCHEMA = T.StructType(
     ]
 )
 
+#: What a message is, wherever it comes from.
+MESSAGE_SCHEMA = "key string, value string, partition int, offset long, message_time timestamp"
+
 CATEGORICAL = ("protocol", "conn_state", "protocol_conn")
 NUMERIC = (
     "src_port", "dst_port", "packet_count", "bytes_transferred", "bytes_log", "packet_log",

@@ -13,6 +13,12 @@ from flowmill.streaming import events
 CARRIED = ("key", "event_id", "partition", "offset")
 
 
+def score_flows(flows: DataFrame, fitted: Fitted, model: PipelineModel, weekend_days: tuple[int, ...] = (5, 6), **tag: str) -> DataFrame:
+    """Predictions of usable flow rows with the message key carried through; batch or stream."""
+    rows = apply_base(flows, fitted, weekend_days=weekend_days, keep=CARRIED, fill=0.0)
+    return score(rows, model, **tag).select(*CARRIED, "prediction", "probability", "variant", "framework", "model_key")
+
+
 def features(stream: DataFrame, fitted: Fitted, weekend_days: tuple[int, ...] = (5, 6)) -> DataFrame:
     """Feature rows of a message stream: the batch transform with nulls as 0."""
     flows = messages.usable(events.decoded(stream))
@@ -23,8 +29,7 @@ def scores(
     stream: DataFrame, fitted: Fitted, model: PipelineModel, weekend_days: tuple[int, ...] = (5, 6), **tag: str
 ) -> DataFrame:
     """Predictions with the message key carried through."""
-    scored = score(features(stream, fitted, weekend_days), model, **tag)
-    return scored.select(*CARRIED, "prediction", "probability", "variant", "framework", "model_key")
+    return score_flows(messages.usable(events.decoded(stream)), fitted, model, weekend_days, **tag)
 
 
 def score_messages(scored: DataFrame) -> DataFrame:

@@ -169,8 +169,12 @@ def test_foreign_models(rows, trees):
 
 
 def test_canary_rows_get_the_canary_model(rows, trees, net):
-    out = score.score_routed(rows, trees, net, 0.3)
+    out = score.score_routed(rows, score.Tagged(trees), score.Tagged(net, "net"), 0.3)
     assert out.count() == rows.count()
+    tags = out.select("variant", "framework", "model_key").distinct().collect()
+    assert sorted(map(tuple, tags)) == [("canary", "net", "model_net"), ("stable", "trees", "model_trees")]
+    assert out.filter("variant = 'stable'").join(score.score(rows, trees).select("event_id", F.col("prediction").alias("p")), "event_id").filter(
+        "prediction <> p").count() == 0
     alone = score.score(rows, net).select("event_id", F.col("prediction").alias("p"))
     canary = out.filter("variant = 'canary'").join(alone, "event_id")
     assert canary.filter("prediction <> p").count() == 0 and 200 < canary.count() < 400
@@ -179,19 +183,33 @@ def test_canary_rows_get_the_canary_model(rows, trees, net):
 def test_replies_to_requests(spark, sf_dir, rows, trees):
     fitted = fitted_base(spark, sf_dir)
     got = score.answer_requests(requests(spark, sf_dir), fitted, trees)
-    assert got.columns == ["request_id", "pos", "reply"] and got.count() == 1000 + 125
+    assert got.columns == ["request_id", "n_predictions", "error", "reply"] and got.count() == 1000
     alone = {r["event_id"]: r for r in score.score(rows, trees).collect()}
     for r in got.filter("request_id < 80").collect():
         reply = json.loads(r["reply"])
-        if r["request_id"] % 8 in (0, 6, 7):
-            want = alone[r["request_id"]]
-            assert reply["predictions"] == [want["prediction"]]
+        if r["request_id"] % 8 in (0, 6):
+            want, n = alone[r["request_id"]], 2 if r["request_id"] % 8 == 0 else 1
+            assert reply["predictions"] == [want["prediction"]] * n and len(reply["probabilities"]) == n == r["n_predictions"]
             assert reply["probabilities"][0] == pytest.approx(want["probability"])
             assert reply["model"] == {"variant": "stable", "framework": "trees", "model_key": "model_trees"}
-        else:
+        elif r["request_id"] % 8 != 7:
             assert set(reply) == {"error"}
 
 
+def test_request_brings_its_time_features(spark, trees, sf_dir):
+    record = {"src_port": 40000, "dst_port": 443, "protocol": "TCP", "packet_count": 10, "conn_state": "EST", "bytes_transferred": 900.0}
+    brought = record | {"hour": 13, "dayofweek": 2, "is_weekend": 0, "hour_sin": -0.2588, "hour_cos": -0.9659}
+    bodies = [(1, json.dumps({"data": brought})), (2, json.dumps({"data": record | {"timestamp": 1768240837}})), (3, json.dumps({"data": [brought, record]}))]
+    df = spark.createDataFrame(bodies, "request_id long, body string").withColumn("at", F.current_timestamp())
+    fitted = fitted_base(spark, sf_dir)
+    rows = {(r["request_id"], r["pos"]): r for r in plan.apply_base(messages.request_rows(df), fitted, keep=("request_id", "pos"), fill=0.0).collect()}
+    hour = fitted.scaler["hour"]
+    assert rows[1, 0]["hour_norm"] == pytest.approx((13 - hour["mean"]) / hour["std"])
+    assert rows[2, 0]["hour_norm"] == pytest.approx((18 - hour["mean"]) / hour["std"]) and rows[3, 1]["hour_norm"] == 0.0
+    got = {r["request_id"]: json.loads(r["reply"]) for r in score.answer_requests(df, fitted, trees, received="at").collect()}
+    assert len(got[3]["predictions"]) == 2 and got[1]["latency_ms"] >= 0
+
+
 def test_evaluation_tables(rows, trees, tmp_path, spark):
     tables = score.evaluate(score.score(rows, trees))
     assert tables["confusion"].count() == 3 * 36
@@ -213,8 +231,7 @@ def test_training_job(spark, rows, tmp_path):
     for s in S.SPLITS:
         parquet.write(rows.filter(F.col("split") == s).select(*S.FEATURES, S.TARGET), parquet.split_path(processed, s))
     model, numbers = training.run(
-        spark, processed, output, "net", "r1", search=True, fraction=0.5, trials=2, max_val_rows=100, runs_path=log,
-        hidden=(6,), max_epochs=2,
+        spark, processed, output, "net", "r1", search=True, fraction=0.5, trials=2, runs_path=log, hidden=(6,),
     )
     assert set(numbers) >= {"val_accuracy", "test_f1_avg", "val_mlogloss", "test_recall_class_5", "val_support_class_0"}
     assert sum(numbers[f"val_support_class_{k}"] for k in range(6)) == 200
@@ -250,9 +267,10 @@ def test_search_draws(rows):
 
 def test_search_finds_the_smallest_loss(rows):
     trials = tune.random_search(
-        rows.filter("split = 'train'"), rows.filter("split = 'val'"), "net", trials=2, fraction=0.5, hidden=(4,), max_epochs=2
+        rows.filter("split = 'train'"), rows.filter("split = 'val'"), "net", trials=2, fraction=0.5, hidden=(4,)
     )
     table = trials.collect()
+    assert table[0]["number"] != table[1]["number"]
     assert [r["run_id"] for r in table] == ["net-000", "net-001"]
     assert tune.best_params(trials)["lr"] in [d["lr"] for d in tune.draw_trials("net", 2)]
 
@@ -298,7 +316,8 @@ def test_copies_of_one_event_are_dropped_across_batches(spark, flows, tmp_path):
     text = messages.encode_event(F.lit("same"))
     copies = flows({}).select(text.alias("value")).withColumn("offset", F.explode(F.sequence(F.lit(0), F.lit(399)).cast("array<bigint>")))
     path = str(tmp_path / "topic")
-    copies.select(F.lit("k").alias("key"), "value", F.lit(0).alias("partition"), "offset").repartition(4).write.parquet(path)
+    copies.select(F.lit("k").alias("key"), "value", F.lit(0).alias("partition"), "offset", F.current_timestamp().alias("message_time")
+                  ).repartition(4).write.parquet(path)
     events.keep_state_on_disk(spark)
     decoded = messages.usable(events.decoded(events.file_stream(spark, path, files_per_batch=1)))
     query = events.write_files(events.deduplicated(decoded), str(tmp_path / "out"), str(tmp_path / "progress"), finish=True)
@@ -306,6 +325,28 @@ def test_copies_of_one_event_are_dropped_across_batches(spark, flows, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
 
 
+def test_late_events_are_kept(spark, flows, tmp_path):
+    """One file per trigger, hours apart and backwards: every distinct event comes through."""
+    path = str(tmp_path / "topic")
+    for i in range(4):
+        rows = [{"event_id": 250 * i + j, "timestamp": 1_700_000_000 - 40_000 * i - j} for j in range(250)]
+        text = messages.encode_event(F.col("event_id"))
+        df = flows(*rows).select(F.col("event_id").cast("string").alias("key"), text.alias("value"), F.lit(0).alias("partition"),
+                                 F.col("event_id").alias("offset"), F.current_timestamp().alias("message_time"))
+        df.unionByName(df.limit(20)).coalesce(1).write.mode("append").parquet(path)
+    events.keep_state_on_disk(spark)
+    decoded = messages.usable(events.decoded(events.file_stream(spark, path, files_per_batch=1)))
+    out = str(tmp_path / "out")
+    events.write_files(events.deduplicated(decoded), out, str(tmp_path / "progress"), finish=True).awaitTermination()
+    assert spark.read.parquet(out).count() == spark.read.parquet(out).select("event_id").distinct().count() == 1000
+    recent, timed = events.recent_distinct(decoded, "1 hour")
+    few = str(tmp_path / "few")
+    events.write_files(recent, few, str(tmp_path / "progress2"), finish=True).awaitTermination()
+    everything = messages.usable(events.decoded(spark.read.schema(S.MESSAGE_SCHEMA).parquet(path)))
+    landed = spark.read.parquet(few)
+    assert landed.count() + events.late_rows(everything.dropDuplicates(["event_id"]), landed).count() == 1000 > landed.count()
+
+
 def test_empty_messages_are_skipped(spark):
     df = spark.createDataFrame([("k", None), ("k", " "), ("k", "x")], "key string, value string")
     assert events.present(df).count() == 1

@@ -57,7 +57,8 @@ def test_cap(spark):
     df = spark.range(500)
     assert sampling.cap_rows(df, 0, "id").count() == 500
     assert sampling.cap_rows(df, 900, "id").count() == 500
-    assert sampling.cap_rows(df, 40).count() == 40
+    with pytest.raises(ValueError, match="unique key"):
+        sampling.cap_rows(df, 40)
     capped = {r["id"] for r in sampling.cap_rows(df.repartition(5), 40, "id").collect()}
     assert capped == {r["id"] for r in df.orderBy(scalar.hash_key("id", 42)).limit(40).collect()}
 
@@ -177,6 +178,7 @@ def test_requests(spark):
         (5, 0, "wrong_kind"), (6, 0, "no_rows"), (7, 0, "wrong_kind"), (8, 0, "missing_data"),
         (9, 0, "not_an_object"), (10, 0, "not_an_object"), (11, 0, "not_an_object"), (12, 0, "not_an_object"),
     ]
+    assert got[0]["hour"] is None
     assert (got[0]["src_port"], got[0]["bytes_transferred"], got[2]["src_port"], got[2]["protocol"]) == (1, 4.0, 9, None)
 
 
@@ -252,6 +254,12 @@ def test_report_lines(spark):
                    "macro avg": (0.75, 0.75, 0.6667, 3), "weighted avg": (0.8333, 0.6667, 0.6667, 3)}
 
 
+def test_log_loss_leaves_out_other_labels(spark):
+    df = spark.createDataFrame([(0, [0.5, 0.5]), (7, [0.5, 0.5]), (-1, [0.5, 0.5]), (None, [0.5, 0.5])], "label long, probability array<double>")
+    got = metrics.log_loss(df).first()
+    assert got["mlogloss"] == pytest.approx(0.6931471805599453) and (got["n_rows"], got["n_excluded"], got["merror"]) == (1, 3, 0.0)
+
+
 def test_log_loss_of_impossible_class(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0])], "label long, probability array<double>")
     out = metrics.log_loss(df).first()
