@@ -14,7 +14,7 @@ UNKNOWN = -1
 LITERAL_VALUES = 64  # a map literal is searched value by value, so only short ones are used
 BROADCAST_VALUES = 100_000
 DRIVER_VALUES = 10_000
-SALTS = 32
+FREQUENT = 10_000  # values looked up by broadcast where a vocabulary is too large for that
 
 Encoders = dict[str, dict[str, int]]
 
@@ -74,20 +74,24 @@ def _literal_index(column: str, mapping: dict[str, int]) -> Column:
 
 
 def _lookup(df: DataFrame, column: str, values: DataFrame, broadcast: bool) -> DataFrame:
-    """Left join to one column's values. Too many to broadcast: the join key is salted, so a
-    frequent category (or the nulls) is spread over ``SALTS`` tasks."""
-    values = values.select(F.col("value").alias("_value"), F.col("idx").alias("_idx"))
+    """Left join to one column's values. Too many to broadcast: the ``FREQUENT`` most frequent ones are
+    looked up by broadcast, and only rows that are left, and not null, are matched by their value; all
+    others are spread evenly. Larger partitions of that join are split at run time."""
+    named = values.select(F.col("value").alias("_value"), F.col("idx").alias("_idx"))
     key = F.col(column).cast("string")
     if broadcast:
-        joined = df.join(F.broadcast(values), key == F.col("_value"), "left")
-    else:
-        # the salt follows the input partition: spread out even for identical rows, and the
-        # same when a task runs again
-        salted = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
-        copies = values.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        on = (key == F.col("_value")) & (F.col("_salt") == F.col("_copy"))
-        joined = salted.join(copies, on, "left").drop("_salt", "_copy")
-    index = F.coalesce("_idx", F.lit(UNKNOWN)).alias(f"{column}_idx")
+        joined = df.join(F.broadcast(named), key == F.col("_value"), "left")
+        index = F.coalesce("_idx", F.lit(UNKNOWN)).alias(f"{column}_idx")
+        return joined.select(*df.columns, index)
+    frequent = values.orderBy(F.desc("n"), "value").limit(FREQUENT) if "n" in values.columns else values.limit(0)
+    frequent = frequent.select(F.col("value").alias("_often"), F.col("idx").alias("_often_idx"))
+    found = df.join(F.broadcast(frequent), key == F.col("_often"), "left")
+    open_ = F.col("_often_idx").isNull() & key.isNotNull()
+    # rows without a match to find get numbers that no value has
+    spread = found.withColumns({"_spread": F.when(open_, F.lit(-1)).otherwise(F.monotonically_increasing_id()), "_key": F.when(open_, key)})
+    rest = named.withColumn("_place", F.lit(-1).cast("long"))
+    joined = spread.join(rest, (F.col("_spread") == F.col("_place")) & F.col("_key").eqNullSafe(F.col("_value")), "left")
+    index = F.coalesce("_often_idx", "_idx", F.lit(UNKNOWN)).alias(f"{column}_idx")
     return joined.select(*df.columns, index)
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Scaler = dict[str, dict[str, float]]
@@ -71,6 +71,21 @@ def assemble(df: DataFrame, columns: tuple[str, ...], out: str = "features") ->
     return vectors.drop(*[f"_v_{c}" for c in columns])
 
 
+def moments(columns: tuple[str, ...]) -> list[Column]:
+    """Mean and sample deviation of each column, nulls as 0, as aggregates of one pass."""
+    values = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns}
+    return [F.avg(x).alias(f"mean_{c}") for c, x in values.items()] + [F.stddev_samp(x).alias(f"std_{c}") for c, x in values.items()]
+
+
+def standardised(columns: tuple[str, ...], found: dict, prefix: str) -> dict[str, Column]:
+    """Columns scaled by the values of :func:`moments`; a constant column becomes 0."""
+    out = {}
+    for c in columns:
+        x, std = F.coalesce(F.col(c).cast("double"), F.lit(0.0)), found.get(f"std_{c}")
+        out[f"{prefix}{c}"] = (x - F.lit(found[f"mean_{c}"])) / F.lit(std) if std else F.lit(0.0)
+    return out
+
+
 def fit_vector_scaler(df: DataFrame, column: str = "features", out: str = "features_scaled"):
     """Scaler of whole vectors by mean and sample deviation."""
     return StandardScaler(inputCol=column, outputCol=out, withMean=True, withStd=True).fit(df)

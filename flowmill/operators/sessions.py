@@ -70,13 +70,13 @@ def _backward_in_chunks(
     return done.filter(~F.col("_halo")).drop("_halo", "_chunk")
 
 
-def _with_statistics(df: DataFrame, keys: Keys) -> DataFrame:
-    """Statistics of hot sessions: pre-aggregated, then broadcast (at most ``skew.HOT_KEYS`` rows)."""
+def _with_statistics(df: DataFrame, keys: Keys, n_hot: int) -> DataFrame:
+    """Statistics of hot sessions: pre-aggregated, a row for each, and joined back."""
     totals = df.groupBy(*[F.col(k).alias(f"_of_{k}") for k in keys]).agg(
         *[fn(c).alias(out) for out, (fn, c) in STATISTICS.items()]
     )
     on = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
-    return df.join(F.broadcast(totals), on, "left").drop(*[f"_of_{k}" for k in keys])
+    return df.join(skew.few(totals, n_hot), on, "left").drop(*[f"_of_{k}" for k in keys])
 
 
 def _apply(
@@ -91,7 +91,7 @@ def _apply(
         return df.withColumns(columns)
     long, short = skew.split_hot(df, hot, keys)
     if statistics:
-        long = _with_statistics(long, keys)
+        long = _with_statistics(long, keys, hot.count())
     if build:
         rows = hot.agg(F.sum("n_rows")).first()[0]
         long = _backward_in_chunks(long, build, measured, n, keys, order, rows, hot_rows)

@@ -1,9 +1,9 @@
 """Keys that hold too many rows for one task.
 
-A key is *hot* when it has more than ``hot_rows`` rows and more than a
-``1 / HOT_KEYS`` share of the table, so there are never more than ``HOT_KEYS`` hot keys
-and the list of them is always small enough to broadcast. Tables no larger than
-``hot_rows`` cannot have a hot key; for a plain Parquet scan that check only reads footers.
+A key is *hot* when it has more than ``hot_rows`` rows, so work per task is bounded by rows alone. Rows are
+first counted by a hash of the key, many keys to a bucket, which moves a few numbers per task; only keys
+of buckets above the bound are then counted one by one. Tables no larger than ``hot_rows`` cannot have a
+hot key; for a plain Parquet scan that check only reads footers.
 """
 
 from __future__ import annotations
@@ -16,8 +16,12 @@ from pyspark.sql import functions as F
 from flowmill.sources.session import pinned
 
 HOT_ROWS = 1_000_000
-HOT_KEYS = 100_000
-MAX_CHUNKS = 20_000
+BUCKETS = 4096  # at least, and 16 for each hot key there could be
+BROADCAST_KEYS = 100_000
+
+
+def few(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_KEYS else df
 
 
 def hot_keys(df: DataFrame, keys: tuple[str, ...], hot_rows: int = HOT_ROWS) -> DataFrame | None:
@@ -25,26 +29,29 @@ def hot_keys(df: DataFrame, keys: tuple[str, ...], hot_rows: int = HOT_ROWS) ->
     total = df.count()
     if total <= hot_rows:
         return None
-    bound = max(hot_rows, total // HOT_KEYS)
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
-    hot = pinned(counts.filter(F.col("n_rows") > bound))
+    buckets = max(BUCKETS, 16 * total // max(1, hot_rows))
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets))
+    heavy = pinned(df.groupBy(bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows), "heavy")
+    n_heavy = heavy.count()
+    if not n_heavy:
+        return None
+    rows = df.select(*keys).join(few(heavy.select("_bucket"), n_heavy), bucket == F.col("_bucket"), "left_semi")
+    hot = pinned(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")).filter(F.col("n_rows") > hot_rows), "hot")
     return None if hot.isEmpty() else hot
 
 
 def split_hot(df: DataFrame, hot: DataFrame, keys: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
-    """``(hot rows, other rows)``; the key list is broadcast, no row is shuffled."""
-    listed = F.broadcast(hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys]))
-    on = reduce(lambda a, b: a & b, [df[k].eqNullSafe(listed[f"_hot_{k}"]) for k in keys])
+    """``(hot rows, other rows)``; up to ``BROADCAST_KEYS`` keys are broadcast and no row is shuffled."""
+    listed = few(hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys]), hot.count())
+    on = reduce(lambda a, b: a & b, [df[k].eqNullSafe(F.col(f"_hot_{k}")) for k in keys])
     return df.join(listed, on, "left_semi"), df.join(listed, on, "left_anti")
 
 
 def range_chunks(df: DataFrame, order: tuple[str, ...], rows: int, chunk_rows: int = HOT_ROWS) -> DataFrame:
     """``df`` cut into chunks of about ``chunk_rows`` rows along ``order``, numbered by ``_chunk``.
 
-    There are at most ``MAX_CHUNKS`` of them, so chunks of a huge table get longer instead of
-    more. Chunk numbers rise with ``order``. The result is pinned because range bounds are sampled:
-    a second evaluation could cut elsewhere.
+    Chunk numbers rise with ``order``. The result is pinned because range bounds are sampled: a second
+    evaluation could cut elsewhere.
     """
-    chunks = min(MAX_CHUNKS, max(1, -(-rows // chunk_rows)))
-    cut = df.repartitionByRange(chunks, *order).withColumn("_chunk", F.spark_partition_id())
-    return pinned(cut)
+    chunks = max(1, -(-rows // chunk_rows))
+    return pinned(df.repartitionByRange(chunks, *order).withColumn("_chunk", F.spark_partition_id()), "chunks")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from flowmill.functions import flow, time
@@ -94,10 +94,13 @@ def fit_extended_encoders(df: DataFrame, unit: str = "s") -> enc.Encoders | Data
 
 def extended_vectors(df: DataFrame, unit: str = "s") -> DataFrame:
     """``features`` and its scaled form ``features_scaled`` for the 20 columns."""
-    # fitting and scaling both read the windows: computed once, then kept in the shared folder
-    ready = pinned(apply_extended(df, fit_extended_encoders(df, unit), unit))
-    vectors = sc.assemble(ready, S.EXTENDED_FEATURES)
-    return sc.fit_vector_scaler(vectors).transform(vectors)
+    # the windows are computed once: their moments are taken while the rows are written
+    rows = apply_extended(df, fit_extended_encoders(df, unit), unit)
+    seen = Observation()
+    ready = pinned(rows.observe(seen, *sc.moments(S.EXTENDED_FEATURES)), "extended")
+    scaled = ready.withColumns(sc.standardised(S.EXTENDED_FEATURES, seen.get, "_z_"))
+    both = sc.assemble(sc.assemble(scaled, S.EXTENDED_FEATURES), tuple(f"_z_{c}" for c in S.EXTENDED_FEATURES), "features_scaled")
+    return both.drop(*[f"_z_{c}" for c in S.EXTENDED_FEATURES])
 
 
 # ---- session set: 17 features with previous-event and whole-session columns

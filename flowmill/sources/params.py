@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 
-ENCODER_SCHEMA = "column string, value string, idx int"
+ENCODER_SCHEMA = "column string, value string, idx int, n long"
 DRIVER_VALUES = 10_000
 
 _LOADED: dict[tuple[str, str], dict] = {}
@@ -16,9 +16,10 @@ def save(spark: SparkSession, encoders: dict | DataFrame, scaler: dict, path: st
     """Write both parts through the session's file system; the scaler comes last, so a folder
     that has one is complete. A vocabulary of any size fits."""
     if isinstance(encoders, dict):
-        rows = [(c, v, i) for c, values in encoders.items() for v, i in values.items()]
+        rows = [(c, v, i, 0) for c, values in encoders.items() for v, i in values.items()]
         encoders = spark.createDataFrame(rows, ENCODER_SCHEMA)
-    encoders.select("column", "value", "idx").write.mode("overwrite").parquet(f"{path}/encoders")
+    counted = encoders if "n" in encoders.columns else encoders.selectExpr("*", "0L AS n")
+    counted.select("column", "value", "idx", "n").write.mode("overwrite").parquet(f"{path}/encoders")
     text = json.dumps(scaler, ensure_ascii=False)
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/scaler")
     _LOADED.pop((spark.sparkContext.applicationId, path), None)

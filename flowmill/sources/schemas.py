@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-# ---- fixed values ---------------------------------------------------------
+# ---- fixed values: domains, column names, their types and their order are a contract
 PROTOCOLS = ("TCP", "UDP", "ICMP")
 CONN_STATES = ("EST", "SYN", "FIN", "RST")
 CLASS_NAMES = ("Normal", "DoS", "Probe", "R2L", "U2R", "Worm")
@@ -14,8 +14,6 @@ PORT_MAX, PACKETS_MAX, BYTES_MAX = 65535.0, 2000.0, 2e6
 WELL_KNOWN_PORTS = (21, 22, 23, 25, 53, 80, 110, 143, 443)
 PROBE_PORTS = (21, 22, 23, 80, 443)
 SPLITS = ("train", "val", "test")
-# ---------------------------------------------------------------------------
-
 TARGET = "attack"
 SESSION_KEYS = ("src_port", "dst_port", "protocol")
 
@@ -69,3 +67,4 @@ SESSION_FEATURES = (
     "session_bytes_max", "session_bytes_min", "session_packet_mean",
     "protocol_idx", "conn_state_idx", "timestamp_epoch",
 )
+# ---------------------------------------------------------------------------

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -18,7 +20,8 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local-mode session without that setting gets a temporary folder.
+    Only a local-mode session without that setting gets a temporary folder, which goes when the
+    process ends.
     """
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(
         "flowmill.shared.dir", None
@@ -27,18 +30,36 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
         path = tempfile.mkdtemp(prefix="flowmill-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
         spark.conf.set("flowmill.shared.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
     return path
 
 
+_made: dict[str, list[str]] = {}
+
+
 def new_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder (not created yet)."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path below the shared folder (not created yet); :func:`clean` deletes it."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clean(spark: SparkSession) -> int:
+    """Delete what this application has put below its shared folder; for the end of a job, when its
+    results are written elsewhere. Returns the number of folders."""
+    paths = _made.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(conf).delete(folder, True)
+    return len(paths)
 
 
-def pinned(df):
-    """``df`` written to the shared folder, so its values and partitions no longer change."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+def pinned(df: DataFrame, name: str = "pinned") -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read back, so its values no longer change."""
+    path = new_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

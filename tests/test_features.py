@@ -55,7 +55,16 @@ def test_null_and_unseen_categories(flows):
         assert [r["protocol_idx"] for r in got.collect()] == want
 
 
-def test_every_way_to_look_up_an_index_agrees(spark):
+@pytest.fixture
+def few_frequent(monkeypatch):
+    def encode(df, table):
+        monkeypatch.setattr(enc, "FREQUENT", 5)
+        return enc.encode(df, table, ("c",), broadcast_values=10)
+
+    return encode
+
+
+def test_every_way_to_look_up_an_index_agrees(spark, few_frequent):
     df = spark.range(3000).select("id", F.concat(F.lit("v"), (F.col("id") % 700)).alias("c"))
     df = df.withColumn("c", F.when(F.col("id") % 11 != 0, F.col("c")))
     table = enc.fit_encoder(df, ("c",))
@@ -65,7 +74,8 @@ def test_every_way_to_look_up_an_index_agrees(spark):
         enc.encode(df, learned, ("c",), literal_values=10_000),
         enc.encode(df, learned, ("c",)),
         enc.encode(df, table, ("c",)),
-        enc.encode(df, table, ("c",), broadcast_values=10),  # salted join
+        enc.encode(df, table, ("c",), broadcast_values=10),  # all values frequent
+        few_frequent(df, table),
         enc.encode(df, enc.learn_encoders(df, ("c",), driver_values=10), ("c",)),
     ]
     results = [sorted(rows_of(w, "id", "c", "c_idx"), key=str) for w in ways]
@@ -216,3 +226,43 @@ def test_lag_over_chunks(spark):
     plain = sessions.session_lag(df, "packet_count", "p").orderBy("event_id")
     cut = sessions.session_lag(df, "packet_count", "p", hot_rows=100).orderBy("event_id")
     assert rows_of(plain, "event_id", "p") == rows_of(cut, "event_id", "p")
+
+
+def test_hot_keys_are_those_above_the_bound(spark):
+    from flowmill.operators import skew
+
+    df = spark.range(5000).select(F.when(F.col("id") < 3000, F.col("id") % 3).otherwise(F.col("id")).alias("k"), F.lit("x").alias("j"))
+    hot = skew.hot_keys(df, ("k", "j"), 500)
+    assert sorted(rows_of(hot, "k", "n_rows")) == [(0, 1000), (1, 1000), (2, 1000)]
+    long, short = skew.split_hot(df, hot, ("k", "j"))
+    assert (long.count(), short.count()) == (3000, 2000) and skew.hot_keys(df, ("k", "j"), 1000) is None
+    assert skew.range_chunks(df, ("k",), 5000, 100).agg(F.max("_chunk")).first()[0] > 5
+
+
+def test_epsilon_alone_divides_what_a_constant_column_differs(flows):
+    scaler = sc.fit_scaler(flows({"packet_count": 5}, {"packet_count": 5}), ("packet_count",), keep_zero=True)
+    got = sc.scale(flows({"packet_count": 6}), scaler, ("packet_count",), epsilon=1e-6).first()
+    assert got["packet_count_norm"] == pytest.approx(1e6)
+
+
+def test_extended_vectors_equal_the_vector_scaler(spark, sf_dir):
+    from flowmill.catalog.fixture import traffic
+
+    got = plan.extended_vectors(traffic(spark, sf_dir)).select("event_id", "features", "features_scaled").orderBy("event_id").collect()
+    vectors = spark.createDataFrame([(r["event_id"], r["features"]) for r in got], ["event_id", "features"])
+    want = sc.fit_vector_scaler(vectors).transform(vectors).orderBy("event_id").collect()
+    for a, b in list(zip(got, want, strict=True))[:50]:
+        assert a["features_scaled"].toArray() == pytest.approx(b["features_scaled"].toArray())
+
+
+def test_folders_of_a_job_are_cleaned(spark, tmp_path):
+    import os
+
+    from flowmill.sources import session
+
+    made = session.pinned(spark.range(3))
+    path = session._made[spark.sparkContext.applicationId][-1]
+    assert made.count() == 3 and os.path.isdir(path)
+    others, session._made[spark.sparkContext.applicationId] = session._made[spark.sparkContext.applicationId][:-1], [path]
+    assert session.clean(spark) == 1 and not os.path.isdir(path)
+    session._made[spark.sparkContext.applicationId] = others
