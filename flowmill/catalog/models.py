@@ -160,14 +160,12 @@ def checked_splits(spark, sf_dir):
 
 def _trials(spark, trials):
     """What holds for every search: finite losses, one best run, and parameters that matter."""
-    best = runs.best_run(trials, "mlogloss").agg(F.count(F.lit(1)).alias("n_best"), F.min("number").alias("best"))
-    told = trials.agg(
-        F.count(F.lit(1)).alias("n_trials"), F.count_distinct("params").alias("n_params"), F.min("number").alias("smallest"),
-        (F.count_distinct("number") > 1).alias("losses_differ"), F.bool_and(F.col("number").between(1e-9, 1e9)).alias("finite"),
+    best = runs.best_run(trials, "mlogloss").select("run_id", F.col("number").alias("best"))
+    return trials.join(F.broadcast(best), "run_id", "left").agg(
+        F.count(F.lit(1)).alias("n_trials"), F.count_distinct("params").alias("n_params"), F.count("best").alias("n_best"),
+        (F.min("best") == F.min("number")).alias("best_is_smallest"), (F.count_distinct("number") > 1).alias("losses_differ"),
+        F.bool_and(F.col("number").between(1e-9, 1e9)).alias("finite"),
     )
-    return told.crossJoin(F.broadcast(best)).select(
-        "n_trials", "n_params", "n_best", (F.col("best") == F.col("smallest")).alias("best_is_smallest"), "losses_differ", "finite"
-    )  # one row each
 
 
 def _trials_sql(n: int) -> str:
