@@ -1,15 +1,16 @@
 """Exact similarity join of documents on word n-grams, as components.
 
 Signatures (:func:`flowmill.llm.shingles.signatures`) are such that two linked sets share one. Documents
-with equal sets are one class. Of the documents under one signature each is compared with the smallest:
-first inside a task, so that a frequent signature leaves a task once, then across tasks. The pairs that
+with equal sets are one node. Of the nodes under one signature each is compared with the first one,
+inside a task, so that a frequent signature leaves a task once, and then across tasks. Pairs that
 size and parity sketches do not rule out are verified on their whole texts. What a signature still
-has in several components is then compared across them: first with one document drawn by hash, while
-that saves work, then fully, in tiles of bounded size. No pair of one component is ever needed.
+has in several components is then compared across them, in tiles of bounded size: first a spanning
+forest of the possible pairs of a tile is verified, then all that remain. No pair of one component
+is needed.
 
 Defined cases: a null text counts as empty; a document without words has no shingles and is linked
 with nothing, not even its copies. Rows that share a ``doc_id`` are rows of their own; a null
-``doc_id`` is smaller than none, so a component is named by another id if it has one. An empty table gives
+``doc_id`` counts as the largest, so a component is named by another id if it has one. An empty table gives
 an empty result.
 """
 
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowmill.llm import shingles
@@ -31,7 +32,6 @@ PART = 2_000_000  # signatures per partition of the exchange
 LEADER_ROWS = 2_000  # documents compared with one copy of a leader's text
 TILE = 1024  # documents of one signature compared with as many others at once
 BROADCAST_ROWS = 1_000_000  # of some 60 bytes each
-DRAWS = 2
 
 
 def _texts(column: pa.Array) -> list[bytes]:
@@ -43,31 +43,30 @@ def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))
 
 
-def profiles(docs: DataFrame, k: int, percent: int, sign: bool = True) -> DataFrame:
-    """A row per document: ``(doc_id, n, k1, k2, sketch, signs)``. Of equal sets in one task only the first
-    signs."""
+def profiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """A row per document: ``(doc_id, n, k1, k2, sketch, fine, signs)``. Of equal sets in one task only the
+    first signs."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
         for b in batches:
-            ns, keys, sketches, signs = [], [], [], []
+            rows, signs, sketches = [], [], []
             for s in shingles.shingle_sets(_texts(b.column(1)), k):
                 key = shingles.set_key(s)
-                ns.append(len(s))
-                keys.append(key)
+                rows.append((len(s), *key, shingles.fine_sketch(s)))
                 sketches.append(shingles.parity_sketch(s))
-                signs.append(shingles.signatures(s, percent) if sign and key not in seen else s[:0].view(np.int64))
+                signs.append(s[:0].view(np.int64) if key in seen else shingles.signatures(s, percent))
                 seen.add(key)
-            k1, k2 = zip(*keys) if keys else ((), ())
-            flat = np.concatenate(signs) if signs else np.zeros(0, np.int64)
-            wide = np.concatenate(sketches) if sketches else np.zeros(0, np.int64)
+            n, k1, k2, fine = zip(*rows) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([
-                b.column(0), pa.array(ns, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()),
-                _lists(wide, np.full(len(ns), shingles.SKETCH_BITS // 64)), _lists(flat, np.array([len(x) for x in signs], np.int64)),
-            ], ["doc_id", "n", "k1", "k2", "sketch", "signs"])
+                b.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()),
+                _lists(np.concatenate(sketches or [np.zeros(0, np.int64)]), np.full(len(n), shingles.SKETCH_BITS // 64)),
+                pa.array(fine, pa.binary()),
+                _lists(np.concatenate(signs or [np.zeros(0, np.int64)]), np.array([len(x) for x in signs], np.int64)),
+            ], ["doc_id", "n", "k1", "k2", "sketch", "fine", "signs"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(work, "doc_id long, n long, k1 long, k2 long, sketch array<long>, signs array<long>")
+    return rows.mapInArrow(work, "doc_id long, n long, k1 long, k2 long, sketch array<long>, fine binary, signs array<long>")
 
 
 def _star(signs: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -84,7 +83,7 @@ def stars(rows: DataFrame) -> DataFrame:
     """``(leader, member, signs)`` from rows ``(id, signs)``: for every signature, a path of such pairs joins
     all ids that have it."""
     spark = rows.sparkSession
-    total = rows.agg(F.sum(F.size("signs")).alias("n")).first()["n"] or 0
+    total = rows.agg(F.sum(F.size("signs")).alias("n")).first()["n"] or 0  # as many partitions as that needs
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART))
     names = ["part", "signs", "ids", "p_signs", "p_leaders", "p_members"]
 
@@ -129,6 +128,8 @@ def stars(rows: DataFrame) -> DataFrame:
         signs, leaders, members = signs[order], leaders[order], members[order]
         if not len(signs):
             return
+        new = np.concatenate(([True], (signs[1:] != signs[:-1]) | (leaders[1:] != leaders[:-1]) | (members[1:] != members[:-1])))
+        signs, leaders, members = signs[new], leaders[new], members[new]
         starts = np.flatnonzero(np.concatenate(([True], (leaders[1:] != leaders[:-1]) | (members[1:] != members[:-1]))))
         counts = np.diff(np.append(starts, len(signs)))
         for a in range(0, len(starts), 20_000):
@@ -152,32 +153,32 @@ def _possible(a: str, b: str, percent: int) -> Column:
     return fits & (bits * (100 + percent) <= (na + nb) * (100 - percent))
 
 
-def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose documents are linked, compared on whole texts. Each ``a`` is sent once for
-    every ``LEADER_ROWS`` of its partners, so a much compared document keeps many tasks busy."""
-    sizes = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("c")).select("a", F.ceil(F.col("c") / LEADER_ROWS).cast("int").alias("salts"))
+def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The linked ones of the pairs ``(a, b, da, db, ka, kb)``: nodes, a document of each and the second half of
+    its key. Whole texts are compared. Each ``a`` is sent once for every ``LEADER_ROWS`` of its partners, so a
+    much compared document keeps many tasks busy."""
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / LEADER_ROWS).cast("int").alias("salts"))
     salted = pairs.join(sizes, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
-    wanted = salted.select("a", "salt", F.lit(1).alias("other"), F.col("b").alias("node")).unionByName(
-        salted.select("a", "salt", F.lit(0).alias("other"), F.col("a").alias("node")).distinct()
-    )
-    wanted = saved(wanted.join(nodes.select(F.col("id").alias("node"), F.col("doc_id").alias("_doc"), "k1", "k2"), "node"), "compared")
+    others = salted.select("a", "salt", F.lit(1).alias("other"), F.col("b").alias("node"), F.col("kb").alias("k2"), F.col("db").alias("_doc"))
+    leaders = salted.select("a", "salt", F.lit(0).alias("other"), F.col("a").alias("node"), F.col("ka").alias("k2"), F.col("da").alias("_doc"))
+    wanted = saved(others.unionByName(leaders.distinct()), "compared")
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     rows = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc")))
     ordered = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "other", "node").select(
-        "a", "salt", "other", "node", "k1", "k2", F.coalesce("text", F.lit("")).alias("text")
+        "a", "salt", "other", "node", "k2", F.coalesce("text", F.lit("")).alias("text")
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, lead, done = None, None, None
         for b in batches:
             found: list[tuple[int, int]] = []
-            sets = shingles.shingle_sets(_texts(b.column(6)), k)
-            for a, salt, other, node, k1, k2, s in zip(*(c.to_pylist() for c in b.columns[:6]), sets):
+            sets = shingles.shingle_sets(_texts(b.column(5)), k)
+            for a, salt, other, node, k2, s in zip(*(c.to_pylist() for c in b.columns[:5]), sets):
                 if (a, salt) != at:
                     at, lead, done = (a, salt), None, None
                 # rows that share a doc_id with another text, or repeat one, are left out
-                if node == done and other or shingles.set_key(s) != (k1, k2):
+                if node == done and other or shingles.set_key(s) != (node, k2):
                     continue
                 if not other:
                     lead = s
@@ -190,36 +191,54 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, percen
                 x = np.array(found, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["a", "b"])
 
-    return ordered.mapInArrow(compare, "a long, b long").distinct()
+    return ordered.mapInArrow(compare, "a long, b long")
+
+
+def _tile_pairs(tile: list, percent: int, forest: bool) -> list[tuple[int, int]]:
+    """Possible pairs across components, all or a spanning forest of them."""
+    ids, labels, n, sketch, fine = tile
+    root = {label: label for label in labels.tolist()}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    found = []
+    for i in range(len(ids) - 1):
+        near = (labels[i + 1:] != labels[i]) & (np.minimum(n[i + 1:], n[i]) * 100 >= np.maximum(n[i + 1:], n[i]) * percent)
+        at = np.flatnonzero(near) + i + 1
+        if len(at):
+            bits = np.bitwise_count((sketch[at] ^ sketch[i]).view(np.uint64)).sum(1, dtype=np.int64)
+            at = at[bits * (100 + percent) <= (n[at] + n[i]) * (100 - percent)]
+        for j in at.tolist():
+            x, y = find(int(labels[i])), find(int(labels[j]))
+            if forest and x == y:
+                continue
+            if fine[i] is not None and fine[j] is not None:
+                if shingles.fine_bits(fine[i], fine[j]) * (100 + percent) > int(n[i] + n[j]) * (100 - percent):
+                    continue
+            root[x] = y
+            found.append((int(ids[i]), int(ids[j])))
+    return found
 
 
-def _tiles(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``(a, b)`` of different components under one signature that may be linked."""
+def _tiles(members: DataFrame, nodes: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """Pairs ``(x, y)`` of different components under one signature that may be linked. Sketches join the
+    rows at the end, so that they are shuffled once."""
     sizes = members.groupBy("sign").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
     placed = members.join(sizes, "sign").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
     meets = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
-        "sign", F.least("tile", "with").alias("t1"), F.greatest("tile", "with").alias("t2"), "id", "label", "n", "sketch"
-    )
-
-    def pairs(sets: list[np.ndarray]) -> np.ndarray:
-        ids, labels, n, sketch = sets
-        found = []
-        for i in range(len(ids) - 1):
-            rest = slice(i + 1, None)
-            near = (labels[rest] != labels[i]) & (np.minimum(n[rest], n[i]) * 100 >= np.maximum(n[rest], n[i]) * percent)
-            at = np.flatnonzero(near) + i + 1
-            if len(at):
-                bits = np.bitwise_count((sketch[at] ^ sketch[i]).view(np.uint64)).sum(1, dtype=np.int64)
-                at = at[bits * (100 + percent) <= (n[at] + n[i]) * (100 - percent)]
-                found.append(np.stack((np.full(len(at), ids[i]), ids[at]), 1))
-        return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+        "sign", F.least("tile", "with").alias("t1"), F.greatest("tile", "with").alias("t2"), "id", "label"
+    ).join(nodes.select("id", "n", "sketch", "fine"), "id").select("sign", "t1", "t2", "id", "label", "n", "sketch", "fine")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
+        held: list | None = None
         for b in _and_end(batches):
             if b is not None:
                 columns = [b.column(i).to_numpy() for i in range(6)]
                 columns.append(b.column(6).flatten().to_numpy().reshape(-1, shingles.SKETCH_BITS // 64))
+                columns.append(np.array([*b.column(7).to_pylist(), None], object)[:-1])
                 held = columns if held is None else [np.concatenate(x) for x in zip(held, columns)]
             if held is None or not len(held[0]):
                 continue
@@ -227,14 +246,16 @@ def _tiles(members: DataFrame, percent: int) -> DataFrame:
             starts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(1))))
             stops = np.append(starts[1:], len(key))
             whole = len(starts) if b is None else len(starts) - 1  # the last group may go on
-            found = [pairs([c[a:z] for c in held[3:]]) for a, z in zip(starts[:whole], stops[:whole])]
+            found: set[tuple[int, int]] = set()
+            for a, z in zip(starts[:whole].tolist(), stops[:whole].tolist()):
+                found.update(_tile_pairs([c[a:z] for c in held[3:]], percent, forest))
             held = [c[starts[whole]:] for c in held] if whole < len(starts) else None
-            found = np.unique(np.sort(np.concatenate(found), axis=1), axis=0) if found else np.zeros((0, 2), np.int64)
-            if len(found):
-                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+            if found:
+                x, y = zip(*sorted(found))
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["x", "y"])
 
     ordered = meets.repartition("sign", "t1", "t2").sortWithinPartitions("sign", "t1", "t2", "id")
-    return ordered.mapInArrow(compare, "a long, b long").distinct()
+    return ordered.mapInArrow(compare, "x long, y long")
 
 
 def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -243,60 +264,62 @@ def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | Non
 
 
 def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """``(doc_id, id, n_shingles, k1, k2, component, component_id)``, a row per document; ``id`` numbers the
-    rows, ``component`` is the smallest ``id`` reachable and ``component_id`` the smallest ``doc_id``."""
-    rows = saved(profiles(docs, k, percent).withColumn("id", F.monotonically_increasing_id()), "profiles")
-    classes = rows.filter("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("rep"))
-    named = saved(rows.select("id", "doc_id", "n", "k1", "k2").join(classes, ["k1", "k2"], "left")
-                  .withColumn("rep", F.coalesce("rep", "id")), "named")
-    nodes = rows.select("id", "doc_id", "n", "k1", "k2", "sketch")
-    linked = saved(stars(rows.select("id", "signs")), "stars")
-
-    rep = named.select("id", "rep")
-    by_rep = linked.join(rep.select(F.col("id").alias("leader"), F.col("rep").alias("x")), "leader").join(
-        rep.select(F.col("id").alias("member"), F.col("rep").alias("y")), "member").filter("x <> y")
-    wide = nodes.select("id", F.struct("n", "sketch").alias("s"))
+    """``(doc_id, n_shingles, k1, component, component_id)``, a row per document; ``k1`` names its set,
+    ``component`` is the smallest ``k1`` reachable and ``component_id`` the smallest ``doc_id``; a document
+    without shingles has no component but its own id."""
+    rows = saved(profiles(docs, k, percent), "profiles")
+    nodes = saved(
+        rows.filter("n > 0").groupBy(F.col("k1").alias("id")).agg(
+            F.min("k2").alias("k2"), F.max("k2").alias("other"), F.min("doc_id").alias("doc"), F.min("n").alias("n"),
+            F.first("sketch").alias("sketch"), F.first("fine").alias("fine"),
+        ), "nodes",
+    )
+    if not nodes.filter("k2 <> other").isEmpty():
+        raise ValueError("two sets share half of their key; give shingles.set_key another seed")
+    stars_of = saved(stars(rows.select(F.col("k1").alias("id"), "signs")), "stars")
 
     def candidates(pairs: DataFrame) -> DataFrame:
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        both = pairs.join(wide.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(
-            wide.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-        return both.filter(_possible("sa", "sb", percent)).select("a", "b")
-
-    def check(pairs: DataFrame) -> DataFrame:
-        return saved(verified(docs, nodes, saved(pairs, "candidates"), k, percent), "verified")
-
-    links = check(candidates(by_rep))
-    for draw in range(DRAWS + 1):
-        label = components(links)
-        ends = [label.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in ("x", "y")]
-        ends = by_rep.join(ends[0], "x", "left").join(ends[1], "y", "left").withColumns(
-            {"lx": F.coalesce("lx", "x"), "ly": F.coalesce("ly", "y")})
-        signed = ends.select("x", "y", "lx", "ly", F.explode("signs").alias("sign"))
-        open_signs = signed.filter("lx <> ly").select("sign").distinct()
-        some = signed.join(open_signs, "sign", "left_semi")
-        members = saved(
-            some.select("sign", F.col("x").alias("id"), F.col("lx").alias("label"))
-            .unionByName(some.select("sign", F.col("y").alias("id"), F.col("ly").alias("label"))).distinct(), "members",
-        )
+        ends = [nodes.select(F.col("id").alias(c), F.struct("n", "sketch", "doc", "k2").alias(f"s{c}")) for c in ("a", "b")]
+        both = pairs.join(ends[0], "a").join(ends[1], "b").filter(_possible("sa", "sb", percent))
+        return both.select("a", "b", F.col("sa.doc").alias("da"), F.col("sb.doc").alias("db"), F.col("sa.k2").alias("ka"), F.col("sb.k2").alias("kb"))
+
+    pairs = saved(stars_of.select("leader", "member").distinct(), "pairs")
+    links = saved(verified(docs, candidates(pairs.toDF("x", "y")), k, percent), "links")
+    label = components(links)
+
+    def labelled(df: DataFrame, node: str, into: str) -> DataFrame:
+        named = label.select(F.col("node").alias(node), F.col("label").alias("_label"))
+        return df.join(named, node, "left").withColumn(into, F.coalesce("_label", node)).drop("_label")
+
+    # signatures that have several components, with all their nodes
+    cross = labelled(labelled(pairs, "leader", "l1"), "member", "l2").filter("l1 <> l2").select("leader", "member")
+    open_signs = stars_of.join(cross, ["leader", "member"], "left_semi").select(F.explode("signs").alias("sign")).distinct()
+    listed = stars_of.select("leader", "member", F.explode("signs").alias("sign")).join(open_signs, "sign", "left_semi")
+    members = listed.select("sign", F.explode(F.array("leader", "member")).alias("id")).distinct()
+    members = saved(labelled(members, "id", "label").select("sign", "id", "label"), "members")
+    for forest in (True, False):
         if members.isEmpty():
             break
-        of = members.groupBy("sign", "label").agg(F.count(F.lit(1)).cast("double").alias("c")).groupBy("sign").agg(
-            F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("own"))
-        cost = of.agg((F.sum(F.col("c") * F.col("c") - F.col("own")) / F.sum("c")).alias("x")).first()["x"]
-        if draw < DRAWS and cost > 50:  # many comparisons a document: merge more components first
-            drawn = members.groupBy("sign").agg(F.min_by(F.struct("id", "label"), F.xxhash64("id", F.lit(draw))).alias("d"))
-            pairs = members.join(drawn, "sign").filter("label <> d.label").select(F.col("id").alias("x"), F.col("d.id").alias("y"))
-            links = links.unionByName(check(candidates(pairs)))
+        possible = saved(candidates(_tiles(members, nodes, percent, forest)), "possible")
+        if possible.isEmpty():
+            break
+        more = saved(verified(docs, possible, k, percent), "links")
+        if more.isEmpty():
             continue
-        links = links.unionByName(check(_tiles(members.join(nodes.select("id", "n", "sketch"), "id"), percent)))
+        links = links.unionByName(more)
         label = components(links)
-        break
-    label = label.select(F.col("node").alias("rep"), "label")
-    found = named.join(label, "rep", "left").withColumn("component", F.coalesce("label", "rep"))
-    smallest = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return found.join(smallest, "component").select(
-        "doc_id", "id", F.col("n").alias("n_shingles"), "k1", "k2", "component", "component_id"
+        if forest:
+            members = labelled(members.drop("label"), "id", "label")
+            still = members.groupBy("sign").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).filter("l1 <> l2").select("sign")
+            members = saved(members.join(still, "sign", "left_semi").select("sign", "id", "label"), "members")
+    label = label.select(F.col("node").alias("k1"), "label")
+    found = rows.select("doc_id", "n", "k1").join(label, "k1", "left").withColumn(
+        "component", F.when(F.col("n") > 0, F.coalesce("label", "k1")))
+    # components of several nodes; others are named in their own group of equal sets
+    smallest = found.filter("n > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
+    return found.join(smallest, "component", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), "k1", "component", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id")
     )
 
 
@@ -306,12 +329,12 @@ def _with_key(docs: DataFrame, k: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [(len(s), *shingles.set_key(s)) for s in shingles.shingle_sets(_texts(b.column(b.num_columns - 1)), k)]
-            keys = [pa.array([f[i] for f in found], pa.int64()) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *keys], [*names, "_n", "_k1", "_k2"])
+            found = [(len(s), shingles.set_key(s)[0]) for s in shingles.shingle_sets(_texts(b.column(b.num_columns - 1)), k)]
+            keys = [pa.array([f[i] for f in found], pa.int64()) for i in range(2)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *keys], [*names, "_n", "_k1"])
 
     plain = docs.toDF(*names)
-    schema = plain.selectExpr("*", "0L AS _n", "0L AS _k1", "0L AS _k2").schema
+    schema = plain.selectExpr("*", "0L AS _n", "0L AS _k1").schema
     for field in schema:
         field.nullable = True
     return plain.withColumn("_text", F.col(names[docs.columns.index("text")])).mapInArrow(work, schema)
@@ -321,32 +344,25 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that remain when each component keeps one: the one with the smallest ``doc_id``
     (null last). Documents without words are never linked, so all of them remain."""
     found = saved(join(docs, k, percent), "components")
-    best = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id")).alias("m"))
-    kept = found.join(best.select(F.col("m.id").alias("id")), "id", "left_semi")
-    counted = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).join(
+    best = found.filter("n_shingles > 0").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1")).alias("m"))
+    kept = saved(best.select("m.doc_id", "m.k1"), "kept")
+    # ids that go, because the one row that has them goes, and ids that need a closer look
+    counted = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.min("n_shingles").alias("least")).join(
         kept.select("doc_id", F.lit(True).alias("kept")).distinct(), "doc_id", "left")
-    # every id that needs no closer look, because one row has it and that row goes; and the ids of several rows
-    out = saved(counted.filter("doc_id is not null and (rows > 1 or kept is null)").select("doc_id", "rows"), "dropped")
-    several = out.filter("rows > 1")
-    ids = out.select(F.col("doc_id").alias("_id"))
-    n_out = ids.count()
-    plain = docs.filter(docs["doc_id"].isNotNull()).join(
-        F.broadcast(ids) if n_out <= BROADCAST_ROWS else ids, F.col("doc_id") == F.col("_id"), "left_anti")
-    n_none = found.filter("doc_id is null").count()
-    n_several = several.count()
-    if not n_several and not n_none:
+    out = saved(counted.filter("doc_id is not null and (rows > 1 or kept is null and least > 0)").select("doc_id", "rows"), "dropped")
+    ids, several = out.select(F.col("doc_id").alias("_id")), out.filter("rows > 1").select(F.col("doc_id").alias("_id"))
+    small = out.count() <= BROADCAST_ROWS
+    plain = docs.filter(docs["doc_id"].isNotNull()).join(F.broadcast(ids) if small else ids, F.col("doc_id") == F.col("_id"), "left_anti")
+    if several.isEmpty() and found.filter("doc_id is null").isEmpty():
         return plain
-    # rows that share an id: found again by their shingles
-    again = several.select(F.col("doc_id").alias("_id"))
-    again = F.broadcast(again) if n_several <= BROADCAST_ROWS else again
-    rest = docs.join(again, F.col("doc_id") == F.col("_id"), "left_semi").unionByName(docs.filter(docs["doc_id"].isNull()))
+    # rows that share an id are found again by their shingles
+    rest = docs.join(F.broadcast(several) if small else several, F.col("doc_id") == F.col("_id"), "left_semi").unionByName(
+        docs.filter(docs["doc_id"].isNull()))
     keyed = _with_key(rest, k)
-    names = keyed.columns[:-3]
-    at = names[docs.columns.index("doc_id")]
-    wanted = kept.select(F.col("doc_id").alias("_d"), F.col("k1").alias("_w1"), F.col("k2").alias("_w2")).distinct()
-    same = F.col(at).eqNullSafe(F.col("_d")) & (F.col("_k1") == F.col("_w1")) & (F.col("_k2") == F.col("_w2"))
-    alive = keyed.join(wanted, same, "left_semi")
-    text = names[docs.columns.index("text")]
-    once = alive.filter("_n > 0").groupBy(at, "_k1", "_k2").agg(F.min_by(F.struct(*names), F.xxhash64(text)).alias("r"))
-    rows = once.select(*[F.col(f"r.{c}").alias(c) for c in names]).unionByName(alive.filter("_n = 0").select(*names))
+    names = keyed.columns[:-2]
+    at, text = (names[docs.columns.index(c)] for c in ("doc_id", "text"))
+    wanted = kept.select(F.col("doc_id").alias("_d"), F.col("k1").alias("_w"))
+    alive = keyed.join(wanted, F.col(at).eqNullSafe(F.col("_d")) & (F.col("_k1") == F.col("_w")), "left_semi")
+    once = alive.filter("_n > 0").groupBy(at, "_k1").agg(F.min_by(F.struct(*names), F.xxhash64(text)).alias("r"))
+    rows = once.select(*[F.col(f"r.{c}").alias(c) for c in names]).unionByName(keyed.filter("_n = 0").select(*names))
     return plain.unionByName(rows.toDF(*docs.columns))

@@ -9,7 +9,8 @@ import numpy as np
 
 CHUNK = 1 << 21
 SKETCH_BITS = 1024
-BAND = 1.6  # largest over smallest set size in a band
+BAND = 1.35  # largest over smallest set size in a band
+SMALL = 64  # up to that size a set signs contents with one element deleted
 
 _U = np.uint64
 
@@ -111,13 +112,28 @@ def set_key(shingles: np.ndarray) -> tuple[int, int]:
     return tuple(int(mix(shingles ^ _seed(s)).sum(dtype=_U).astype(np.int64)) for s in (101, 102))
 
 
-def parity_sketch(shingles: np.ndarray) -> np.ndarray:
+def parity_sketch(shingles: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
     """Bit ``i`` tells whether an odd number of shingles fall on ``i``. Two sets differ in at least as many
     elements as their sketches do in bits."""
-    odd = np.bincount((shingles & _U(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    odd = np.bincount((shingles & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def fine_sketch(shingles: np.ndarray) -> bytes | None:
+    """A sketch of four bits per shingle for a set too large for the common one."""
+    if len(shingles) <= SKETCH_BITS // 2:
+        return None
+    return parity_sketch(shingles, 1 << (4 * len(shingles) - 1).bit_length()).tobytes()
+
+
+def fine_bits(a: bytes, b: bytes) -> int:
+    """Differing bits of two fine sketches, the longer one folded to the length of the shorter."""
+    x, y = np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)
+    x, y = (x, y) if len(x) >= len(y) else (y, x)
+    folded = np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0)
+    return int(np.bitwise_count((folded ^ y).view(_U)).sum())
+
+
 def largest_partner(n: int, percent: int) -> int:
     return n * 100 // percent
 
@@ -129,13 +145,25 @@ def most_differing(total: int, percent: int) -> int:
 
 
 @lru_cache
-def _schemes(percent: int, upto: int) -> tuple[tuple[int, int, int, int], ...]:
-    """``(smallest, largest, largest partner, segments)`` of the size bands up to a size."""
+def _schemes(percent: int, upto: int) -> tuple[tuple[int, ...], ...]:
+    """``(smallest, largest, largest partner, allotment, segments, spare)`` of the size bands up to a size.
+
+    The cost of an allotment of 2 is a signature for every element, that of 1 is one for every segment, but
+    of segments half as large, whose contents more sets share by chance. Small sets can afford 2.
+    """
     bands, low = [], 1
     while low <= upto:
         high = max(low, int(low * BAND))
         partner = largest_partner(high, percent)
-        bands.append((low, high, partner, most_differing(high + partner, percent) + 1))
+        differ = most_differing(high + partner, percent)
+        if high <= SMALL:
+            bands.append((low, high, partner, 2 if differ else 0, differ // 2 + 2, 1))
+        else:
+            spare = 0
+            for _ in range(30):  # as many more segments as may be empty, with a margin of six deviations
+                empty = (differ + 1 + spare) * np.exp(-low / (differ + 1 + spare))
+                spare = int(np.ceil(empty + 6 * np.sqrt(empty))) if empty > 1e-9 else 0
+            bands.append((low, high, partner, 1, differ + 1 + spare, spare))
         low = high + 1
     return tuple(bands)
 
@@ -144,14 +172,15 @@ def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
     """Signatures of which two linked, different sets share at least one.
 
     A set belongs to the size band of its size; the smaller set's band rules for a pair, so a set
-    also signs for lower bands that have partners of its size. In a band, the universe is cut into
-    one more segment than linked sets can differ in elements, so they agree on some segment. Each
-    segment has an allotment. 1: the segment's content is signed. An empty segment would be shared with
-    every set that has none there, so it gets 0; for ``q`` of them, the first ``2 q`` segments get 2: the
-    content and all contents with one element deleted are signed too. If a pair agrees on nothing but
-    ``s <= q`` empty segments, at most ``s - 1`` others differ in more than one element, so of the ``2 s``
-    first segments one differs in exactly one, and the deletions meet. Sets with so many empty segments
-    that ``2 q`` exceeds their number sign the empty ones as well.
+    also signs for lower bands that have partners of its size. The universe is cut into segments by
+    a hash; let linked sets of a band differ in at most ``d`` elements. By the band's allotment
+
+    * 1: there are ``d + 1 + spare`` segments, so linked sets agree on more than ``spare`` of them, and
+      the content of each segment is signed. An empty content, which many sets would share, is signed
+      only by sets with more than ``spare`` empty segments: others agree on one that is not empty.
+    * 2: there are ``d // 2 + 1 + spare`` segments, so linked sets differ in at most one element on more
+      than ``spare`` of them, and each content and all contents with one element deleted are signed. Again
+      the empty content is signed only by sets with more than ``spare`` segments of one element or none.
     """
     n = len(shingles)
     if not n:
@@ -161,26 +190,24 @@ def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
     content = mix(shingles ^ _seed(103))
     out = []
     for i in range(own, -1, -1):
-        _, _, partner, m = bands[i]
+        _, _, partner, allotment, m, spare = bands[i]
         if partner < n:
             break
-        if m == 1:
+        if not allotment:
             continue  # only equal sets are linked
         segment = ((mix(shingles ^ _seed(1000 + i)) >> _U(32)) * _U(m) >> _U(32)).astype(np.int64)
         order = np.argsort(segment, kind="stable")
         bounds = np.searchsorted(segment[order], np.arange(m + 1))
-        ordered = content[order]
+        ordered, sizes = content[order], np.diff(bounds)
         running = np.concatenate((np.zeros(1, _U), np.cumsum(ordered)))
         sums = running[bounds[1:]] - running[bounds[:-1]]
-        empty = bounds[1:] == bounds[:-1]
         place = mix(_seed(i) + np.arange(1, m + 1, dtype=_U))
-        q = int(empty.sum())
-        exact = mix(sums ^ place)
-        out.append(exact if 2 * q > m else exact[~empty])
-        if q:
-            first = min(2 * q, m)
-            of = np.repeat(np.arange(first), np.diff(bounds[:first + 1]))
-            near = mix(place[:first] + _U(1))
-            out.append(mix(sums[:first] ^ near))
-            out.append(mix((sums[of] - ordered[:len(of)]) ^ near[of]))
+        bare = sizes < allotment
+        out.append(mix(sums[sizes > 0] ^ place[sizes > 0]))
+        if allotment == 2:
+            of = segment[order]
+            several = sizes[of] > 1
+            out.append(mix((sums[of] - ordered)[several] ^ place[of][several]))
+        if bare.sum() > spare:
+            out.append(mix(place[bare]))
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
