@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,20 +13,95 @@ import pyarrow.compute as pc
 
 MARK = "\x01"  # separates words that are encoded together
 CHUNK_BYTES = 8 << 20
-KEPT_WORDS = 1_000_000  # words whose ids a worker remembers
+KEPT_WORDS = 400_000  # words of which a worker remembers the ids, twice: the latest and those before
 JOINED = 2000
 SPACE = re.compile(r"[ \t\n\v\f\r]")
 
+# fixed values: the steps of a tokenizer for which words may be taken apart beforehand
+NORMALIZER = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"},
+]}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+     "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]}
+#: Letters that composition leaves alone and that have lower-case forms of their own, then marks that
+#: begin neither an abbreviation nor a special token.
+LETTERS = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)")
+
 _loaded: dict = {}
 
 
-def tokenizer(path: str):
-    """The tokenizer of a file; a worker loads it once."""
-    if path not in _loaded:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+class WordEncoder:
+    """The tokenizer of a file, and the ids of the words it has met lately."""
 
-        _loaded[path] = (Tokenizer.from_file(path), {})
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.full = Tokenizer.from_file(path)
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        config = json.loads(self.full.to_str())
+        self.plain = None
+        if (config["normalizer"], config["pre_tokenizer"]) == (NORMALIZER, PRE_TOKENIZER):
+            # lower-case letters pass those steps unchanged, so the model alone gives their ids
+            self.plain = Tokenizer(self.full.model)
+            self.plain.pre_tokenizer = pre_tokenizers.Sequence(
+                [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+            )
+
+    def ids_of(self, words: list[str]) -> list[bytes]:
+        """The ids of each word, as little-endian unsigned 32-bit numbers."""
+        if len(self.young) > KEPT_WORDS:
+            self.old, self.young = self.young, {}
+        young = self.young
+        new = self._unknown(words)
+        if self.plain is None:
+            self._learn(self.full, new)
+        else:
+            parts = {w: m for w in new if (m := LETTERS.fullmatch(w))}
+            cores = {m[1].lower() for m in parts.values()}
+            self._learn(self.plain, self._unknown(cores))
+            rest = {m[2] for m in parts.values() if m[2]}.union(w for w in new if w not in parts)
+            self._learn(self.full, self._unknown(rest))
+            for w, m in parts.items():
+                young[w] = young[m[1].lower()] + (young[m[2]] if m[2] else b"")
+        return [young[w] for w in words]
+
+    def _unknown(self, words: Iterable[str]) -> list[str]:
+        young, old, new = self.young, self.old, []
+        for w in words:
+            if w not in young:
+                if w in old:
+                    young[w] = old[w]
+                else:
+                    new.append(w)
+        return new
+
+    def _learn(self, encoder, words: list[str]) -> None:
+        known = self.young
+        mark = encoder.encode(MARK, add_special_tokens=False).ids
+        together = [w for w in words if MARK not in w] if len(mark) == 1 else []
+        for i in range(0, len(together), JOINED):
+            part = together[i:i + JOINED]
+            ids = np.array(encoder.encode_batch_fast([f" {MARK} ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(ids == mark[0])
+            if len(ends) == len(part) - 1:
+                raw, starts = ids.tobytes(), np.concatenate(([0], ends + 1)) * 4
+                stops = np.concatenate((ends, [len(ids)])) * 4
+                for w, a, b in zip(part, starts.tolist(), stops.tolist()):
+                    known[w] = raw[a:b]
+        for w in words:
+            if w not in known:
+                known[w] = np.array(encoder.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def tokenizer(path: str) -> WordEncoder:
+    """The encoder of a file; a worker loads it once."""
+    if path not in _loaded:
+        _loaded[path] = WordEncoder(path)
     return _loaded[path]
 
 
@@ -41,34 +117,12 @@ def _segments(text: str, chars: int = CHUNK_BYTES // 2) -> Iterator[str]:
     yield text[at:]
 
 
-def _learn(encoder, known: dict[str, bytes], words: list[str]) -> None:
-    mark = encoder.encode(MARK, add_special_tokens=False).ids
-    plain = [w for w in words if MARK not in w] if len(mark) == 1 else []
-    for i in range(0, len(plain), JOINED):
-        part = plain[i:i + JOINED]
-        ids = np.array(encoder.encode_batch_fast([f" {MARK} ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.flatnonzero(ids == mark[0])
-        if len(ends) == len(part) - 1:
-            raw, starts = ids.tobytes(), np.concatenate(([0], ends + 1)) * 4
-            stops = np.concatenate((ends, [len(ids)])) * 4
-            for w, a, b in zip(part, starts.tolist(), stops.tolist()):
-                known[w] = raw[a:b]
-    for w in words:
-        if w not in known:
-            known[w] = np.array(encoder.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
-
-
 def encode_words(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """``(ids, offsets)`` of texts without nulls, for a tokenizer that drops white space, so that the
     ids of a text are those of its words: every distinct word is encoded once."""
-    encoder, known = tokenizer(path)
-    if len(known) > KEPT_WORDS:
-        known.clear()
     lists = pc.ascii_split_whitespace(texts)
     coded = lists.flatten().dictionary_encode()
-    words = coded.dictionary.to_pylist()
-    _learn(encoder, known, [w for w in words if w not in known])
-    found = [known[w] for w in words]
+    found = tokenizer(path).ids_of(coded.dictionary.to_pylist())
     sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
     flat = np.frombuffer(b"".join(found), "<u4")
     firsts = np.concatenate(([0], np.cumsum(sizes)))[:-1]
