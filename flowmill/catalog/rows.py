@@ -92,7 +92,7 @@ def event_encode(spark, sf_dir):
 @query("event_decode", f"WITH {TRAFFIC} SELECT CAST(event_id AS VARCHAR) AS event_id, {FLOW_SQL}, attack FROM traffic")
 def event_decode(spark, sf_dir):
     flows = messages.usable(messages.decode_events(event_messages(spark, sf_dir)))
-    return flows.drop("key", "value", "partition", "offset")
+    return flows.drop("key", "value", "partition", "offset", "message_time")
 
 
 @query("json_quarantine", """SELECT CAST(event_id AS VARCHAR) AS key,
