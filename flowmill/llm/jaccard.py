@@ -90,7 +90,8 @@ def stars(rows: DataFrame) -> DataFrame:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(signs, ids):
             own, first, *pairs = _star(np.concatenate(signs), np.concatenate(ids))
-            where = [(x.view(np.uint64) >> np.uint64(8)) % np.uint64(parts) for x in (own, pairs[0])]
+            # signatures meet in one place; pairs found here need not, so a frequent signature's are spread by member
+            where = [(x.view(np.uint64) >> np.uint64(8)) % np.uint64(parts) for x in (own, pairs[2])]
             orders = [np.argsort(w, kind="stable") for w in where]
             cuts = [np.searchsorted(w[o], np.arange(parts + 1, dtype=np.uint64)) for w, o in zip(where, orders)]
             columns = [own[orders[0]], first[orders[0]], *[p[orders[1]] for p in pairs]]
@@ -197,29 +198,22 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
 def _tile_pairs(tile: list, percent: int, forest: bool) -> list[tuple[int, int]]:
     """Possible pairs across components, all or a spanning forest of them."""
     ids, labels, n, sketch, fine = tile
-    root = {label: label for label in labels.tolist()}
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = x = root[root[x]]
-        return x
-
-    found = []
+    labels, found = labels.copy(), []
     for i in range(len(ids) - 1):
         near = (labels[i + 1:] != labels[i]) & (np.minimum(n[i + 1:], n[i]) * 100 >= np.maximum(n[i + 1:], n[i]) * percent)
         at = np.flatnonzero(near) + i + 1
         if len(at):
             bits = np.bitwise_count((sketch[at] ^ sketch[i]).view(np.uint64)).sum(1, dtype=np.int64)
             at = at[bits * (100 + percent) <= (n[at] + n[i]) * (100 - percent)]
-        for j in at.tolist():
-            x, y = find(int(labels[i])), find(int(labels[j]))
-            if forest and x == y:
-                continue
+        while len(at):
+            j, at = int(at[0]), at[1:]
             if fine[i] is not None and fine[j] is not None:
                 if shingles.fine_bits(fine[i], fine[j]) * (100 + percent) > int(n[i] + n[j]) * (100 - percent):
                     continue
-            root[x] = y
             found.append((int(ids[i]), int(ids[j])))
+            if forest:
+                labels[labels == labels[j]] = labels[i]
+                at = at[labels[at] != labels[i]]
     return found
 
 
