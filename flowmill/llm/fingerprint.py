@@ -6,10 +6,12 @@ inserted or deleted by adding or subtracting its vector. A paragraph's vector ha
 
 * ``EXACT`` lanes modulo 2^64, hashed from the whole paragraph: they decide equality;
 * ``SKETCH`` words of three lanes each, modulo 2^21: every run of four words of the paragraph adds
-  one hashed bit to each lane. Against the number of runs, a lane's count is a sum of random signs, so
-  that lane products estimate how many runs two documents share: ``2ab / (aa + bb)``.
+  one hashed bit to each lane. Runs overlap, one starts at each word that has three more after it. Against
+  the number of runs, a lane's count is a sum of random signs, so that lane products estimate how many
+  runs two documents share: ``2ab / (aa + bb)``.
 
-Defined cases: a null text counts as empty; an empty text is one empty paragraph without runs.
+Defined cases: a null text counts as empty; an empty text is one empty paragraph without runs. A paragraph
+of one to three words is one run. Runs do not see which white space parts their words.
 Equal fingerprints have likeness 1. A lane counts up to 2,097,151 runs; a longer text's lanes wrap,
 which leaves sums, equality and deletion right and only blurs its likeness.
 """
@@ -19,13 +21,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowmill.llm.common import WORD
+
 EXACT = 4
 HASHES = 2
 LANE_BITS = 21
 SKETCH = HASHES * LANE_BITS
 ONES = 1 | 1 << LANE_BITS | 1 << 2 * LANE_BITS
 LANE = (1 << LANE_BITS) - 1
-RUN = r"[^\x20\x09-\x0D]+(?:[\x20\x09]+[^\x20\x09-\x0D]+){0,3}"
+RUN_WORDS = 4
+BYTE_ONES = 0x0101010101010101
+BYTE_HASHES = 127  # as many ones fit a signed byte
 ROWS_PER_CHUNK = 50_000
 
 
@@ -51,12 +57,35 @@ def _hashed(parts: Column, seed: int) -> Column:
     return F.transform(parts, lambda p: F.xxhash64(p, F.lit(seed)))
 
 
+def _runs(paragraphs: Column, seed: int) -> Column:
+    """Hashes of all runs of words, from the words of each paragraph. Words past the end are null, which a
+    hash skips."""
+    def of(words: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(words) - RUN_WORDS, F.lit(0)))
+        return F.transform(starts, lambda i: F.xxhash64(F.lit(seed), *[F.get(words, i + k) for k in range(RUN_WORDS)]))
+
+    return F.flatten(F.transform(F.filter(paragraphs, lambda words: F.size(words) > 0), of))
+
+
 def _counted_bits(hashes: Column) -> Column:
-    """How often each bit is set: word ``i`` counts bits ``i``, ``i + 21`` and ``i + 42``."""
-    none = F.array_repeat(F.lit(0).cast("long"), LANE_BITS)
-    return F.aggregate(hashes, none, lambda lanes, h: F.transform(
-        lanes, lambda x, i: x + F.call_function("shiftrightunsigned", h, i).bitwiseAND(F.lit(ONES))
-    ))
+    """How often each bit is set: word ``i`` counts bits ``i``, ``i + 21`` and ``i + 42``. Bits are counted in
+    bytes first, eight words for ``BYTE_HASHES`` hashes."""
+    def in_bytes(start: Column) -> Column:
+        none = F.array_repeat(F.lit(0).cast("long"), 8)
+        return F.aggregate(F.slice(hashes, start, BYTE_HASHES), none, lambda counts, h: F.transform(
+            counts, lambda x, i: x + F.call_function("shiftrightunsigned", h, i).bitwiseAND(F.lit(BYTE_ONES))
+        ))
+
+    def lane(counts: Column, bit: int) -> Column:
+        return F.shiftrightunsigned(F.get(counts, F.lit(bit % 8)), bit // 8 * 8).bitwiseAND(F.lit(0xFF))
+
+    def word(counts: Column, i: int) -> Column:
+        first, second, third = (F.shiftleft(lane(counts, i + k * LANE_BITS), k * LANE_BITS) for k in range(3))
+        return first.bitwiseOR(second).bitwiseOR(third)
+
+    blocks = F.transform(F.sequence(F.lit(1), F.greatest(F.size(hashes), F.lit(1)), F.lit(BYTE_HASHES)), in_bytes)
+    lanes = F.transform(blocks, lambda counts: F.array(*[word(counts, i) for i in range(LANE_BITS)]))
+    return F.aggregate(lanes, F.array_repeat(F.lit(0).cast("long"), LANE_BITS), insert)
 
 
 def insert(a: Column, b: Column) -> Column:
@@ -104,17 +133,16 @@ def fingerprints(docs: DataFrame, text: str = "text", into: str = "fingerprint")
     exact lanes, then the packed sketch lanes. The steps are projections of their own, so that each
     is evaluated once."""
     filled = F.coalesce(F.col(text), F.lit(""))
-    parts = docs.withColumns({
-        "_fp_p": F.split(filled, "\n"), "_fp_r": F.regexp_extract_all(filled, F.lit(RUN), F.lit(0)),
-    })
+    parts = docs.withColumn("_fp_p", F.split(filled, "\n"))
+    parts = parts.withColumn("_fp_w", F.transform("_fp_p", lambda p: F.regexp_extract_all(p, F.lit(WORD), F.lit(0))))
     hashes = parts.withColumns({f"_fp_e{k}": _hashed(F.col("_fp_p"), k) for k in range(EXACT)} | {
-        f"_fp_s{k}": _hashed(F.col("_fp_r"), EXACT + k) for k in range(HASHES)
+        f"_fp_s{k}": _runs(F.col("_fp_w"), EXACT + k) for k in range(HASHES)
     })
     exact = [_total(F.col(f"_fp_e{k}")) for k in range(EXACT)]
     sketch = [_counted_bits(F.col(f"_fp_s{k}")) for k in range(HASHES)]
-    vector = F.concat(F.array(F.size("_fp_r").cast("long"), *exact), *sketch)
+    vector = F.concat(F.array(F.size("_fp_s0").cast("long"), *exact), *sketch)
     return hashes.withColumn(into, vector).drop(
-        "_fp_p", "_fp_r", *[f"_fp_e{k}" for k in range(EXACT)], *[f"_fp_s{k}" for k in range(HASHES)]
+        "_fp_p", "_fp_w", *[f"_fp_e{k}" for k in range(EXACT)], *[f"_fp_s{k}" for k in range(HASHES)]
     )
 
 

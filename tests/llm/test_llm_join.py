@@ -209,6 +209,37 @@ def test_likeness_follows_the_edit(spark, sf_dir):
     assert (long["near_edited"] > long["near_next"]).mean() > 0.99 and abs(long["near_edited"].median() - 2 / 3) < 0.1
 
 
+def brute_runs(text):
+    words = [p.split() for p in (text or "").split("\n")]
+    return Counter(tuple(w[i:i + 4]) for w in words for i in range(max(1, len(w) - 3)) if w)
+
+
+def test_runs_overlap(spark):
+    rng = np.random.default_rng(6)
+    words = [f"w{rng.integers(10**6)}" for _ in range(1000)]
+    line = " ".join(words)
+    pairs = [(line, "front " + line), (line, " ".join(words[:500] + words[501:])), (line, " ".join(words[::-1])), ("a b c", "a\tb  c"),
+             ("a b c d e\n\nf", "f\na b c d e"), (line, line + "\n" + " ".join(f"x{i}" for i in range(1003))), (None, "a"), ("é " * 300, "é " * 150)]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    df = fingerprint.with_likeness(fingerprint.fingerprints(fingerprint.fingerprints(df, "a", "va"), "b", "vb"), "va", "vb", "near")
+    for r in df.collect():
+        a, b = brute_runs(r["a"]), brute_runs(r["b"])
+        assert (r["va"][0], r["vb"][0]) == (a.total(), b.total())
+        dot = lambda x, y: sum(n * y[k] for k, n in x.items())
+        assert abs(r["near"] - 2 * dot(a, b) / (dot(a, a) + dot(b, b))) < 0.3, (r["a"] or "")[:20]
+    near = [r["near"] for r in df.collect()]
+    assert near[0] > 0.95 and near[1] > 0.95 and near[2] < 0.3 and near[3] == near[4] == 1.0
+
+
+def test_bits_are_counted_over_many_hashes(spark):
+    rng = np.random.default_rng(8)
+    for n in (0, 1, 127, 128, 1000):
+        hashes = [int(x) for x in rng.integers(-2**63, 2**63, n)] if n != 1000 else [-1] * n
+        df = spark.createDataFrame([(hashes,)], "h array<long>")
+        got = df.select(fingerprint._counted_bits(df["h"]).alias("c")).first()["c"]
+        assert got == [sum(sum(h >> i + 21 * k & 1 for h in hashes) << 21 * k for k in range(3)) for i in range(21)]
+
+
 # ---- mixture
 
 def brute_targets(sizes, weights=(5, 2, 1), repeats=3):
