@@ -54,7 +54,8 @@ def wrap_subtract(a: Column, b: Column) -> Column:
 
 
 def _hashed(parts: Column, seed: int) -> Column:
-    return F.transform(parts, lambda p: F.xxhash64(p, F.lit(seed)))
+    """The seed goes first: arguments are chained, and every lane is to hash the text under its own state."""
+    return F.transform(parts, lambda p: F.xxhash64(F.lit(seed), p))
 
 
 def _runs(paragraphs: Column, seed: int) -> Column:

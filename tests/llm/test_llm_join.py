@@ -231,6 +231,31 @@ def test_runs_overlap(spark):
     assert near[0] > 0.95 and near[1] > 0.95 and near[2] < 0.3 and near[3] == near[4] == 1.0
 
 
+def colliding_texts():
+    """Two texts of 16 printable bytes with one XXH64 under Spark's seed of 42."""
+    p1, p2, p4, p5, full = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5, (1 << 64) - 1
+    turn = lambda x, n: (x << n | x >> 64 - n) & full
+    step = lambda k: turn(k * p2 & full, 31) * p1 & full
+    state = lambda k: (turn((42 + p5 + 16) ^ step(k), 27) * p1 + p4) & full
+    number = lambda b: int.from_bytes(b, "little")
+    first, second = b"aaaaaaaa", b"bbbbbbbb"
+    want = state(number(first)) ^ step(number(second))
+    for i in range(10**6):
+        other = b"%08d" % i
+        last = turn((state(number(other)) ^ want) * pow(p1, -1, 1 << 64) & full, 33) * pow(p2, -1, 1 << 64) & full
+        last = last.to_bytes(8, "little")
+        if all(33 <= c <= 126 for c in last):
+            return (first + second).decode(), (other + last).decode()
+
+
+def test_lanes_do_not_collide_together(spark):
+    texts = colliding_texts()
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert df.selectExpr("xxhash64(text)").distinct().count() == 1
+    a, b = (r["fingerprint"] for r in fingerprint.fingerprints(df).collect())
+    assert all(x != y for x, y in zip(a[1:1 + fingerprint.EXACT], b[1:1 + fingerprint.EXACT])) and a[5:] != b[5:]
+
+
 def test_bits_are_counted_over_many_hashes(spark):
     rng = np.random.default_rng(8)
     for n in (0, 1, 127, 128, 1000):
