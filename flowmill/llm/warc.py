@@ -3,7 +3,8 @@
 Only headers (id, digest, length) are shuffled by payload digest to find the first page of every
 payload. Each task then writes archives of its own, one gzip member per record, into the shared
 folder; a table of the files that finished tasks wrote is what a reader follows, so a task that
-runs again leaves at most an unlisted file. Reading joins revisit records to their responses by
+runs again leaves at most an unlisted file. Reading measures and
+hashes every response's payload against its headers and joins revisit records to their responses by
 digest.
 
 Defined cases: a null html is an empty payload. Payloads below ``MIN_BYTES`` are never revisits.
@@ -15,6 +16,7 @@ written as empty. An empty table gives an empty result. Other columns are ignore
 from __future__ import annotations
 
 import gzip
+import hashlib
 import io
 import re
 import uuid
@@ -120,7 +122,7 @@ def _headers(stream) -> dict[str, str]:
 
 
 def parse_archive(stream) -> Iterator[dict]:
-    """Records of one decompressed archive."""
+    """Records of one decompressed archive. Raises where a response's payload differs from its headers."""
     while version := stream.readline():
         if not version.strip():
             continue
@@ -132,10 +134,12 @@ def parse_archive(stream) -> Iterator[dict]:
         full = re.search(rb"(?im)^content-length:\s*(\d+)", http)
         ids = [RECORD_ID.fullmatch(head.get(k, "")) for k in ("warc-record-id", "warc-refers-to")]
         page_id, refers_to = (int(m[1]) if m and m[1] != "none" else None for m in ids)
+        digest, size = head["warc-payload-digest"].removeprefix("sha256:"), int(full[1]) if full else len(body)
+        if head["warc-type"] == "response" and (len(body) != size or hashlib.sha256(body).hexdigest() != digest):
+            raise ValueError(f"{head.get('warc-record-id')}: payload of {len(body)} bytes is not that of its headers, {size} bytes, {digest}")
         yield {
             "page_id": page_id, "url": head.get("warc-target-uri"), "record_type": head["warc-type"],
-            "payload_digest": head["warc-payload-digest"].removeprefix("sha256:"),
-            "payload_bytes": int(full[1]) if full else len(body), "refers_to_record": refers_to, "payload": body,
+            "payload_digest": digest, "payload_bytes": size, "refers_to_record": refers_to, "payload": body,
         }
 
 

@@ -1,6 +1,7 @@
 """Chat formatting and web archives: exact round trips and odd rows."""
 
 import hashlib
+import io
 
 import pyarrow as pa
 import pytest
@@ -99,3 +100,15 @@ def test_record_is_standard():
     head, _, block = warc.record(1, "http://a b", b"xy", "d", None).partition(b"\r\n\r\n")
     assert b"WARC-Target-URI: http://ab" in head and block.endswith(b"\r\n\r\nxy\r\n\r\n")
     assert isinstance(pa.schema(warc.RECORDS), pa.Schema)
+
+
+def test_wrong_payloads_are_found():
+    whole = warc.record(1, "http://a", b"payload", hashlib.sha256(b"payload").hexdigest(), None)
+    revisit = warc.record(2, "http://a", b"payload", hashlib.sha256(b"payload").hexdigest(), 1)
+    assert [r["payload"] for r in warc.parse_archive(io.BytesIO(whole + revisit))] == [b"payload", b""]
+    other = whole.replace(b"\r\n\r\npayload", b"\r\n\r\npayloaf")
+    longer = whole.replace(b"Length: 7", b"Length: 8")
+    for wrong in (other, longer):
+        assert wrong != whole
+        with pytest.raises(ValueError, match="urn:page:1"):
+            list(warc.parse_archive(io.BytesIO(wrong)))
