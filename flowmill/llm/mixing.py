@@ -6,9 +6,8 @@ from a bounded knapsack over the size counts, which documents from a seeded hash
 leave the tasks; documents are never gathered or ranked by source or by size.
 
 Defined cases: a null text has size 0; a null source is a source of its own, the last one; a
-source without words gets target 0. Rows that repeat a ``doc_id`` within one source and size
-share one decision, and so do all null ids; where such a tie would exceed the quota it is left
-out. An empty table gives an empty result. Other columns, whatever their names, are kept.
+source without words gets target 0. Documents are chosen by a hash of ``doc_id`` and text. Of rows
+equal in both as many are taken as the quota has left, in the order in which tasks read them. An empty table gives an empty result. Other columns, whatever their names, are kept.
 """
 
 from __future__ import annotations
@@ -109,9 +108,10 @@ def _fit(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def mix_plan(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
-    """``(_source, _size, n, source_size, target, passes, extra, cut)`` from rows
+    """``(_source, _size, n, source_size, target, passes, extra, cut, tie, short)`` from rows
     ``(_source, _size, _hash)``: each document of that source and size is taken ``passes`` times,
-    and once more if its hash is at most ``cut``, which holds for ``extra`` of them."""
+    and once more if its hash is at most ``cut``, as are ``short`` of those with the hash ``tie``; these
+    are ``extra`` in all."""
     key = ["_source", "_size"]
     counts = sizes.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
     targets = source_targets(sizes, weights, repeats).withColumnRenamed("_source", "_s")
@@ -145,9 +145,11 @@ def mix_plan(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int
         .withColumn("rank", F.col("before") + F.sum("k").over(so_far))
         # the buckets before the edge are wanted in any case
         .groupBy(*part).agg(F.max(F.when(F.col("rank") <= F.col("extra"), F.col("_hash"))).alias("cut"),
-                            F.min("_hash").alias("first"))
+                            F.min("_hash").alias("first"),
+                            F.min(F.when(F.col("rank") > F.col("extra"), F.struct("_hash", F.col("rank") - F.col("k")))).alias("over"))
         .select(F.col("_source").alias("_cs"), F.col("_size").alias("_cz"),
-                F.coalesce("cut", F.col("first") - 1).alias("cut"))
+                F.coalesce("cut", F.col("first") - 1).alias("cut"), F.col("over._hash").alias("tie"),
+                (F.col("extra") - F.col("over.col2")).alias("short"))
     )
     same = F.col("_source").eqNullSafe(F.col("_cs")) & (F.col("_size") == F.col("_cz"))
     full = F.when(F.col("extra") >= F.col("n"), F.lit(2**63 - 1)).when(F.col("extra") == 0, F.lit(-1))
@@ -157,15 +159,31 @@ def mix_plan(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int
 def _keys(docs: DataFrame, seed: int) -> dict:
     # 63 bits, not negative
     return {"_source": F.col("source"), "_size": word_count(F.col("text")),
-            "_hash": F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id")), 1)}
+            "_hash": F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")), 1)}
 
 
 def _copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
     plan = plan.select(F.col("_source").alias("_ps"), F.col("_size").alias("_pz"), F.col("source_size").alias("_words"),
-                       F.col("target").alias("_target"), "passes", "cut")
+                       F.col("target").alias("_target"), "passes", "cut", "tie", "short")
     on = F.col("_source").eqNullSafe(F.col("_ps")) & (F.col("_size") == F.col("_pz"))
     more = F.when(F.col("_hash") <= F.col("cut"), 1).otherwise(0)
-    return rows.join(plan, on).withColumn("_copies", F.col("passes") + more)
+    planned = rows.join(plan, on)
+    copies = planned.withColumn("_copies", F.col("passes") + more)
+    if plan.filter("short > 0").isEmpty():
+        return copies
+    in_tie = F.coalesce((F.col("short") > 0) & (F.col("_hash") == F.col("tie")), F.lit(False))
+    # numbered within the task that read them, after the rows of the tasks before
+    tied = saved(planned.filter(in_tie).withColumn("_task", F.spark_partition_id()), "mix-ties")
+    tasks = tied.groupBy("_source", "_size", "_task").agg(F.count(F.lit(1)).alias("_k"))
+    order = Window.partitionBy("_source", "_size").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    tasks = tasks.select(F.col("_source").alias("_ts"), F.col("_size").alias("_tz"), F.col("_task").alias("_tt"),
+                         F.coalesce(F.sum("_k").over(order), F.lit(0)).alias("_before"))
+    same = F.col("_source").eqNullSafe(F.col("_ts")) & (F.col("_size") == F.col("_tz")) & (F.col("_task") == F.col("_tt"))
+    place = F.row_number().over(Window.partitionBy("_source", "_size", "_task").orderBy("_hash"))
+    numbered = tied.withColumn("_place", place).join(F.broadcast(tasks), same)
+    some = F.when(F.col("_before") + F.col("_place") <= F.col("short"), 1).otherwise(0)
+    numbered = numbered.withColumn("_copies", F.col("passes") + some)
+    return copies.filter(~in_tie).unionByName(numbered.select(*copies.columns))
 
 
 def mix_report(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, seed: int = SEED) -> DataFrame:

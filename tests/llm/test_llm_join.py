@@ -332,6 +332,19 @@ def test_cut_of_large_groups(spark, monkeypatch):
         assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 9  # two rows of one id share a decision
 
 
+def test_null_and_repeated_ids_meet_the_target(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 16)
+    rows = [(None, f"w{i} b c", "s") for i in range(300)] + [(None, "a b c", "t")] * 150 + [(7, "x y z", None)] * 40
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mixing.mix_report(df).collect()
+    mixed = Counter(r["source"] for r in mixing.mix(df).collect())
+    assert len(got) == len(rows)
+    for s in ("s", "t", None):
+        own = [r for r in got if r["source"] == s]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 1.5 and mixed[s] == sum(r["copies"] for r in own)
+        assert max(r["copies"] for r in own) - min(r["copies"] for r in own) <= 1
+
+
 # ---- classifier
 
 def test_quality_held_out(spark, sf_dir):
