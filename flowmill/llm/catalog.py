@@ -106,7 +106,8 @@ FROM doc LEFT JOIN known USING (digest) LEFT JOIN found USING (doc_id)
 @query("op8_license_digests", OP8_SQL)
 def license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     known, notices = (spark.createDataFrame(list(rows), "license string, text string") for rows in (licenses.TEXTS, licenses.NOTICES))
-    return licenses.scan(table(spark, sf_dir, "documents"), known, notices)
+    found = licenses.scan(table(spark, sf_dir, "documents"), known, notices)
+    return found.select("doc_id", "digest", "license", "n_notices", "notice")
 
 
 @query("op3_separator_counts")

@@ -109,7 +109,10 @@ SPELLINGS = (
 
 def canonical(text: Column) -> Column:
     out = F.regexp_replace(F.coalesce(text, F.lit("")), COPYRIGHT, " ")
-    out = F.regexp_replace(out, RESERVED, " ")
+    return _words(F.regexp_replace(out, RESERVED, " "))
+
+
+def _words(out: Column) -> Column:
     out = F.trim(F.lower(F.regexp_replace(out, "[^A-Za-z0-9]+", " ")))
     for pattern, by in SPELLINGS:
         out = F.regexp_replace(out, pattern, by.replace("\\", "$"))
@@ -123,19 +126,29 @@ def known_digests(known: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame, known: DataFrame, notices: DataFrame) -> DataFrame:
-    """``(doc_id, digest, license, n_notices, notice)``: the canonical text's digest, the known licence it
-    is, the number of lines which are known notices, and the first of their licences by name.
+    """``(doc_id, digest, license, n_notices, notice, notices)``: the canonical text's digest, the known licence
+    it is, the number of lines which are known notices, the first of their licences by name, and the sorted
+    distinct licences of these lines and of lines which state a copyright and end in a known notice.
 
     ``notices`` is a short fixed list, so its digests become a literal map."""
     short = {r["digest"]: r["license"] for r in known_digests(notices).collect()}
     names = F.create_map(*[F.lit(x) for pair in sorted(short.items()) for x in pair])
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
     found = F.filter(
-        F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda line: F.try_element_at(names, F.sha2(canonical(line), 256))),
+        F.transform(lines, lambda line: F.try_element_at(names, F.sha2(canonical(line), 256))),
         lambda name: name.isNotNull(),
     )
-    rows = docs.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("digest"), found.alias("found"))
+    ends = notices.select(canonical(F.col("text")).alias("words"), "license").filter("words <> ''").distinct().collect()
+    stated = F.transform(F.filter(lines, lambda line: line.rlike(COPYRIGHT)), _words)
+
+    def ending(words: str, name: str) -> Column:
+        return F.transform(F.filter(stated, lambda line: F.endswith(line, F.lit(f" {words}"))), lambda _: F.lit(name))
+
+    behind = F.flatten(F.array(*[ending(r["words"], r["license"]) for r in ends]))
+    rows = docs.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("digest"), found.alias("found"), behind.alias("behind"))
     return rows.join(known_digests(known), "digest", "left").select(
-        "doc_id", "digest", "license", F.size("found").cast("long").alias("n_notices"), F.array_min("found").alias("notice")
+        "doc_id", "digest", "license", F.size("found").cast("long").alias("n_notices"), F.array_min("found").alias("notice"),
+        F.array_sort(F.array_distinct(F.concat("found", "behind"))).alias("notices"),
     )
 
 

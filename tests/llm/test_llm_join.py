@@ -403,3 +403,13 @@ def test_licences_in_other_dress(spark):
             (10, None, 1, "CC-BY-NC-4.0"), (11, "Zlib", 0, None)]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert licenses.scan(df.limit(0), known, notices).collect() == []
+
+
+def test_all_licences_of_a_text(spark):
+    gpl, mit = "This work is licensed under the GNU General Public License, version 3.", "Released under the MIT License."
+    docs = [(1, f"{mit}\nwords\n{gpl}\n{mit}"), (2, "# Copyright (c) 2020 X. Licensed under the MIT License."), (3, "Copyright (c) 2020 X"), (4, None),
+            (5, "(c) 2020 Y. Licensed under CC BY-NC 4.0.\n" + gpl), (6, "words. Licensed under the MIT License.")]
+    known, notices = (spark.createDataFrame(list(r), "license string, text string") for r in (licenses.TEXTS, licenses.NOTICES))
+    got = licenses.scan(spark.createDataFrame(docs, "doc_id long, text string"), known, notices).collect()
+    assert {r["doc_id"]: r["notices"] for r in got} == {1: ["GPL-3.0", "MIT"], 2: ["MIT"], 3: [], 4: [], 5: ["CC-BY-NC-4.0", "GPL-3.0"], 6: []}
+    assert {r["doc_id"]: (r["n_notices"], r["notice"]) for r in got}[1] == (3, "GPL-3.0")
