@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowmill.llm import ann, chat, fingerprint, jaccard, licenses, mixing, packing, quality, separators, warc
+from flowmill.llm import (
+    ann, chat, fingerprint, jaccard, licenses, mixing, packing, periods, quality, separators, superkmers, warc, whitening,
+)
 from flowmill.llm.common import table
 
 QUERIES = {}
@@ -126,3 +128,58 @@ def kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard.join(table(spark, sf_dir, "documents"), k=3, percent=90)
     return found.select("doc_id", "n_shingles", "component_id")
+
+
+OP11_SQL = r"""
+WITH doc AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, s, array_to_string(w[s:s + 19], ' ') AS words
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM doc WHERE len(w) >= 20)),
+again AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY words ORDER BY doc_id, s) AS nth FROM win) WHERE nth > 1),
+covered AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS i FROM again),
+word AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM doc),
+kept AS (SELECT word.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY word.i) AS text
+  FROM word ANTI JOIN covered ON word.doc_id = covered.doc_id AND word.i = covered.i GROUP BY 1)
+SELECT doc.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(kept.n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM doc LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query("op11_super_kmers", OP11_SQL)
+def super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superkmers.report(table(spark, sf_dir, "documents"))
+
+
+@query("op12_whitening")
+def embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.report(table(spark, sf_dir, "embeddings"))
+
+
+# CRC-32 of a short text, byte by byte from its definition
+_CRC = """list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+  lambda h, b: list_reduce([xor(h, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x // 2, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END)))"""
+
+OP13_SQL = rf"""
+WITH said AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, xor({_CRC}, 4294967295) AS h FROM documents),
+shape AS (SELECT *, len(w) AS n, h // 10 AS g, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) ELSE len(w) END AS a FROM said),
+doc AS (SELECT doc_id, n, CASE WHEN a < n THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END])
+  ELSE w END AS w FROM shape),
+word AS (SELECT doc_id, n, unnest(w) AS word, unnest(range(n)) AS i FROM doc),
+pair AS (SELECT x.doc_id, x.i, y.i - x.i AS p FROM word x JOIN word y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 3 * (y.i - x.i) <= x.n),
+isle AS (SELECT doc_id, p, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS isle, i FROM pair),
+stretch AS (SELECT doc_id, p, min(i) AS start, count(*) + p AS length FROM isle GROUP BY doc_id, p, isle HAVING count(*) + p >= greatest(24, 3 * p)),
+run AS (SELECT doc_id, start, length, min(p) AS period FROM stretch GROUP BY ALL),
+best AS (SELECT doc_id, start, length, period FROM (SELECT *, row_number() OVER (PARTITION BY doc_id
+  ORDER BY length::DECIMAL(38, 18) / period DESC, start, period) AS nth FROM run) WHERE nth = 1),
+listed AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM run GROUP BY 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM run),
+kept AS (SELECT word.doc_id, string_agg(word, ' ' ORDER BY word.i) AS text FROM word ANTI JOIN gone ON word.doc_id = gone.doc_id AND word.i = gone.i GROUP BY 1)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, CAST(start AS BIGINT) AS start, CAST(length AS BIGINT) AS length, CAST(period AS BIGINT) AS period,
+  CAST(1000 * length // period AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM doc LEFT JOIN listed USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query("op13_periodic_runs", OP13_SQL)
+def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.report(table(spark, sf_dir, "documents"), rewrite=True)
