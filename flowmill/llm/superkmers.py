@@ -38,16 +38,18 @@ from pyspark.sql import functions as F
 from flowmill.llm import words
 
 WINDOW = 20
-MER = 4
+MER = 3
 LONGEST = 256  # windows of a super-k-mer, so that a monotonous text is cut as well
 COUNTERS = (16, 22)  # binary logarithm of their number, at least and at most
 HOT_MERS = 20_000  # a counter below this is never frequent
 HOT_TIMES = 4  # nor one below that many times the mean
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES, PART_BYTES = 12 << 20, 20 << 20  # super-k-mers of a bucket as a rule, and of a part at most
 SLOT = 4096
 MIXERS = tuple(np.uint64(c) for c in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
 BLOCK = 1 << 20
-CODEC = "zstd"
+CODEC, LEVEL = "zstd", 5
+CUT_BYTES = 4 << 20  # text that is cut at a time
+SENT_BYTES = 12 << 20  # text whose super-k-mers travel together
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -195,11 +197,17 @@ def _repeats(group: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return head, later
 
 
-def _marks(ids: pa.Array, digests: np.ndarray, row: np.ndarray, start: np.ndarray, count: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
-    """Repeated windows ``start`` to ``start + count - 1`` of documents; both in one number."""
+def _marks(ids: pa.Array, digests: np.ndarray, row: np.ndarray, start: np.ndarray, count: np.ndarray, bucket: int) -> pa.RecordBatch:
+    """Repeated windows ``start`` to ``start + count - 1`` of documents, both in one number; neighbouring stretches become one."""
+    order = np.lexsort((start, row))
+    row, start, count = row[order], start[order], count[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (start[1:] != start[:-1] + count[:-1])
+    heads = np.flatnonzero(new)
+    row, mark = row[heads], start[heads] << 32 | np.add.reduceat(count, heads)
     return pa.RecordBatch.from_arrays([
-        pa.array(bucket, pa.int32()), pa.nulls(len(row), pa.binary()), ids.take(pa.array(row)), pa.array(digests[row]),
-        pa.array(start * 2 * LONGEST + count)], ["bucket", "packed", "doc_id", "digest", "mark"])
+        pa.array(np.full(len(row), bucket, np.int32)), pa.nulls(len(row), pa.binary()), ids.take(pa.array(row)), pa.array(digests[row]), pa.array(mark),
+    ], ["bucket", "packed", "doc_id", "digest", "mark"])
 
 
 SENT = "bucket int, packed binary, doc_id long, digest long, mark long"
@@ -207,15 +215,16 @@ SENT = "bucket int, packed binary, doc_id long, digest long, mark long"
 
 def _pack(pieces: list[bytes], columns: dict[str, np.ndarray], ids: pa.Array, digests: np.ndarray) -> bytes:
     """Super-k-mers and the documents they come from as one compressed string."""
-    used, columns["row"] = np.unique(columns["row"], return_inverse=True)
+    used, rows = np.unique(columns["row"], return_inverse=True)
+    columns["row"] = np.diff(rows, prepend=0)  # they rise nearly always
     raw = [np.array([len(columns["row"]), len(used)], "<i8"), *(columns[c].astype(t) for c, t in LAYOUT)]
     id_rows = ids.take(pa.array(used))
     raw += [id_rows.fill_null(0).to_numpy().astype("<i8"), id_rows.is_null().to_numpy(zero_copy_only=False).astype("u1"), digests[used].astype("<i8")]
     blob = b"".join([*(r.tobytes() for r in raw), *pieces])
-    return len(blob).to_bytes(8, "little") + pa.Codec(CODEC, compression_level=1).compress(blob, asbytes=True)
+    return len(blob).to_bytes(8, "little") + pa.Codec(CODEC, compression_level=LEVEL).compress(blob, asbytes=True)
 
 
-LAYOUT = (("row", "<i4"), ("start", "<i4"), ("count", "<i2"), ("size", "<i4"), ("part", "u1"))
+LAYOUT = (("row", "<i4"), ("start", "<i4"), ("count", "<i2"), ("part", "u1"))
 
 
 def _unpack(packed: bytes):
@@ -225,41 +234,49 @@ def _unpack(packed: bytes):
     for name, kind, size in [*((c, t, n) for c, t in LAYOUT), ("id", "<i8", m), ("null", "u1", m), ("digest", "<i8", m)]:
         columns[name] = np.frombuffer(blob, kind, size, at)
         at += columns[name].nbytes
+    columns["row"] = np.cumsum(columns["row"], dtype=np.int64)
     return columns, memoryview(blob)[at:]
 
 
+def _sent(batch: pa.RecordBatch, hot: np.ndarray, buckets: int, window: int, mer: int) -> Iterator[pa.RecordBatch]:
+    """Marks of what repeats inside the batch ``(id, digest, text)``, and the rest packed for each bucket."""
+    ids, digests = batch.column(0), batch.column(1).to_numpy()
+    document = _ranks(digests, ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False))
+    pieces, found = [], []
+    for at, texts in words.chunks(batch.column(2), CUT_BYTES):
+        data, row, start, count, key, a, b = _cut(texts, hot, window, mer)
+        raw = data.tobytes()
+        pieces += [raw[i:j] for i, j in zip(a.tolist(), b.tolist())]
+        found.append((row + at, start, count, key))
+    if not pieces:
+        return
+    row, start, count, key = (np.concatenate(c) for c in zip(*found))
+    del found
+    number: dict[bytes, int] = {}
+    same = np.fromiter((number.setdefault(p, len(number)) for p in pieces), np.int64, len(pieces))
+    del number
+    head, later = _repeats(same, document[row] * (1 << 32) + start)
+    bucket = (key % np.uint64(buckets)).astype(np.int32)
+    if later.any():
+        yield _marks(ids, digests, row[later], start[later], count[later], int(bucket[0]))
+    head = np.flatnonzero(head)
+    head = head[np.argsort(bucket[head], kind="stable")]
+    for part in np.split(head, np.flatnonzero(np.diff(bucket[head])) + 1):
+        texts = [pieces[i] + b"\n" for i in part.tolist()]
+        columns = {"row": row[part], "start": start[part], "count": count[part], "part": key[part] // np.uint64(buckets) & np.uint64(255)}
+        yield pa.RecordBatch.from_arrays([
+            pa.array(bucket[part[:1]], pa.int32()), pa.array([_pack(texts, columns, ids, digests)], pa.binary()),
+            pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], ["bucket", "packed", "doc_id", "digest", "mark"])
+
+
 def super_kmers(docs: DataFrame, hot: np.ndarray, buckets: int, window: int = WINDOW, mer: int = MER) -> DataFrame:
     """Rows ``SENT``: all super-k-mers of a batch for a bucket, packed, or marks of repeats seen already."""
     bits = np.packbits(hot)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, digests = batch.column(0), batch.column(1).to_numpy()
-            document = _ranks(digests, ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False))
-            pieces, found = [], []
-            for at, texts in words.chunks(batch.column(2)):
-                data, row, start, count, key, a, b = _cut(texts, bits, window, mer)
-                raw = data.tobytes()
-                pieces += [raw[i:j] for i, j in zip(a.tolist(), b.tolist())]
-                found.append((row + at, start, count, key))
-            if not pieces:
-                continue
-            row, start, count, key = (np.concatenate(c) for c in zip(*found))
-            same = pa.array(pieces, pa.large_binary()).dictionary_encode().indices.to_numpy()
-            head, later = _repeats(same, document[row] * (1 << 32) + start)
-            bucket = (key % np.uint64(buckets)).astype(np.int32)
-            if later.any():
-                yield _marks(ids, digests, row[later], start[later], count[later], bucket[later])
-            head = np.flatnonzero(head)
-            head = head[np.argsort(bucket[head], kind="stable")]
-            edges = np.flatnonzero(np.diff(bucket[head])) + 1
-            for part in np.split(head, edges):
-                texts = [pieces[i] + b"\n" for i in part.tolist()]
-                columns = {"row": row[part], "start": start[part], "count": count[part], "size": np.array(list(map(len, texts))),
-                           "part": key[part] // np.uint64(buckets) & np.uint64(255)}
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(bucket[part[:1]], pa.int32()), pa.array([_pack(texts, columns, ids, digests)], pa.binary()),
-                    pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], ["bucket", "packed", "doc_id", "digest", "mark"])
+            for at, texts in words.chunks(batch.column(2), SENT_BYTES):
+                yield from _sent(batch.slice(at, len(texts)), bits, buckets, window, mer)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest().alias("digest"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(work, SENT)
@@ -307,12 +324,14 @@ def _count_part(blobs: list[bytes], window: int, part: int, parts: int) -> Itera
         columns, raw = _unpack(blob)
         if parts > 1:
             mine = columns["part"] % parts == part
-            ends = np.cumsum(columns["size"], dtype=np.int64)
-            texts += [raw[e - s:e] for s, e in zip(columns["size"][mine].tolist(), ends[mine].tolist())]
+            _, starts, ends, _ = words.bounds(pa.array([bytes(raw)], pa.binary()))
+            after = np.cumsum(columns["count"].astype(np.int64) + window - 1)
+            upto = np.concatenate(([0], after[:-1]))
+            texts += [bytes(raw[a:b]) + b"\n" for a, b in zip(starts[upto[mine]].tolist(), ends[after[mine] - 1].tolist())]
         else:
             mine = slice(None)
             texts.append(raw)
-        found.append([columns["row"][mine].astype(np.int64) + before, columns["start"][mine].astype(np.int64), columns["count"][mine].astype(np.int64)])
+        found.append([columns["row"][mine] + before, columns["start"][mine].astype(np.int64), columns["count"][mine].astype(np.int64)])
         documents.append([columns[c] for c in ("digest", "id", "null")])
         before += len(columns["id"])
     row, start, count = (np.concatenate(c) for c in zip(*found))
@@ -341,10 +360,10 @@ def _count_part(blobs: list[bytes], window: int, part: int, parts: int) -> Itera
     heads = np.flatnonzero(new)
     counts = np.diff(np.append(heads, len(again)))
     heads = again[heads]
-    yield _marks(pa.array(ids, mask=nulls.astype(bool)), digests, row[kmer[heads]], begins[heads], counts, np.zeros(len(heads), np.int32))
+    yield _marks(pa.array(ids, mask=nulls.astype(bool)), digests, row[kmer[heads]], begins[heads], counts, 0)
 
 
-def repeated_windows(sent: DataFrame, window: int = WINDOW, partitions: int | None = None, limit: int = 2 * BUCKET_BYTES) -> DataFrame:
+def repeated_windows(sent: DataFrame, window: int = WINDOW, partitions: int | None = None, limit: int = PART_BYTES) -> DataFrame:
     """``(doc_id, digest, mark)`` of every stretch of windows whose words begin earlier as well."""
     partitions = partitions or int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -370,7 +389,7 @@ def repeated_windows(sent: DataFrame, window: int = WINDOW, partitions: int | No
     return dealt.mapInArrow(work, "doc_id long, digest long, mark long")
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, mer: int = MER, hot_mers: int = HOT_MERS, limit: int = 2 * BUCKET_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, mer: int = MER, hot_mers: int = HOT_MERS, limit: int = PART_BYTES) -> DataFrame:
     """``(doc_id, n_words, n_removed, kept)``: each text's words that no repeated window covers, joined by one space."""
     size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 3 * size // BUCKET_BYTES + 1)
@@ -391,8 +410,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, mer: int = MER, hot_me
                 if listed.is_valid:
                     mark = listed.values.to_numpy()
                     turns = np.zeros(len(said) + 1, np.int64)
-                    np.add.at(turns, mark // (2 * LONGEST), 1)
-                    np.add.at(turns, mark // (2 * LONGEST) + mark % (2 * LONGEST) + window - 1, -1)
+                    np.add.at(turns, mark >> 32, 1)
+                    np.add.at(turns, (mark >> 32) + (mark & 0xFFFFFFFF) + window - 1, -1)
                     stays = np.cumsum(turns[:-1]) == 0
                     left = int(stays.sum())
                     said = compress(said, stays.tolist())
