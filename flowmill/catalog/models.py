@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from operator import and_
 
 import numpy as np
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,8 +17,10 @@ from flowmill.catalog.rows import draw
 from flowmill.operators import labelling, metrics
 from flowmill.plans import features as plan
 from flowmill.plans import score as scoring
-from flowmill.plans import train, training, tune
+from flowmill.plans import train, training, trees, tune
+from flowmill.plans.predict import weights
 from flowmill.plans.splits import split_of
+from flowmill.plans.train import Model
 from flowmill.sources import models as stored
 from flowmill.sources import parquet, runs
 from flowmill.sources import schemas as S
@@ -33,7 +35,7 @@ def feature_rows(spark, sf_dir):
     return plan.apply_base(flows, fitted_base(spark, sf_dir), keep=("event_id", "split"))
 
 
-def model(spark, sf_dir: str, framework: str = "trees", refresh: bool = False) -> PipelineModel:
+def model(spark, sf_dir: str, framework: str = "trees", refresh: bool = False) -> Model:
     """Model of the train split, trained once per session and table folder, then loaded."""
     key = (spark.sparkContext.applicationId, sf_dir, framework)
     if refresh or key not in _TRAINED:
@@ -44,19 +46,34 @@ def model(spark, sf_dir: str, framework: str = "trees", refresh: bool = False) -
     return stored.load_model(_TRAINED[key], framework)
 
 
+def quality(scored: DataFrame) -> DataFrame:
+    """Per split: its rows, the share of its most frequent class, and whether the model does better than that
+    share and than equal probabilities."""
+    tables = scoring.evaluate(scored)
+    most = tables["classes"].groupBy("split").agg((F.max("support") / F.sum("support")).alias("majority"))
+    each = tables["summary"].join(F.broadcast(tables["loss"]), "split").join(F.broadcast(most), "split")  # a row per split
+    beats, informed = F.col("accuracy") > F.col("majority"), F.col("mlogloss") < math.log(S.NUM_CLASSES)
+    return each.select("split", "support", "majority", beats.alias("beats_majority"), informed.alias("informed"))
+
+
+QUALITY = f"""quality AS (SELECT split, CAST(sum(n) AS BIGINT) AS support, max(n) / sum(n) AS majority, TRUE AS beats_majority, TRUE AS informed
+  FROM (SELECT {SPLIT_SQL} AS split, attack, count(*) AS n FROM traffic GROUP BY ALL) GROUP BY 1)"""
+
+
 def _trained(spark, sf_dir, framework: str):
-    """All rows scored by a model trained on the train split: what holds for any such model."""
+    """All rows scored by a model trained on the train split, with what is known of such a model."""
     rows = feature_rows(spark, sf_dir)
     out = scoring.score(rows, model(spark, sf_dir, framework, refresh=True), framework=framework)
     p, best = F.col("probability"), F.col("prediction")
     in_range = best.between(0, 5) & (F.get(p, best.cast("int")) == F.array_max(p)) & (F.array_min(p) >= 0)
     total = F.aggregate(p, F.lit(0.0), lambda a, x: a + x)
-    return rounded(out.select("event_id", "split", in_range.alias("in_range"), total.alias("total"), "framework"))
+    each = out.select("event_id", "split", in_range.alias("in_range"), total.alias("total"), "framework")
+    return rounded(each.join(F.broadcast(quality(out).drop("support")), "split"))
 
 
 def _trained_sql(framework: str) -> str:
-    return f"""WITH {TRAFFIC} SELECT event_id, {SPLIT_SQL} AS split, TRUE AS in_range, 1.0::DOUBLE AS total,
-  '{framework}' AS framework FROM traffic"""
+    return f"""WITH {TRAFFIC}, {QUALITY} SELECT event_id, split, TRUE AS in_range, 1.0::DOUBLE AS total, '{framework}' AS framework,
+  {r('majority')}, beats_majority, informed FROM (SELECT event_id, {SPLIT_SQL} AS split FROM traffic) JOIN quality USING (split)"""
 
 
 @query("train_trees", _trained_sql("trees"))
@@ -69,6 +86,51 @@ def train_mlp(spark, sf_dir):
     return _trained(spark, sf_dir, "net")
 
 
+STUMP_FEATURES = ("dst_port", "hour", "packet_count", "conn", "parity")
+STUMP = train.TREE_PARAMS | {"rounds": 1, "max_depth": 1, "eta": 0.5, "lambda": 1.5, "alpha": 2.0, "min_child_weight": 40}
+_UNIT = 1 << 24
+_CONN = "CASE conn_state WHEN 'EST' THEN 0 WHEN 'SYN' THEN 1 WHEN 'FIN' THEN 2 ELSE 3 END"
+
+
+def _t(g: str) -> str:
+    return f"(sign({g}) * greatest(abs({g}) - 2.0, 0.0))"
+
+
+STUMP_SQL = f"""WITH {TRAFFIC}, wide AS (SELECT event_id, {SPLIT_SQL} AS split, attack, dst_port::DOUBLE AS dst_port, hour(make_timestamp("timestamp" * 1000000))::DOUBLE AS hour,
+  packet_count::DOUBLE AS packet_count, ({_CONN})::DOUBLE AS conn, (src_port % 2)::DOUBLE AS parity FROM traffic),
+class AS (SELECT range AS k FROM range(6)),
+value AS (SELECT name, x, CASE name {' '.join(f"WHEN '{f}' THEN {i}" for i, f in enumerate(STUMP_FEATURES))} END AS f, attack
+  FROM (UNPIVOT wide ON {', '.join(STUMP_FEATURES)} INTO NAME name VALUE x) WHERE split = 'train'),
+cell AS (SELECT f, x, k, sum(round((1::DOUBLE / 6 - CASE WHEN attack = k THEN 1 ELSE 0 END) * {_UNIT}))::HUGEINT AS g,
+  sum(round(6::DOUBLE / 5 * (1::DOUBLE / 6) * (1 - 1::DOUBLE / 6) * {_UNIT}))::HUGEINT AS h FROM value, class GROUP BY ALL),
+side AS (SELECT f, k, x, sum(g) OVER upto - g AS gi, sum(h) OVER upto - h AS hi, sum(g) OVER whole AS gt, sum(h) OVER whole AS ht FROM cell
+  WINDOW upto AS (PARTITION BY f, k ORDER BY x), whole AS (PARTITION BY f, k)),
+real AS (SELECT f, k, x, gi::DOUBLE / {_UNIT} AS gl, hi::DOUBLE / {_UNIT} AS hl, (gt - gi)::DOUBLE / {_UNIT} AS gr, (ht - hi)::DOUBLE / {_UNIT} AS hr,
+  gt::DOUBLE / {_UNIT} AS g, ht::DOUBLE / {_UNIT} AS h FROM side WHERE hi > 0),
+gain AS (SELECT *, {_t('gl')} * {_t('gl')} / (hl + 1.5) + {_t('gr')} * {_t('gr')} / (hr + 1.5) - {_t('g')} * {_t('g')} / (h + 1.5) AS gain
+  FROM real WHERE hl >= 40 AND hr >= 40),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY gain DESC, f, x) AS nth FROM gain) WHERE nth = 1 AND gain > 1e-6),
+root AS (SELECT k, any_value(g) AS g, any_value(h) AS h FROM real GROUP BY 1),
+leaf AS (SELECT root.k, f, x, -0.5 * {_t('root.g')} / (root.h + 1.5) AS alone, -0.5 * {_t('gl')} / (hl + 1.5) AS below, -0.5 * {_t('gr')} / (hr + 1.5) AS above
+  FROM root LEFT JOIN best ON best.k = root.k),
+margin AS (SELECT event_id, split, leaf.k, CASE WHEN f IS NULL THEN alone WHEN [{', '.join(STUMP_FEATURES)}][f + 1] < x THEN below ELSE above END AS m FROM wide, leaf),
+power AS (SELECT event_id, split, k, exp(m - max(m) OVER (PARTITION BY event_id)) AS e FROM margin)
+SELECT event_id, split, k AS class, {r('e / sum(e) OVER (PARTITION BY event_id)', 'probability', 5)} FROM power"""
+
+
+@query("train_stumps", STUMP_SQL)
+def train_stumps(spark, sf_dir):
+    """One boosting round of depth 1: sums, splits, weights and scores, all of them as SQL finds them."""
+    state = F.when(F.col("conn_state") == "EST", 0).when(F.col("conn_state") == "SYN", 1).when(F.col("conn_state") == "FIN", 2).otherwise(3)
+    wide = traffic(spark, sf_dir).select(
+        "event_id", split_of().alias("split"), F.col("attack").alias("label"), F.col("dst_port").cast("double"),
+        F.hour(F.timestamp_seconds("timestamp")).cast("double").alias("hour"), F.col("packet_count").cast("double"),
+        state.cast("double").alias("conn"), (F.col("src_port") % 2).cast("double").alias("parity"))
+    stumps = trees.fit(wide.filter("split = 'train'"), STUMP_FEATURES, "label", S.NUM_CLASSES, [STUMP])[0]
+    scored = wide.select("event_id", "split", weights(stumps).alias("p"))
+    return rounded(scored.select("event_id", "split", F.posexplode("p").alias("class", "probability")).withColumn("class", F.col("class").cast("long")), 5)
+
+
 @query("score_batch", f"""WITH {TRAFFIC} SELECT event_id, {SPLIT_SQL} AS split, CAST(6 AS INTEGER) AS n_classes, TRUE AS best,
   'stable' AS variant, 'trees' AS framework, 'model_trees' AS model_key FROM traffic""")
 def score_batch(spark, sf_dir):
@@ -120,23 +182,36 @@ def score_canary(spark, sf_dir):
     return out.select("event_id", "variant", "framework", "model_key", F.col("prediction").between(0, 5).alias("in_range"))
 
 
-@query("score_requests", """SELECT event_id AS request_id,
+@query("score_requests", """WITH kind AS (SELECT event_id AS request_id,
   CASE event_id % 8 WHEN 0 THEN CAST(2 AS BIGINT) WHEN 6 THEN CAST(1 AS BIGINT) WHEN 7 THEN CAST(1 AS BIGINT) ELSE CAST(0 AS BIGINT) END AS n_predictions,
   CASE event_id % 8 WHEN 1 THEN 'not_an_object' WHEN 2 THEN 'missing_data' WHEN 3 THEN 'wrong_kind'
-    WHEN 4 THEN 'not_an_object' WHEN 5 THEN 'no_rows' END AS error FROM events""")
+    WHEN 4 THEN 'not_an_object' WHEN 5 THEN 'no_rows' END AS error FROM events)
+SELECT *, n_predictions AS n_probabilities, CASE WHEN error IS NULL THEN TRUE END AS best, CASE WHEN error IS NULL THEN n_predictions::DOUBLE END AS total,
+  CASE WHEN error IS NULL THEN 'stable/trees/model_trees' END AS tag, error AS said FROM kind""")
 def score_requests(spark, sf_dir):
+    """Replies taken apart again: each prediction is the first largest of its probabilities, which sum to 1."""
     replies = scoring.answer_requests(requests(spark, sf_dir), fitted_base(spark, sf_dir), model(spark, sf_dir))
-    return replies.select("request_id", "n_predictions", "error")
+    said = F.from_json("reply", """predictions array<bigint>, probabilities array<array<double>>, error string,
+        model struct<variant string, framework string, model_key string>""")
+    pairs = F.arrays_zip(F.col("said.predictions").alias("k"), F.col("said.probabilities").alias("p"))
+    best = F.forall(pairs, lambda x: x["k"] == F.array_position(x["p"], F.array_max(x["p"])) - 1)
+    total = F.aggregate(F.flatten("said.probabilities"), F.lit(0.0), lambda a, p: a + p)
+    tag = F.when(F.col("said.model").isNotNull(), F.concat_ws("/", "said.model.variant", "said.model.framework", "said.model.model_key"))
+    parts = replies.withColumn("said", said).select(
+        "request_id", "n_predictions", "error", F.coalesce(F.size("said.probabilities"), F.lit(0)).cast("long").alias("n_probabilities"),
+        best.alias("best"), total.alias("total"), tag.alias("tag"), F.col("said.error").alias("said"))
+    return rounded(parts)
 
 
 @query("eval_by_split", f"""WITH {TRAFFIC} SELECT {SPLIT_SQL} AS split, CAST(count(*) AS BIGINT) AS support,
-  CAST(count(*) AS BIGINT) AS n_rows, TRUE AS in_range FROM traffic GROUP BY 1""")
+  CAST(count(*) AS BIGINT) AS n_rows, TRUE AS in_range, TRUE AS informed FROM traffic GROUP BY 1""")
 def eval_by_split(spark, sf_dir):
     tables = scoring.evaluate(scoring.score(feature_rows(spark, sf_dir), model(spark, sf_dir)))
     both = tables["summary"].join(F.broadcast(tables["loss"]), "split")
     shares = [F.col(c).between(0, 1) for c in ("accuracy", "precision_macro", "recall_weighted", "f1_avg", "merror")]
     agree = F.abs(1 - F.col("accuracy") - F.col("merror")) < 1e-9
-    return both.select("split", "support", "n_rows", reduce(and_, shares, agree & (F.col("mlogloss") > 0)).alias("in_range"))
+    return both.select("split", "support", "n_rows", reduce(and_, shares, agree & (F.col("mlogloss") > 0)).alias("in_range"),
+                       (F.col("mlogloss") < math.log(S.NUM_CLASSES)).alias("informed"))
 
 
 @query("evaluation_saved", f"""WITH {PREDICTIONS}, grid AS (SELECT l.range AS label, p.range AS prediction FROM range(6) l, range(6) p)
@@ -159,25 +234,25 @@ def checked_splits(spark, sf_dir):
 
 
 def _trials(spark, trials):
-    """What holds for every search: finite losses, one best run, and parameters that matter."""
+    """What holds for a search: finite losses, one best run better than equal probabilities, and parameters that matter."""
     best = runs.best_run(trials, "mlogloss").select("run_id", F.col("number").alias("best"))
     return trials.join(F.broadcast(best), "run_id", "left").agg(
         F.count(F.lit(1)).alias("n_trials"), F.count_distinct("params").alias("n_params"), F.count("best").alias("n_best"),
         (F.min("best") == F.min("number")).alias("best_is_smallest"), (F.count_distinct("number") > 1).alias("losses_differ"),
-        F.bool_and(F.col("number").between(1e-9, 1e9)).alias("finite"),
+        F.bool_and(F.col("number").between(1e-9, 1e9)).alias("finite"), (F.min("number") < math.log(S.NUM_CLASSES)).alias("informed"),
     )
 
 
 def _trials_sql(n: int) -> str:
     return f"""SELECT CAST({n} AS BIGINT) AS n_trials, CAST({n} AS BIGINT) AS n_params, CAST(1 AS BIGINT) AS n_best,
-  TRUE AS best_is_smallest, TRUE AS losses_differ, count(*) > 0 AS finite FROM events"""
+  TRUE AS best_is_smallest, TRUE AS losses_differ, count(*) > 0 AS finite, TRUE AS informed FROM events"""
 
 
 @query("tune_random", _trials_sql(3))
 def tune_random(spark, sf_dir):
     rows = feature_rows(spark, sf_dir)
     trials = tune.random_search(
-        rows.filter("split = 'train'"), rows.filter("split = 'val'"), max_train_rows=250_000, concurrent=2,
+        rows.filter("split = 'train'"), rows.filter("split = 'val'"), max_train_rows=250_000,
     )
     return _trials(spark, trials)
 
@@ -186,7 +261,7 @@ def tune_random(spark, sf_dir):
 def tune_net(spark, sf_dir):
     rows = feature_rows(spark, sf_dir)
     trials = tune.random_search(
-        rows.filter("split = 'train'"), rows.filter("split = 'val'"), "net", trials=3, max_train_rows=250_000, concurrent=2, hidden=(32,),
+        rows.filter("split = 'train'"), rows.filter("split = 'val'"), "net", trials=3, max_train_rows=250_000, hidden=(32,),
     )
     return _trials(spark, trials)
 
@@ -205,7 +280,8 @@ def retrain_eval(spark, sf_dir):
     return before.join(after.drop("support"), "split").select("split", "support", (F.col("after") > F.col("before")).alias("better"))
 
 
-@query("drift_model", f"""WITH {TRAFFIC} SELECT d.drift, {SPLIT_SQL} AS split, CAST(count(*) AS BIGINT) AS support, TRUE AS in_range
+@query("drift_model", f"""WITH {TRAFFIC} SELECT d.drift, {SPLIT_SQL} AS split, CAST(count(*) AS BIGINT) AS support, TRUE AS in_range,
+  CASE d.drift WHEN 'concept_drift' THEN TRUE END AS worse
 FROM traffic, (VALUES ('normal'), ('data_drift'), ('concept_drift')) d(drift) GROUP BY ALL""")
 def drift_model(spark, sf_dir):
     """One model on the baseline, on shifted features and on shifted labels."""
@@ -217,4 +293,7 @@ def drift_model(spark, sf_dir):
     sets = {"normal": flows, "data_drift": shifted, "concept_drift": labelling.with_label(flows, "concept")}
     rows = {k: plan.apply_base(v, fitted, keep=("split",)) for k, v in sets.items()}
     out = scoring.compare_drift(rows, model(spark, sf_dir), by=("split",))
-    return out.select("drift", "split", "support", F.col("accuracy").between(0, 1).alias("in_range"))
+    usual = out.filter("drift = 'normal'").select("split", F.col("accuracy").alias("usual"))  # a row per split
+    worse = F.when(F.col("drift") == "concept_drift", F.col("accuracy") < F.col("usual"))
+    return out.join(F.broadcast(usual), "split").select(
+        "drift", "split", "support", F.col("accuracy").between(0, 1).alias("in_range"), worse.alias("worse"))

@@ -11,8 +11,8 @@ from flowmill.sources.schemas import NUM_CLASSES
 AVERAGED = ("precision", "recall", "f1")
 
 
-def _row_loss(label: str, probability: str, floor: float = 1e-15) -> Column:
-    # null for a label outside the classes
+def row_loss(label: str, probability: str, floor: float = 1e-15) -> Column:
+    """Negative log of the probability given to the true class; null for a label outside the classes."""
     given = F.get(F.col(probability), F.col(label).cast("int"))
     return F.when(given.isNotNull(), -F.log(F.greatest(given, F.lit(floor))))
 
@@ -32,7 +32,7 @@ def confusion(
     # join, so partial counts are the only rows that move.
     sums = [F.count(F.lit(1)).alias("n")]
     if probability is not None:
-        sums.append(F.sum(F.when(inside, _row_loss(label, probability))).alias("loss"))
+        sums.append(F.sum(F.when(inside, row_loss(label, probability))).alias("loss"))
     measures = ["n", "loss"][: len(sums)]
     counts = df.groupBy(*by, F.when(inside, pair).alias("_cell")).agg(*sums)
     entry = F.struct("_cell", F.struct(*measures))
@@ -131,7 +131,7 @@ def log_loss(df: DataFrame, label: str = "label", probability: str = "probabilit
     best = F.array_position(F.col(probability), F.array_max(probability)) - 1
     inside = F.coalesce((F.col(label) >= 0) & (F.col(label) < F.size(probability)), F.lit(False))
     return df.groupBy(*by).agg(
-        F.avg(F.when(inside, _row_loss(label, probability))).alias("mlogloss"),
+        F.avg(F.when(inside, row_loss(label, probability))).alias("mlogloss"),
         F.avg(F.when(inside, (best != F.col(label)).cast("double"))).alias("merror"),
         F.count(F.when(inside, 1)).alias("n_rows"), F.count(F.when(~inside, 1)).alias("n_excluded"),
     )

@@ -8,8 +8,6 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import PipelineModel
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,28 +17,23 @@ from flowmill.functions.messages import request_rows
 from flowmill.operators import metrics
 from flowmill.operators.sampling import assign_variant
 from flowmill.plans.features import Fitted, apply_base
+from flowmill.plans.predict import weights
+from flowmill.plans.train import Model
 from flowmill.sources.schemas import FEATURES, NUM_CLASSES, TARGET
 from flowmill.sources.session import pinned
 
 
-def _class_weights(scored: DataFrame) -> Column:
-    """One non-negative number per class; probabilities once scaled to sum to 1."""
-    if "probability" in scored.columns:
-        return vector_to_array("probability")
-    return F.array(*[vector_to_array(f"probability_{k}")[1] for k in range(NUM_CLASSES)])
-
-
-def _weighed(ready: DataFrame, model: PipelineModel, out: str) -> DataFrame:
-    scored = model.transform(ready)
-    return scored.select(*ready.columns, _class_weights(scored).alias(out))
-
-
 def _ready(features: DataFrame) -> DataFrame:
     """Features with nulls as 0 beside the columns as they came, which go out again."""
     kept = F.struct(*[F.col(f"`{c}`") for c in features.columns]).alias("_kept")
     return features.select("*", kept).fillna(0.0, subset=list(FEATURES))
 
 
+def weigh(features: DataFrame, models: dict[str, Model], keep: tuple[str, ...]) -> DataFrame:
+    """Columns ``keep`` and each model's class probabilities as an array by its name; null features count as 0."""
+    return _ready(features).select(*[F.col(f"_kept.`{c}`").alias(c) for c in keep], *[weights(m).alias(n) for n, m in models.items()])
+
+
 def _predicted(weighted: DataFrame, columns: list[str], tags: list[Column]) -> DataFrame:
     # the weights get a projection of their own: they are used several times below
     total = F.greatest(F.aggregate("_weights", F.lit(0.0), lambda a, w: a + w), F.lit(1e-300))
@@ -53,14 +46,14 @@ def _predicted(weighted: DataFrame, columns: list[str], tags: list[Column]) -> D
 
 
 def score(
-    features: DataFrame, model: PipelineModel, variant: str = "stable", framework: str = "trees",
+    features: DataFrame, model: Model, variant: str = "stable", framework: str = "trees",
     model_key: str | None = None,
 ) -> DataFrame:
     """Input columns plus ``prediction``, ``probability`` (array) and the model tag.
 
-    Works alike on batch and streaming tables; nothing but JVM expressions runs per row.
+    Works alike on batch and streaming tables. Trees are JVM expressions; a net runs once per Arrow batch.
     """
-    weighted = _weighed(_ready(features), model, "_weights").select("_kept", "_weights")
+    weighted = _ready(features).select("_kept", weights(model).alias("_weights"))
     tags = {"variant": variant, "framework": framework, "model_key": model_key or f"model_{framework}"}
     return _predicted(weighted, features.columns, [F.lit(v).alias(k) for k, v in tags.items()])
 
@@ -96,7 +89,7 @@ def score_foreign(
 class Tagged:
     """A model and the names its predictions carry."""
 
-    model: PipelineModel
+    model: Model
     framework: str = "trees"
     model_key: str | None = None
 
@@ -112,10 +105,9 @@ def score_routed(
     over the input; every row is tagged with the model that scored it."""
     routed = _ready(assign_variant(features.drop("variant"), share, key, seed).withColumnRenamed("variant", "_variant"))
     columns = [c for c in features.columns if c != "variant"]
-    both = _weighed(routed, stable.model, "_stable")
-    both = _weighed(both, canary.model, "_canary")
     is_canary = F.col("_variant") == "canary"
-    chosen = both.select("_kept", "_variant", F.when(is_canary, F.col("_canary")).otherwise(F.col("_stable")).alias("_weights"))
+    # each model sees its own rows only
+    chosen = routed.select("_kept", "_variant", F.coalesce(weights(canary.model, is_canary), weights(stable.model, ~is_canary)).alias("_weights"))
     tags = [
         F.col("_variant").alias("variant"),
         F.when(is_canary, canary.framework).otherwise(stable.framework).alias("framework"),
@@ -136,7 +128,7 @@ def replies(scored: DataFrame, keep: tuple[str, ...], error: str | None = None)
 
 
 def answer_requests(
-    requests: DataFrame, fitted: Fitted, model: PipelineModel, key: str = "request_id", body: str = "body",
+    requests: DataFrame, fitted: Fitted, model: Model, key: str = "request_id", body: str = "body",
     received: str | None = None, **tag: str,
 ) -> DataFrame:
     """One reply per request ``key``: the predictions and probabilities of all its records in order,
@@ -178,7 +170,7 @@ def evaluate(scored: DataFrame, target: str = TARGET, by: tuple[str, ...] = ("sp
     }
 
 
-def compare_drift(sets: dict[str, DataFrame], model: PipelineModel, target: str = TARGET, by: tuple[str, ...] = ()) -> DataFrame:
+def compare_drift(sets: dict[str, DataFrame], model: Model, target: str = TARGET, by: tuple[str, ...] = ()) -> DataFrame:
     """One model's summary on several labelled tables, one row per table (``drift``) and group."""
     tagged = [df.withColumn("drift", F.lit(name)) for name, df in sets.items()]
     scored = score(reduce(DataFrame.unionByName, tagged), model)

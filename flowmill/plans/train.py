@@ -1,24 +1,23 @@
-"""Distributed training. Both model kinds are Spark ML pipelines over the 14 features."""
+"""Distributed training over the 14 features: boosted trees and a feed-forward net."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from multiprocessing.pool import ThreadPool
+from collections.abc import Callable, Sequence
 
-from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowmill.operators.validate import require_model_input
+from flowmill.plans import net, trees
 from flowmill.sources.schemas import FEATURES, NUM_CLASSES, TARGET
-from flowmill.sources.session import shared_dir
+
+Model = trees.TreeModel | net.Net
 
 # fixed values: default training parameters
-TREE_PARAMS = {"eta": 0.3, "max_depth": 6, "rounds": 10, "min_child_weight": 1, "subsample": 1.0, "max_bins": 256}
-NET_PARAMS = {"hidden": (512, 512), "max_epochs": 10, "batch_size": 256, "lr": 1e-3, "solver": "l-bfgs"}
+TREE_PARAMS = {
+    "eta": 0.3, "max_depth": 6, "rounds": 10, "min_child_weight": 1, "subsample": 1.0, "lambda": 1.0, "alpha": 0.0, "max_bins": 256,
+}
+NET_PARAMS = {"hidden": (512, 512), "dropout": 0.25, "max_epochs": 10, "batch_size": 256, "lr": 1e-3, "weight_decay": 0.0, "local_steps": 32}
 
 
 def model_input(df: DataFrame, target: str = TARGET) -> DataFrame:
@@ -28,10 +27,6 @@ def model_input(df: DataFrame, target: str = TARGET) -> DataFrame:
     return ready.filter(F.col("label").between(0, NUM_CLASSES - 1))
 
 
-def _assembler() -> VectorAssembler:
-    return VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-
-
 def _spread(rows: DataFrame) -> DataFrame:
     """``rows`` over all cores, if the input has fewer partitions than that. A large table has
     more and is not shuffled."""
@@ -39,59 +34,36 @@ def _spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
-def fit_trees(train: DataFrame, target: str = TARGET, seed: int = 42, parallel: int = 2, **params) -> PipelineModel:
-    """Boosted trees, one ensemble per class, ``parallel`` of them side by side on one cached table.
+def _ready(train: DataFrame, target: str) -> DataFrame:
+    return _spread(model_input(train, target).select("label", *FEATURES))
 
-    Each fit keeps tables of its own beside that one, so memory bounds ``parallel``.
 
-    ``eta``, ``max_depth``, ``rounds``, ``min_child_weight``, ``subsample`` and ``max_bins``
-    are the step size, depth, number of trees, smallest leaf, row sample and histogram size.
-    """
-    p = TREE_PARAMS | params
-    shared_dir(train.sparkSession)  # long boosting lineage is cut in the shared folder
-    assembler = _assembler()
-    rows = _spread(assembler.transform(model_input(train, target)).select("features", "label"))
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+def _merged(defaults: dict, trials: Sequence[dict]) -> list[dict]:
+    unknown = sorted(set().union(*trials) - set(defaults))
+    if unknown:
+        raise ValueError(f"unknown parameters {unknown}; known: {sorted(defaults)}")
+    return [defaults | t for t in trials]
 
-    def fit_class(k: int):
-        gbt = GBTClassifier(
-            labelCol=f"is_{k}", featuresCol="features", predictionCol=f"prediction_{k}", maxIter=p["rounds"],
-            maxDepth=p["max_depth"], stepSize=p["eta"], maxBins=p["max_bins"],
-            minInstancesPerNode=p["min_child_weight"], subsamplingRate=p["subsample"], seed=seed,
-        ).setRawPredictionCol(f"margin_{k}").setProbabilityCol(f"probability_{k}")
-        return gbt.fit(rows.withColumn(f"is_{k}", (F.col("label") == k).cast("double")))
 
-    try:
-        with ThreadPool(parallel) as pool:
-            models = pool.map(inheritable_thread_target(train.sparkSession)(fit_class), range(NUM_CLASSES))
-    finally:
-        rows.unpersist()
-    return PipelineModel([assembler, *models])
+def fit_trees(train: DataFrame, trials: Sequence[dict], target: str = TARGET, seed: int = 42) -> list[trees.TreeModel]:
+    """Boosted trees with one softmax over the classes; see :func:`flowmill.plans.trees.fit`."""
+    return trees.fit(_ready(train, target), FEATURES, "label", NUM_CLASSES, _merged(TREE_PARAMS, trials), seed)
 
 
-def fit_net(train: DataFrame, target: str = TARGET, seed: int = 42, **params) -> PipelineModel:
-    """Feed-forward net 14 -> hidden layers -> 6 with softmax output.
+def fit_net(train: DataFrame, trials: Sequence[dict], target: str = TARGET, seed: int = 42) -> list[net.Net]:
+    """Feed-forward nets 14 -> hidden layers -> 6; see :func:`flowmill.plans.net.fit`."""
+    return net.fit(_ready(train, target), FEATURES, "label", NUM_CLASSES, _merged(NET_PARAMS, trials), seed)
 
-    ``lr`` is the step size of the solver ``gd``; ``l-bfgs`` finds its steps itself.
-    """
-    p = NET_PARAMS | params
-    assembler = _assembler()
-    rows = _spread(assembler.transform(model_input(train, target)).select("features", "label"))
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-    net = MultilayerPerceptronClassifier(
-        layers=[len(FEATURES), *p["hidden"], NUM_CLASSES], maxIter=p["max_epochs"],
-        blockSize=p["batch_size"], stepSize=p["lr"], solver=p["solver"], seed=seed,
-    )
-    try:
-        return PipelineModel([assembler, net.fit(rows)])
-    finally:
-        rows.unpersist()
 
+FRAMEWORKS: dict[str, Callable[..., list]] = {"trees": fit_trees, "net": fit_net}
 
-FRAMEWORKS: dict[str, Callable[..., PipelineModel]] = {"trees": fit_trees, "net": fit_net}
 
-
-def fit(framework: str, train: DataFrame, **params) -> PipelineModel:
+def fit_many(framework: str, train: DataFrame, trials: Sequence[dict], target: str = TARGET, seed: int = 42) -> list[Model]:
+    """One model per set of parameters, trained together: they share every pass over the table."""
     if framework not in FRAMEWORKS:
         raise ValueError(f"unknown framework {framework!r}; known: {sorted(FRAMEWORKS)}")
-    return FRAMEWORKS[framework](train, **params)
+    return FRAMEWORKS[framework](train, list(trials), target, seed)
+
+
+def fit(framework: str, train: DataFrame, target: str = TARGET, seed: int = 42, **params) -> Model:
+    return fit_many(framework, train, [params], target, seed)[0]

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowmill.operators.validate import require_model_input
 from flowmill.plans import score, train, tune
+from flowmill.plans.train import Model
 from flowmill.sources import models, parquet, runs
 from flowmill.sources.schemas import NUM_CLASSES, SPLITS, TARGET
 
@@ -35,7 +35,7 @@ def run(
     search: bool = False, fraction: float | None = 0.2, trials: int | None = None, key: str | None = None,
     max_train_rows: int = 0, runs_path: str | None = None, target: str = TARGET,
     seed: int = 42, **params,
-) -> tuple[PipelineModel, dict[str, float]]:
+) -> tuple[Model, dict[str, float]]:
     """Train on ``train``, evaluate on ``val`` and ``test``; returns the model and its metrics.
 
     With ``search`` the parameters come from a random search on a sample, drawn by hashes of the unique

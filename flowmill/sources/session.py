@@ -51,15 +51,29 @@ def clean(spark: SparkSession) -> int:
     """Delete what this application has put below its shared folder; for the end of a job, when its
     results are written elsewhere. Returns the number of folders."""
     paths = _made.pop(spark.sparkContext.applicationId, [])
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for path in paths:
-        folder = jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(conf).delete(folder, True)
+        _delete(spark, path)
     return len(paths)
 
 
-def pinned(df: DataFrame, name: str = "pinned") -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back, so its values no longer change."""
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete one folder that :func:`new_dir` named, once nothing reads it any more."""
+    _made[spark.sparkContext.applicationId].remove(path)
+    _delete(spark, path)
+
+
+def pinned_at(df: DataFrame, name: str = "pinned") -> tuple[DataFrame, str]:
+    """``df`` written as Parquet to the shared folder and read back, and where it is."""
     path = new_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def pinned(df: DataFrame, name: str = "pinned") -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read back, so its values no longer change."""
+    return pinned_at(df, name)[0]
