@@ -197,8 +197,11 @@ def _repeats(group: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return head, later
 
 
-def _marks(ids: pa.Array, digests: np.ndarray, row: np.ndarray, start: np.ndarray, count: np.ndarray, bucket: int) -> pa.RecordBatch:
-    """Repeated windows ``start`` to ``start + count - 1`` of documents, both in one number; neighbouring stretches become one."""
+def _marks(ids: pa.Array, digests: np.ndarray, row: np.ndarray, start: np.ndarray, count: np.ndarray, buckets: int = 1) -> pa.RecordBatch:
+    """Repeated windows ``start`` to ``start + count - 1`` of documents, both in one number; neighbouring stretches become one.
+
+    They are dealt to all buckets alike.
+    """
     order = np.lexsort((start, row))
     row, start, count = row[order], start[order], count[order]
     new = np.ones(len(row), bool)
@@ -206,7 +209,7 @@ def _marks(ids: pa.Array, digests: np.ndarray, row: np.ndarray, start: np.ndarra
     heads = np.flatnonzero(new)
     row, mark = row[heads], start[heads] << 32 | np.add.reduceat(count, heads)
     return pa.RecordBatch.from_arrays([
-        pa.array(np.full(len(row), bucket, np.int32)), pa.nulls(len(row), pa.binary()), ids.take(pa.array(row)), pa.array(digests[row]), pa.array(mark),
+        pa.array((np.arange(len(row)) % buckets).astype(np.int32)), pa.nulls(len(row), pa.binary()), ids.take(pa.array(row)), pa.array(digests[row]), pa.array(mark),
     ], ["bucket", "packed", "doc_id", "digest", "mark"])
 
 
@@ -258,7 +261,7 @@ def _sent(batch: pa.RecordBatch, hot: np.ndarray, buckets: int, window: int, mer
     head, later = _repeats(same, document[row] * (1 << 32) + start)
     bucket = (key % np.uint64(buckets)).astype(np.int32)
     if later.any():
-        yield _marks(ids, digests, row[later], start[later], count[later], int(bucket[0]))
+        yield _marks(ids, digests, row[later], start[later], count[later], buckets)
     head = np.flatnonzero(head)
     head = head[np.argsort(bucket[head], kind="stable")]
     for part in np.split(head, np.flatnonzero(np.diff(bucket[head])) + 1):
@@ -360,7 +363,7 @@ def _count_part(blobs: list[bytes], window: int, part: int, parts: int) -> Itera
     heads = np.flatnonzero(new)
     counts = np.diff(np.append(heads, len(again)))
     heads = again[heads]
-    yield _marks(pa.array(ids, mask=nulls.astype(bool)), digests, row[kmer[heads]], begins[heads], counts, 0)
+    yield _marks(pa.array(ids, mask=nulls.astype(bool)), digests, row[kmer[heads]], begins[heads], counts)
 
 
 def repeated_windows(sent: DataFrame, window: int = WINDOW, partitions: int | None = None, limit: int = PART_BYTES) -> DataFrame:

@@ -128,11 +128,13 @@ def _squares(rows: DataFrame, n: int, sums: list[int]) -> dict[tuple[int, int],
                     total[a, a] += _sum(u[:, a:a + 1] ** 2)[0]
                     total[a, a + 1:] += _sum((u[:, a:a + 1] + u[:, a + 1:]) ** 2)
         a, b = np.triu_indices(width)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(total[a, b].tolist(), WHOLE)], ["a", "b", "q"])
+        # squares of the largest numbers have more than 38 digits, so the two ends are added up apart
+        high, low = zip(*(divmod(q, FAR) for q in total[a, b].tolist()))
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(high, WHOLE), pa.array(low, WHOLE)], ["a", "b", "h", "l"])
 
-    added = rows.mapInArrow(work, "a int, b int, q decimal(38,0)").groupBy("a", "b").agg(F.sum("q").alias("q"))
-    return {(r["a"], r["b"]): int(r["q"]) for r in added.toLocalIterator()}
+    parts = rows.mapInArrow(work, "a int, b int, h decimal(38,0), l decimal(38,0)")
+    added = parts.groupBy("a", "b").agg(F.sum("h").alias("h"), F.sum("l").alias("l"))
+    return {(r["a"], r["b"]): int(r["h"]) * FAR + int(r["l"]) for r in added.toLocalIterator()}
 
 
 def covariance(n: int, sums: list[int], squares: dict[tuple[int, int], int]) -> np.ndarray:
