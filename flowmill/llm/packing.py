@@ -30,6 +30,20 @@ def piece_lengths(n: int, longest: int = LONGEST) -> list[int]:
     return [longest] * (n // longest) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
+def pieces_of(sizes: np.ndarray, longest: int = LONGEST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(document, start, length)`` of the pieces of documents of these sizes, in order."""
+    whole, rest = sizes // longest, sizes % longest
+    bits = 1 << np.arange(longest.bit_length() - 2, -1, -1)
+    doc, bit = np.nonzero(rest[:, None] & bits)
+    length = bits[bit]
+    start = (sizes - rest)[doc] + (rest[doc] & -(2 * length))  # what the longer digits take
+    first = np.arange(whole.sum()) - np.repeat(np.cumsum(whole) - whole, whole)
+    doc, start = np.concatenate((np.repeat(np.arange(len(sizes)), whole), doc)), np.concatenate((first * longest, start))
+    length = np.concatenate((np.full(len(first), longest), length))
+    order = np.lexsort((start, doc))
+    return doc[order], start[order], length[order]
+
+
 def pack(docs: DataFrame, tokenizer_path: str, longest: int = LONGEST, end_id: int = END_ID) -> DataFrame:
     """``(doc_id, start, length, ids, doc_tokens, bucket, sequence_id, offset)`` per piece; ``ids`` are
     little-endian unsigned 32-bit numbers and ``bucket`` is the binary logarithm of the length."""
@@ -39,21 +53,22 @@ def pack(docs: DataFrame, tokenizer_path: str, longest: int = LONGEST, end_id: i
                         ("doc_tokens", pa.int64())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns: list[list] = [[] for _ in schema]
         for batch in batches:
-            doc_ids = batch.column(0).to_pylist()
-            for i, ids in tokens.encoded(batch.column(1), tokenizer_path):
-                raw, start = np.append(ids, np.uint32(end_id)).astype("<u4").tobytes(), 0
-                for length in piece_lengths(len(raw) // 4, longest):
-                    row = (doc_ids[i], start, length, raw[4 * start:4 * (start + length)], len(raw) // 4)
-                    for column, value in zip(columns, row):
-                        column.append(value)
-                    start += length
-                if len(columns[0]) >= PIECES_PER_BATCH:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
-                    columns = [[] for _ in schema]
-        if columns[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+            for at, ids, offsets in tokens.encoded_chunks(batch.column(1), tokenizer_path):
+                # one buffer of all ids, an end token after each document's
+                raw = np.insert(ids, offsets[1:], end_id).astype("<u4", copy=False)
+                sizes = np.diff(offsets) + 1
+                doc, start, length = pieces_of(sizes, longest)
+                before = np.cumsum(sizes) - sizes
+                for a in range(0, len(doc), PIECES_PER_BATCH):
+                    z = min(len(doc), a + PIECES_PER_BATCH)
+                    first = int(before[doc[a]] + start[a])
+                    ends = np.concatenate(([0], np.cumsum(length[a:z]))) * 4
+                    cuts = pa.BinaryArray.from_buffers(pa.binary(), z - a, [
+                        None, pa.py_buffer(ends.astype("<i4")), pa.py_buffer(raw[first:first + int(ends[-1]) // 4])])
+                    yield pa.RecordBatch.from_arrays([
+                        batch.column(0).take(pa.array(doc[a:z] + at)), pa.array(start[a:z]), pa.array(length[a:z]), cuts, pa.array(sizes[doc[a:z]]),
+                    ], schema=schema)
 
     pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
         cut, "doc_id long, start long, length long, ids binary, doc_tokens long"

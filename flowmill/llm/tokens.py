@@ -11,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from flowmill.llm import words
+
 MARK = "\x01"  # separates words that are encoded together
 CHUNK_BYTES = 8 << 20
 KEPT_WORDS = 400_000  # words of which a worker remembers the ids, twice: the latest and those before
@@ -26,9 +28,11 @@ PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
      "behavior": "Removed", "invert": True},
     {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
 ]}
-#: Letters that composition leaves alone and that have lower-case forms of their own, then marks that
-#: begin neither an abbreviation nor a special token.
-LETTERS = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)")
+#: Letters that composition leaves alone and that have lower-case forms of their own.
+LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+"
+#: Such letters, then marks that begin neither an abbreviation nor a special token.
+PARTS = f"^(?P<letters>{LETTERS})(?P<marks>[.,;:!?]*)$"
+ONLY_LETTERS = re.compile(LETTERS)
 
 _loaded: dict = {}
 
@@ -52,23 +56,44 @@ class WordEncoder:
                 [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
             )
 
-    def ids_of(self, words: list[str]) -> list[bytes]:
-        """The ids of each word, as little-endian unsigned 32-bit numbers."""
+    def ids_of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, one after another, and how many each word has.
+
+        Words are taken apart into letters and marks, in columns, and each distinct part is looked up once.
+        """
+        if self.plain is None:
+            return self._gathered([words])
+        found = pc.extract_regex(words, PARTS)
+        fits = found.is_valid()
+        letters, marks = (pc.struct_field(found, name) for name in ("letters", "marks"))
+        return self._gathered([pc.if_else(fits, pc.utf8_lower(letters), words), pc.if_else(fits, marks, "")])
+
+    def _gathered(self, columns: list[pa.Array]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words that are split over columns."""
+        raw, codes, known = [], [], 0
+        for column in columns:
+            distinct = column.dictionary_encode()
+            raw += self._known(distinct.dictionary.to_pylist())
+            codes.append(distinct.indices.to_numpy() + known)
+            known = len(raw)
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        flat = np.frombuffer(b"".join(raw), "<u4")
+        order = np.column_stack(codes).ravel() if len(codes) > 1 else codes[0]
+        return _picked(flat, sizes, order), sum(sizes[c] for c in codes)
+
+    def _known(self, parts: list[str]) -> list[bytes]:
+        """The ids of each part, as little-endian unsigned 32-bit numbers."""
         if len(self.young) > KEPT_WORDS:
             self.old, self.young = self.young, {}
-        young = self.young
-        new = self._unknown(words)
+        new = self._unknown(parts)
         if self.plain is None:
             self._learn(self.full, new)
         else:
-            parts = {w: m for w in new if (m := LETTERS.fullmatch(w))}
-            cores = {m[1].lower() for m in parts.values()}
-            self._learn(self.plain, self._unknown(cores))
-            rest = {m[2] for m in parts.values() if m[2]}.union(w for w in new if w not in parts)
-            self._learn(self.full, self._unknown(rest))
-            for w, m in parts.items():
-                young[w] = young[m[1].lower()] + (young[m[2]] if m[2] else b"")
-        return [young[w] for w in words]
+            plain = [w for w in new if ONLY_LETTERS.fullmatch(w)]
+            self._learn(self.plain, plain)
+            rest = set(new).difference(plain)
+            self._learn(self.full, [w for w in new if w in rest])
+        return list(map(self.young.__getitem__, parts))
 
     def _unknown(self, words: Iterable[str]) -> list[str]:
         young, old, new = self.young, self.old, []
@@ -117,36 +142,39 @@ def _segments(text: str, chars: int = CHUNK_BYTES // 2) -> Iterator[str]:
     yield text[at:]
 
 
+def _picked(flat: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The stretches of ``flat`` that ``codes`` name, one after another; ``sizes`` are those of all stretches."""
+    if not len(codes):
+        return flat[:0]
+    firsts, counts = np.cumsum(sizes) - sizes, sizes[codes]
+    ends = np.cumsum(counts)
+    return flat[np.arange(ends[-1]) + np.repeat(firsts[codes] - ends + counts, counts)]
+
+
 def encode_words(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """``(ids, offsets)`` of texts without nulls, for a tokenizer that drops white space, so that the
     ids of a text are those of its words: every distinct word is encoded once."""
     lists = pc.ascii_split_whitespace(texts)
     coded = lists.flatten().dictionary_encode()
-    found = tokenizer(path).ids_of(coded.dictionary.to_pylist())
-    sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-    flat = np.frombuffer(b"".join(found), "<u4")
-    firsts = np.concatenate(([0], np.cumsum(sizes)))[:-1]
+    flat, sizes = tokenizer(path).ids_of(coded.dictionary)
     codes = coded.indices.to_numpy()
-    counts = sizes[codes]
-    ends = np.concatenate(([0], np.cumsum(counts)))
-    ids = flat[np.arange(ends[-1]) + np.repeat(firsts[codes] - ends[:-1], counts)] if len(codes) else np.zeros(0, "<u4")
+    ends = np.concatenate(([0], np.cumsum(sizes[codes])))
     words_of = lists.offsets.to_numpy()
-    return ids, ends[words_of - words_of[0]]
+    return _picked(flat, sizes, codes), ends[words_of - words_of[0]]
+
+
+def encoded_chunks(texts: pa.Array, path: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """``(position, ids, offsets)`` of neighbouring texts, null as empty; a long text is encoded in segments, alone."""
+    for at, part in words.chunks(texts, CHUNK_BYTES):
+        if len(part) == 1 and pc.binary_length(part[0]).as_py() > CHUNK_BYTES:
+            ids = np.concatenate([encode_words(pa.array([s]), path)[0] for s in _segments(part[0].as_py())])
+            yield at, ids, np.array([0, len(ids)])
+        else:
+            yield at, *encode_words(part, path)
 
 
 def encoded(texts: pa.Array, path: str) -> Iterator[tuple[int, np.ndarray]]:
-    """``(position, ids)`` of each text, null as empty; long texts are encoded in segments."""
-    texts = pc.fill_null(texts, "")
-    sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
-    at = 0
-    while at < len(texts):
-        if sizes[at] > CHUNK_BYTES:
-            parts = [encode_words(pa.array([s]), path)[0] for s in _segments(texts[at].as_py())]
-            yield at, np.concatenate(parts)
-            at += 1
-            continue
-        end = at + max(1, int(np.searchsorted(np.cumsum(sizes[at:]), CHUNK_BYTES, "right")))
-        ids, offsets = encode_words(texts.slice(at, end - at), path)
-        for i in range(at, end):
-            yield i, ids[offsets[i - at]:offsets[i - at + 1]]
-        at = end
+    """``(position, ids)`` of each text, null as empty."""
+    for at, ids, offsets in encoded_chunks(texts, path):
+        for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+            yield at + i, ids[a:b]
