@@ -36,7 +36,8 @@ CALIBRATION = 200
 RECALL = 0.97
 BIN_ROWS = 8192
 GROUP_QUERIES = 16_384
-BATCH = 64
+BLOCK_QUERIES, BLOCK_VECTORS = 128, 8192  # scored against one another at once
+PAIRS = 200_000
 SEED = 5
 
 
@@ -106,14 +107,49 @@ def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(raw), "<f8").reshape(len(raw), -1) if raw else np.zeros((0, 1))
 
 
-def scores(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Inner products, summed in the order of the components, so that equal vectors get equal scores."""
-    out = np.zeros((len(queries), len(vectors)))
+def exact_scores(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """The inner product of each row with the same row, summed in the order of the components, so that equal vectors
+    get equal scores."""
+    out = np.zeros(len(queries))
     for d in range(vectors.shape[1]):
-        out += np.multiply.outer(queries[:, d], vectors[:, d])
+        out += queries[:, d] * vectors[:, d]
     return out
 
 
+def _first(k: int, row: np.ndarray, score: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Positions of each row's ``k`` best, by falling score, then rising id."""
+    order = np.lexsort((ids, -score, row))
+    row = row[order]
+    starts = np.concatenate(([True], row[1:] != row[:-1]))
+    nth = np.arange(len(row)) - np.maximum.accumulate(np.where(starts, np.arange(len(row)), 0)) if len(row) else row
+    return order[nth < k]
+
+
+def nearest(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, open_: np.ndarray | None = None):
+    """``(query, vector, score)`` of the ``k`` best candidates of each query, its own id excluded, where ``open_`` allows.
+
+    A matrix product rules out most; what may be among the best, given its rounding, is scored exactly.
+    """
+    with np.errstate(over="ignore", invalid="ignore"):
+        s = q @ x.T
+    allowed = ids[None, :] != q_ids[:, None]
+    if open_ is not None:
+        allowed &= open_
+    if np.isfinite(s).all():
+        s[~allowed] = -np.inf
+        if s.shape[1] > k:
+            least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+            margin = 4 * x.shape[1] * np.finfo(float).eps * np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max()
+            allowed &= s >= (least - margin)[:, None]
+    row, column = np.nonzero(allowed)
+    # ties of very common vectors may be many, so they are scored in parts
+    with np.errstate(over="ignore", invalid="ignore"):
+        found = [exact_scores(q[row[i:i + PAIRS]], x[column[i:i + PAIRS]]) for i in range(0, len(row), PAIRS)]
+    score = np.concatenate(found) if found else np.zeros(0)
+    best = _first(k, row, score, ids[column])
+    return row[best], column[best], score[best]
+
+
 def usable(embeddings: DataFrame) -> DataFrame:
     """``(vec_id, vector)``: rows that take part, vectors as little-endian doubles."""
     sizes = embeddings.filter(F.col("embedding").isNotNull()).groupBy(F.size("embedding").alias("d")).agg(F.count(F.lit(1)).alias("n"))
@@ -139,29 +175,6 @@ def _top(df: DataFrame, k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
-class _Best:
-    """The best ``k`` candidates so far of each of ``n`` queries."""
-
-    def __init__(self, n: int, k: int):
-        self.score, self.id = np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
-        self.extra = np.full((n, k), -1)
-        self.k = k
-
-    def add(self, rows: np.ndarray, own: np.ndarray, s: np.ndarray, ids: np.ndarray, extra: int) -> None:
-        s = np.where(ids[None, :] == own[:, None], -np.inf, s)
-        s = np.concatenate((self.score[rows], s), 1)
-        wide = np.concatenate((self.id[rows], np.broadcast_to(ids, (len(rows), len(ids)))), 1)
-        more = np.concatenate((self.extra[rows], np.full((len(rows), len(ids)), extra)), 1)
-        order = np.lexsort((wide, -s), axis=1)[:, :self.k]
-        self.score[rows], self.id[rows] = np.take_along_axis(s, order, 1), np.take_along_axis(wide, order, 1)
-        self.extra[rows] = np.take_along_axis(more, order, 1)
-
-    def table(self, query_ids: np.ndarray, names: tuple[str, ...]) -> pa.Table:
-        q, c = np.nonzero(np.isfinite(self.score))
-        columns = [query_ids[q], self.id[q, c], self.score[q, c], self.extra[q, c].astype(np.int64)]
-        return pa.table([pa.array(x) for x in columns[:len(names)]], names=list(names))
-
-
 def _calibrate(indexed: DataFrame, queries: DataFrame, tree: Tree, k: int, recall: float, sample: int) -> int:
     """The number of leaves whose visit finds ``recall`` of the true neighbours of sampled queries."""
     # the result is at most ``sample`` rows
@@ -171,15 +184,16 @@ def _calibrate(indexed: DataFrame, queries: DataFrame, tree: Tree, k: int, recal
     ids, vectors = some["vec_id"].to_numpy(), np.array([np.frombuffer(v, "<f8") for v in some["vector"]])
 
     def brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = _Best(len(ids), k)
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)]
         for b in batches:
             x, other, leaf = _matrix(b.column("vector")), b.column("vec_id").to_numpy(), b.column("leaf").to_numpy()
-            for at in range(0, len(x), 2048):
-                part = slice(at, at + 2048)
-                for one in np.unique(leaf[part]):
-                    own = np.flatnonzero(leaf[part] == one) + at
-                    best.add(np.arange(len(ids)), ids, scores(vectors, x[own]), other[own], one)
-        yield from best.table(ids, ("query_id", "vec_id", "score", "leaf")).to_batches()
+            for at in range(0, len(x), BLOCK_VECTORS):
+                part = slice(at, at + BLOCK_VECTORS)
+                row, column, score = nearest(vectors, ids, x[part], other[part], k)
+                held = [np.concatenate(c) for c in zip(held, (row, other[part][column], score, leaf[part][column]))]
+                best = _first(k, held[0], held[2], held[1])
+                held = [c[best] for c in held]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[held[0]]), *map(pa.array, held[1:])], ["query_id", "vec_id", "score", "leaf"])
 
     found = indexed.select("vec_id", "vector", "leaf").mapInArrow(brute, "query_id long, vec_id long, score double, leaf long")
     true = _top(found, k).select("query_id", "leaf").toPandas()  # at most sample * k rows
@@ -245,22 +259,30 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 20, recall: float
                                               pa.array(leaves, pa.list_(pa.int64()))], ["query_id", "query", "bin", "leaves"])
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        x, ids, leaf = _matrix(left.column("vector")), left.column("vec_id").to_numpy(), left.column("leaf").to_numpy()
-        q_ids, q, wanted = right.column("query_id").to_numpy(), _matrix(right.column("query")), right.column("leaves").to_pylist()
-        best = _Best(len(q_ids), k)
-        for one in np.unique(leaf):
-            own, rows = leaf == one, np.array([i for i, w in enumerate(wanted) if one in w], np.int64)
-            part, part_ids = x[own], ids[own]
-            for a in range(0, len(rows), BATCH):
-                some = rows[a:a + BATCH]
-                best.add(some, q_ids[some], scores(q[some], part), part_ids, one)
-        return best.table(q_ids, ("query_id", "vec_id", "score"))
+        x, ids = _matrix(left.column("vector")), left.column("vec_id").to_numpy()
+        leaves, leaf = np.unique(left.column("leaf").to_numpy(), return_inverse=True)
+        q_ids, q = right.column("query_id").to_numpy(), _matrix(right.column("query"))
+        lists = right.column("leaves").combine_chunks()
+        # which of the bin's leaves each query visits
+        values = lists.values.to_numpy()
+        place = np.searchsorted(leaves, values)
+        here = (place < len(leaves)) & (leaves[np.minimum(place, len(leaves) - 1)] == values) if len(leaves) else place < 0
+        visited = np.zeros((len(q_ids), len(leaves)), bool)
+        visited[np.repeat(np.arange(len(q_ids)), np.diff(lists.offsets.to_numpy()))[here], place[here]] = True
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for a in range(0, len(q_ids) if len(x) else 0, BLOCK_QUERIES):
+            part = slice(a, a + BLOCK_QUERIES)
+            row, column, found = nearest(q[part], q_ids[part], x, ids, k, visited[part][:, leaf])
+            out.append((q_ids[part][row], ids[column], found))
+        return pa.table([pa.array(np.concatenate(c)) for c in zip(*out)], names=["query_id", "vec_id", "score"])
 
     longs = lambda values: F.array(*[F.lit(v).cast("long") for v in values])
     leaf = F.col("leaf").cast("int")
     placed = indexed.select("vec_id", "vector", "leaf", (F.get(longs(first), leaf) + F.pmod("row", F.get(longs(splits), leaf))).alias("bin"))
-    placed = placed.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     walked = asked.mapInArrow(walk, "query_id long, query binary, bin long, leaves array<long>")
-    walked = walked.withColumn("group", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int"))
+    walked = saved(walked.withColumn("group", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int")), "walks")
+    # a bin goes to the groups that visit it, and to no other
+    met = walked.groupBy(F.col("bin").alias("_bin"), F.col("group").alias("_group")).agg(F.count(F.lit(1)).alias("_n"))
+    placed = placed.join(met, F.col("bin") == F.col("_bin")).select("vec_id", "vector", "leaf", "bin", F.col("_group").alias("group"))
     found = placed.groupBy("bin", "group").cogroup(walked.groupBy("bin", "group")).applyInArrow(score, "query_id long, vec_id long, score double")
     return _top(found, k).select("query_id", "rank", "vec_id", "score")
