@@ -3,18 +3,22 @@ stream that ends at the last file, and the sink's table is the result."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from flowmill.catalog import models
-from flowmill.catalog.base import FINAL, FINAL_COLUMNS, fitted_base
+from flowmill.catalog.base import BASE, FINAL, FINAL_COLUMNS, ROLLING, fitted_base
 from flowmill.catalog.fixture import TRAFFIC, event_messages
-from flowmill.catalog.registry import query, rounded
+from flowmill.catalog.registry import query, r, rounded
 from flowmill.catalog.rows import FLOW_SQL
 from flowmill.functions import messages
+from flowmill.functions.flow import log_columns
+from flowmill.operators.sessions import PREVIOUS_COUNT, PREVIOUS_MEANS
 from flowmill.plans.features import apply_base
 from flowmill.sources import kafka
-from flowmill.sources.session import new_dir
-from flowmill.streaming import events, scoring
+from flowmill.sources.session import new_dir, pinned
+from flowmill.streaming import events, ledger, outbox, scoring
+from flowmill.streaming import sessions as stream_sessions
 
 FILES = 4
 
@@ -77,10 +81,18 @@ def stream_land(spark, sf_dir):
 
 @query("stream_dedup", f"WITH {TRAFFIC} SELECT CAST(event_id AS VARCHAR) AS event_id, {FLOW_SQL}, attack FROM traffic")
 def stream_dedup(spark, sf_dir):
+    flows = messages.usable(events.decoded(_stream(spark, _topic(spark, sf_dir, copies=True), files=1)))
+    out, ids = new_dir(spark, "distinct"), new_dir(spark, "ledger")
+    ledger.write_distinct(flows, out, ids, new_dir(spark, "progress"), finish=True, folders=2).awaitTermination()
+    return spark.read.parquet(out).drop(*MESSAGE_COLUMNS, "batch_id")
+
+
+@query("stream_dedup_state", f"WITH {TRAFFIC} SELECT CAST(event_id AS VARCHAR) AS event_id, {FLOW_SQL}, attack FROM traffic")
+def stream_dedup_state(spark, sf_dir):
+    """The same with the ids in the streaming state."""
     events.keep_state_on_disk(spark)
     flows = messages.usable(events.decoded(_stream(spark, _topic(spark, sf_dir, copies=True), files=1)))
-    distinct = events.deduplicated(flows)
-    return _finish(distinct.drop(*MESSAGE_COLUMNS), spark)
+    return _finish(events.deduplicated(flows).drop(*MESSAGE_COLUMNS), spark)
 
 
 @query("stream_quarantine", """SELECT CASE WHEN event_id % 10 > 3 THEN 'good' ELSE 'bad' END AS sink,
@@ -120,3 +132,50 @@ def stream_score(spark, sf_dir):
     rejected = spark.read.parquet(bad).select("key", F.col("problem").alias("outcome"), F.lit(0).cast("long").alias("n_predictions"),
                                               F.lit(None).cast("string").alias("model_key"))
     return scored.unionByName(rejected)
+
+
+@query("stream_session_features", f"""WITH {TRAFFIC}, {BASE}, {ROLLING}
+SELECT event_id, {r('prev_bytes_mean_3')}, {r('prev_packet_mean_3')}, prev_event_count_3, FALSE AS late FROM rolling""")
+def stream_session_features(spark, sf_dir):
+    """Events in order, a file after another: the windows of the batch job from a session's last three events."""
+    path = new_dir(spark, "topic")
+    sent = event_messages(spark, sf_dir).withColumn("nth", F.ntile(FILES).over(Window.orderBy("message_time", F.col("key").cast("long"))))
+    sent = pinned(sent, "ordered")
+    for i in range(1, FILES + 1):
+        sent.filter(F.col("nth") == i).drop("nth").coalesce(1).write.mode("append").parquet(path)
+    flows = messages.usable(events.decoded(_stream(spark, path, files=1))).withColumn("event_id", F.col("event_id").cast("long"))
+    found = stream_sessions.session_features(flows.withColumns(log_columns()))
+    return rounded(_finish(found.select("event_id", *PREVIOUS_MEANS, *PREVIOUS_COUNT, "late"), spark))
+
+
+@query("stream_outbox", """SELECT CAST(event_id AS VARCHAR) AS key, CAST(event_id % 6 AS INTEGER) AS "partition",
+  CAST(floor(event_id / 6) AS BIGINT) AS "offset", CAST(1 AS BIGINT) AS n_copies, CAST(1 AS BIGINT) AS n_predictions FROM events""")
+def stream_outbox(spark, sf_dir):
+    """Scored messages through the outbox to a topic kept as files; the publisher dies in the middle of the first batch."""
+    fitted, model = fitted_base(spark, sf_dir), models.model(spark, sf_dir)
+    flows = messages.usable(events.decoded(_stream(spark, _topic(spark, sf_dir))))
+    messages_ = scoring.replies(scoring.score_flows(flows, fitted, model), scoring.CARRIED).withColumnRenamed("reply", "value")
+    box, sent = new_dir(spark, "outbox"), new_dir(spark, "sent")
+    outbox.write_outbox(messages_, box, new_dir(spark, "progress"), finish=True).awaitTermination()
+    shape = "key string, value string, headers array<struct<key:string,value:binary>>"
+    spark.createDataFrame([], shape).write.parquet(sent)
+
+    def send(rows):
+        outbox.as_messages(rows).write.mode("append").parquet(sent)
+
+    def die(rows):
+        send(rows.filter("offset % 3 = 0"))
+        raise InterruptedError
+
+    def arrived(batch):
+        return outbox.keys_of(spark.read.schema(shape).parquet(sent)).filter(F.col("batch") == batch)
+
+    try:
+        outbox.publish(spark, box, die, arrived)
+    except InterruptedError:
+        outbox.publish(spark, box, send, arrived)
+    there = spark.read.schema(shape).parquet(sent)
+    keyed = there.select("key", "value", F.filter("headers", lambda h: h["key"] != "batch").alias("h"))
+    said = F.size(F.from_json("value", "predictions array<long>")["predictions"]).cast("long")
+    place = {"partition": F.col("h")[0]["value"].cast("string").cast("int"), "offset": F.col("h")[1]["value"].cast("string").cast("long")}
+    return keyed.withColumns(place).groupBy("key", "partition", "offset").agg(F.count(F.lit(1)).alias("n_copies"), F.max(said).alias("n_predictions"))

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from flowmill.operators import skew
 from flowmill.sources.schemas import SESSION_KEYS
@@ -70,13 +73,32 @@ def _backward_in_chunks(
     return done.filter(~F.col("_halo")).drop("_halo", "_chunk")
 
 
-def _with_statistics(df: DataFrame, keys: Keys, n_hot: int) -> DataFrame:
-    """Statistics of hot sessions: pre-aggregated, a row for each, and joined back."""
-    totals = df.groupBy(*[F.col(k).alias(f"_of_{k}") for k in keys]).agg(
-        *[fn(c).alias(out) for out, (fn, c) in STATISTICS.items()]
+def _in_slices(df: DataFrame, build: Backward, n: int, keys: Keys, order: Keys) -> DataFrame:
+    """Window columns that look back ``n`` rows, where ``_slice`` cuts the ``_hot`` sessions along their order.
+
+    Windows inside a slice are right from its ``n + 1``-th row on. The first and last ``n`` rows of all slices of a session
+    are windowed together once more: next to one another they have the same rows before them as in the session.
+    Both parts read one shuffle.
+    """
+    by = (*keys, "_slice")
+    inside = Window.partitionBy(*by)
+    places = {"_nth": F.row_number().over(inside.orderBy(*order)), "_of": F.count(F.lit(1)).over(inside)}
+    done = df.withColumns(build(by, order) | places)
+    first, last = F.col("_nth") <= n, F.col("_nth") > F.col("_of") - n
+    mended = done.filter(F.col("_hot") & (first | last)).withColumns(build(keys, order)).filter(first)
+    return done.filter(~(F.col("_hot") & first)).unionByName(mended).drop("_nth", "_of")
+
+
+def _with_statistics(df: DataFrame, totals_of: DataFrame, keys: Keys, n_hot: int) -> DataFrame:
+    """Statistics of hot sessions: pre-aggregated, a row for each, and joined back; of others by a window."""
+    totals = totals_of.groupBy(*[F.col(k).alias(f"_of_{k}") for k in keys]).agg(
+        *[fn(c).alias(f"_of_{out}") for out, (fn, c) in STATISTICS.items()]
     )
-    on = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
-    return df.join(skew.few(totals, n_hot), on, "left").drop(*[f"_of_{k}" for k in keys])
+    on = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys], F.col("_hot"))
+    windows = _statistic_columns((*keys, "_slice"))
+    joined = df.withColumns(windows).join(skew.few(totals, n_hot), on, "left")
+    chosen = {out: F.when(F.col("_hot"), F.col(f"_of_{out}")).otherwise(F.col(out)) for out in STATISTICS}
+    return joined.withColumns(chosen).drop(*[f"_of_{c}" for c in (*keys, *STATISTICS)])
 
 
 def _apply(
@@ -86,16 +108,29 @@ def _apply(
     columns = build(keys, order) if build else {}
     if statistics:
         columns = columns | _statistic_columns(keys)
-    hot = skew.hot_keys(df, keys, hot_rows)
-    if hot is None:
+    along = order[0] if build and isinstance(df.schema[order[0]].dataType, NumericType) else None
+    found = skew.summary(df, keys, along, hot_rows)
+    if not found.hot:
         return df.withColumns(columns)
-    long, short = skew.split_hot(df, hot, keys)
+    rows = df.withColumn("_hot", found.is_hot(keys))
+    if build and (along is None or found.tied):
+        # no column to cut along, or one value of it fills a slice: cut by the whole order
+        long, short = rows.filter("_hot"), rows.filter("NOT _hot")
+        out = short.withColumns(build(keys, order)).unionByName(
+            _backward_in_chunks(long, build, measured, n, keys, order, found.rows, hot_rows))
+        out = out.withColumn("_slice", F.when(F.col("_hot"), _spread(order, found)).otherwise(0))
+    elif build:
+        cut = rows.withColumn("_slice", F.when(F.col("_hot"), found.slice(along)).otherwise(0))
+        out = _in_slices(cut, build, n, keys, order)
+    else:
+        out = rows.withColumn("_slice", F.when(F.col("_hot"), _spread(order, found)).otherwise(0))
     if statistics:
-        long = _with_statistics(long, keys, hot.count())
-    if build:
-        rows = hot.agg(F.sum("n_rows")).first()[0]
-        long = _backward_in_chunks(long, build, measured, n, keys, order, rows, hot_rows)
-    return short.withColumns(columns).unionByName(long)
+        out = _with_statistics(out, rows.filter("_hot"), keys, len(found.hot))
+    return out.drop("_hot", "_slice")
+
+
+def _spread(order: Keys, found: skew.Summary) -> Column:
+    return F.pmod(F.xxhash64(*order), F.lit(max(2, min(found.rows, skew.SLICES)))).cast("int")
 
 
 def session_windows(
@@ -106,9 +141,10 @@ def session_windows(
 
     Previous means and counts cover up to ``n`` earlier events of the session, the current
     one excluded; ``fill`` replaces their nulls. ``order`` must be unique within a session.
-    All windows share the session partitioning, so rows are shuffled once. Sessions with more
-    than ``hot_rows`` rows are cut into chunks, and their statistics are pre-aggregated. Their
-    rows are written to the shared folder on the way, so select the needed columns first.
+    All windows share the session partitioning, so rows are shuffled once. One scan of the keys and of the first
+    column of ``order`` comes before: sessions that it shows to have more than ``hot_rows`` rows are cut into slices of
+    their order, and their statistics are pre-aggregated from their rows. ``order`` may begin with a column that is no
+    number, or has one value in as many rows; such sessions' rows are written to the shared folder on the way.
     """
     measured = tuple(sorted({*PREVIOUS_MEANS.values(), *PREVIOUS_COUNT.values()}))
     build = _previous_events(n) if previous else None

@@ -221,6 +221,41 @@ def test_chunks_shorter_than_the_look_back(spark):
         assert b["prev_bytes_mean_3"] == (None if a["prev_bytes_mean_3"] is None else pytest.approx(a["prev_bytes_mean_3"]))
 
 
+def test_long_sessions_in_slices_of_time(spark, tmp_path):
+    """Without values that fill a slice, both ends of the slices come from the one shuffle of the rows."""
+    times = F.pmod(F.xxhash64("event_id", F.lit(3)), F.lit(10**9))
+    path = str(tmp_path / "flows")
+    skewed(spark).withColumn("timestamp", F.when(F.col("event_id") % 501 > 0, times)).repartition(3).write.parquet(path)
+    df = spark.read.parquet(path)
+    columns = ["event_id", *sessions.PREVIOUS_MEANS, *sessions.PREVIOUS_COUNT, *sessions.STATISTICS]
+    plain = sessions.session_windows(df).select(*columns).orderBy("event_id").collect()
+    for hot_rows in (1000, 150, 2):
+        cut = sessions.session_windows(df, hot_rows=hot_rows).select(*columns).orderBy("event_id").collect()
+        for a, b in zip(plain, cut, strict=True):
+            assert all(x == y if x is None else y == pytest.approx(x, rel=1e-12) for x, y in zip(a, b)), (a, b)
+    rolling = sessions.session_rolling(df, hot_rows=150)
+    rolling.collect()
+    plan = rolling._jdf.queryExecution().executedPlan().toString()
+    final = plan[plan.index("Final Plan"):plan.index("Initial Plan")]
+    assert final.count("Scan parquet") == 1 and "ReusedExchange" in final
+    lag = sessions.session_lag(df, "packet_count", "p", hot_rows=100).orderBy("event_id")
+    assert rows_of(lag, "event_id", "p") == rows_of(sessions.session_lag(df, "packet_count", "p").orderBy("event_id"), "event_id", "p")
+
+
+def test_summary_of_a_table(spark):
+    from flowmill.operators import skew
+
+    df = spark.range(60_000).repartition(7).select(F.when(F.col("id") % 3 == 0, F.col("id") % 2).otherwise(F.col("id")).alias("k"), F.col("id").alias("t"))
+    found = skew.summary(df, ("k",), "t", 2000)
+    assert found.rows == 60_000 and not found.tied and len(found.cuts) == 29
+    assert sorted(rows_of(df.filter(found.is_hot(("k",))).groupBy("k").count(), "k", "count")) == [(0, 10_000), (1, 10_001)]
+    sizes = df.groupBy(found.slice("t").alias("s")).agg(F.count("*").alias("n"), F.min("t").alias("a"), F.max("t").alias("z")).orderBy("s").collect()
+    assert [r["s"] for r in sizes] == list(range(30)) and max(r["n"] for r in sizes) < 2400
+    assert all(a["z"] < b["a"] for a, b in zip(sizes, sizes[1:]))
+    same = skew.summary(df.withColumn("t", F.lit(5)), ("k",), "t", 2000)
+    assert same.tied and skew.summary(df, ("k",), None, 20_000).hot == () == skew.summary(df.limit(0), ("k",), "t").hot
+
+
 def test_lag_over_chunks(spark):
     df = skewed(spark)
     plain = sessions.session_lag(df, "packet_count", "p").orderBy("event_id")
