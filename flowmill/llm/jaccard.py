@@ -17,6 +17,7 @@ an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,10 @@ from flowmill.llm import shingles
 from flowmill.llm.common import saved
 from flowmill.llm.components import components
 
-FLUSH = 1_500_000  # signatures that a task sorts at once
-PART = 2_000_000  # signatures per partition of the exchange
+FLUSH = 400_000  # signatures that a task sorts at once
+PART = 400_000  # signatures that meet at once, as a rule
+PARTS_TOGETHER = 16  # of them in a partition, one after another
+ROWS = 1000  # documents that a task has in hand at once
 LEADER_ROWS = 2_000  # documents compared with one copy of a leader's text
 TILE = 1024  # documents of one signature compared with as many others at once
 BROADCAST_ROWS = 1_000_000  # of some 60 bytes each
@@ -38,18 +41,29 @@ def _texts(column: pa.Array) -> list[bytes]:
     return [t.encode() if t else b"" for t in column.to_pylist()]
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for at in range(0, whole.num_rows, ROWS):
+            yield whole.slice(at, ROWS)
+
+
 def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))
 
 
+def _text_hash() -> Column:
+    """Tells rows with one id, or with none, apart."""
+    return F.xxhash64(F.col("text").cast("string")).alias("text_hash")
+
+
 def profiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """A row per document: ``(doc_id, n, k1, k2, sketch, fine, signs)``. Of equal sets in one task only the
+    """A row per document: ``(doc_id, text_hash, n, k1, k2, sketch, fine, signs)``. Of equal sets in one task only the
     first signs."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
-        for b in batches:
+        for b in _slices(batches):
             rows, signs, sketches = [], [], []
             for s in shingles.shingle_sets(_texts(b.column(1)), k):
                 key = shingles.set_key(s)
@@ -59,14 +73,14 @@ def profiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 seen.add(key)
             n, k1, k2, fine = zip(*rows) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([
-                b.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()),
+                b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()),
                 _lists(np.concatenate(sketches or [np.zeros(0, np.int64)]), np.full(len(n), shingles.SKETCH_BITS // 64)),
                 pa.array(fine, pa.binary()),
                 _lists(np.concatenate(signs or [np.zeros(0, np.int64)]), np.array([len(x) for x in signs], np.int64)),
-            ], ["doc_id", "n", "k1", "k2", "sketch", "fine", "signs"])
+            ], ["doc_id", "text_hash", "n", "k1", "k2", "sketch", "fine", "signs"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(work, "doc_id long, n long, k1 long, k2 long, sketch array<long>, fine binary, signs array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _text_hash())
+    return rows.mapInArrow(work, "doc_id long, text_hash long, n long, k1 long, k2 long, sketch array<long>, fine binary, signs array<long>")
 
 
 def _star(signs: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -83,8 +97,10 @@ def stars(rows: DataFrame) -> DataFrame:
     """``(leader, member, signs)`` from rows ``(id, signs)``: for every signature, a path of such pairs joins
     all ids that have it."""
     spark = rows.sparkSession
-    total = rows.agg(F.sum(F.size("signs")).alias("n")).first()["n"] or 0  # as many partitions as that needs
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART))
+    total = rows.agg(F.sum(F.size("signs")).alias("n")).first()["n"] or 0  # as many parts as that needs
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(least, -(-total // PART))
+    partitions = max(least, -(-parts // PARTS_TOGETHER))
     names = ["part", "signs", "ids", "p_signs", "p_leaders", "p_members"]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,10 +132,17 @@ def stars(rows: DataFrame) -> DataFrame:
             yield flush(signs, ids)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts_of: list[list[np.ndarray]] = [[] for _ in names[1:]]
+        part, held = None, [[] for _ in names[1:]]
         for b in batches:
-            for into, column in zip(parts_of, b.columns[1:]):
-                into += [np.frombuffer(x, np.int64) for x in column.to_pylist()]
+            for i, p in enumerate(b.column(0).to_pylist()):
+                if p != part:
+                    yield from together(held)
+                    part, held = p, [[] for _ in names[1:]]
+                for into, column in zip(held, b.columns[1:]):
+                    into.append(np.frombuffer(column[i].as_py(), np.int64))
+        yield from together(held)
+
+    def together(parts_of: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         if not parts_of[0]:
             return
         signs, ids, *local = [np.concatenate(p) for p in parts_of]
@@ -142,7 +165,7 @@ def stars(rows: DataFrame) -> DataFrame:
     sent = rows.filter(F.size("signs") > 0).select("id", "signs").mapInArrow(
         send, "part int, " + ", ".join(f"{n} binary" for n in names[1:])
     )
-    return sent.repartition(parts, "part").mapInArrow(meet, "leader long, member long, signs array<long>")
+    return sent.repartition(partitions, "part").sortWithinPartitions("part").mapInArrow(meet, "leader long, member long, signs array<long>")
 
 
 def _possible(a: str, b: str, percent: int) -> Column:
@@ -155,24 +178,26 @@ def _possible(a: str, b: str, percent: int) -> Column:
 
 
 def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The linked ones of the pairs ``(a, b, da, db, ka, kb)``: nodes, a document of each and the second half of
-    its key. Whole texts are compared. Each ``a`` is sent once for every ``LEADER_ROWS`` of its partners, so a
+    """The linked ones of the pairs ``(a, b, da, db, ka, kb)``: nodes, a document (id, text hash) of each and the second
+    half of its key. The shingles of whole texts are compared. Each ``a`` is sent once for every ``LEADER_ROWS`` of its partners, so a
     much compared document keeps many tasks busy."""
     sizes = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / LEADER_ROWS).cast("int").alias("salts"))
     salted = pairs.join(sizes, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
     others = salted.select("a", "salt", F.lit(1).alias("other"), F.col("b").alias("node"), F.col("kb").alias("k2"), F.col("db").alias("_doc"))
     leaders = salted.select("a", "salt", F.lit(0).alias("other"), F.col("a").alias("node"), F.col("ka").alias("k2"), F.col("da").alias("_doc"))
     wanted = saved(others.unionByName(leaders.distinct()), "compared")
-    if wanted.count() <= BROADCAST_ROWS:
+    few = wanted.count() <= BROADCAST_ROWS
+    wanted = wanted.select("a", "salt", "other", "node", "k2", F.col("_doc.doc_id").alias("_id"), F.col("_doc.text_hash").alias("_hash"))
+    if few:
         wanted = F.broadcast(wanted)
-    rows = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc")))
+    rows = docs.select("doc_id", "text", _text_hash()).join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
     ordered = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "other", "node").select(
         "a", "salt", "other", "node", "k2", F.coalesce("text", F.lit("")).alias("text")
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, lead, done = None, None, None
-        for b in batches:
+        for b in _slices(batches):
             found: list[tuple[int, int]] = []
             sets = shingles.shingle_sets(_texts(b.column(5)), k)
             for a, salt, other, node, k2, s in zip(*(c.to_pylist() for c in b.columns[:5]), sets):
@@ -257,20 +282,34 @@ def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | Non
     yield None
 
 
+@contextmanager
+def _batches_of(spark, rows: int) -> Iterator[None]:
+    """Arrow batches of at most so many rows, for tables whose rows are long arrays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``(doc_id, n_shingles, k1, component, component_id)``, a row per document; ``k1`` names its set,
     ``component`` is the smallest ``k1`` reachable and ``component_id`` the smallest ``doc_id``; a document
     without shingles has no component but its own id."""
-    rows = saved(profiles(docs, k, percent), "profiles")
+    with _batches_of(docs.sparkSession, ROWS):
+        rows = saved(profiles(docs, k, percent), "profiles")
+        stars_of = saved(stars(rows.select(F.col("k1").alias("id"), "signs")), "stars")
     nodes = saved(
         rows.filter("n > 0").groupBy(F.col("k1").alias("id")).agg(
-            F.min("k2").alias("k2"), F.max("k2").alias("other"), F.min("doc_id").alias("doc"), F.min("n").alias("n"),
+            F.min("k2").alias("k2"), F.max("k2").alias("other"), F.min("n").alias("n"),
+            F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("doc"),
             F.first("sketch").alias("sketch"), F.first("fine").alias("fine"),
         ), "nodes",
     )
     if not nodes.filter("k2 <> other").isEmpty():
         raise ValueError("two sets share half of their key; give shingles.set_key another seed")
-    stars_of = saved(stars(rows.select(F.col("k1").alias("id"), "signs")), "stars")
 
     def candidates(pairs: DataFrame) -> DataFrame:
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()

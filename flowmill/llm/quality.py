@@ -70,11 +70,16 @@ def text_features(texts: list[str]) -> np.ndarray:
 
 
 def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = STEPS, rate: float = RATE):
-    """``(weights, bias)`` that minimise the non-negative risk with the logistic loss."""
-    both = np.concatenate((positive, unlabelled))
-    mean, scale = both.mean(0), both.std(0)
+    """``(weights, bias)`` that minimise the non-negative risk with the logistic loss. The arrays are overwritten."""
+    p, u = positive, unlabelled
+    n = len(p) + len(u)
+    mean = (p.sum(0) + u.sum(0)) / n
+    for x in (p, u):  # in place: these arrays are most of the driver's memory
+        x -= mean
+    scale = np.sqrt((np.einsum("ij,ij->j", p, p) + np.einsum("ij,ij->j", u, u)) / n)
     scale = np.where(scale > 1e-6, scale, np.inf)  # constant features get no weight
-    p, u = ((x - mean) / scale for x in (positive, unlabelled))
+    for x in (p, u):
+        x /= scale
     w, b = np.zeros(p.shape[1]), 0.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -123,8 +128,10 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS):
         F.min(F.coalesce("text", F.lit(""))).alias("text"), F.max("positive").alias("positive"), F.min("lowest").alias("lowest")
     )
     rows = picked.mapInArrow(_sample_features, "features binary, positive int, lowest int").toPandas()
-    x = np.array([np.frombuffer(f, "<f4") for f in rows["features"]], np.float64).reshape(len(rows), WIDTH)
-    positive, unlabelled = x[rows["positive"].to_numpy() == 1], x[rows["lowest"].to_numpy() == 0]
+    positive, unlabelled = (
+        np.array([np.frombuffer(f, "<f4") for f in rows["features"][chosen]], np.float64).reshape(int(chosen.sum()), WIDTH)
+        for chosen in (rows["positive"] == 1, rows["lowest"] == 0))
+    del rows
     if not len(positive) or not len(unlabelled):
         return np.zeros(WIDTH), logit
     return fit_pu(positive, unlabelled, prior)
@@ -144,11 +151,11 @@ def with_score(docs: DataFrame, weights: np.ndarray, bias: float, into: str = "s
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = pc.fill_null(b.column(b.num_columns - 1), "").to_pylist()
+            texts = pc.fill_null(b.column(b.num_columns - 1), "")
             score = np.concatenate([
-                1 / (1 + np.exp(-np.clip(text_features(texts[i:i + 500]) @ weights + bias, -30, 30)))
+                1 / (1 + np.exp(-np.clip(text_features(texts.slice(i, 500).to_pylist()) @ weights + bias, -30, 30)))
                 for i in range(0, len(texts), 500)
-            ]) if texts else np.zeros(0)
+            ]) if len(texts) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(score, pa.float64())], [*b.schema.names[:-1], into])
 
     kept = docs.select(*[F.col(f"`{c}`") for c in keep])

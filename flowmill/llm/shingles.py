@@ -7,7 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 SKETCH_BITS = 1024
 BAND = 1.35  # largest over smallest set size in a band
 SMALL = 64  # up to that size a set signs contents with one element deleted
@@ -26,38 +26,26 @@ def _seed(n: int) -> np.ndarray:
     return mix(np.array([n * 0x9E3779B97F4A7C15 & (1 << 64) - 1], _U))
 
 
-_BYTES = mix(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15))
-_BYTES[65:91] = _BYTES[97:123]  # A-Z count as a-z
+_LOWER = np.arange(256, dtype=_U)
+_LOWER[65:91] = _LOWER[97:123]  # A-Z count as a-z
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-_BASE = _U(0xD6E8FEB86659FD93)
-_powers = np.ones(1, _U)
-
-
-def _power(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) <= n:
-        _powers = np.concatenate((np.ones(1, _U), np.multiply.accumulate(np.full(max(n, CHUNK) + 1, _BASE, _U))))
-    return _powers
 
 
 def _words(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """``(hash, start)`` of every word: a polynomial over its bytes, from one running sum."""
+    """``(hash, start)`` of every word: the sum of a number for each letter at its place in the word.
+
+    Those numbers follow no rule, so words that are built alike do not collide, however long.
+    """
     data = np.frombuffer(raw, np.uint8)
     edges = np.flatnonzero(np.diff(np.concatenate(([True], _SPACE[data], [True])).view(np.int8)))
     starts, ends = edges[0::2], edges[1::2]
-    power = _power(len(data))
-    sums = np.concatenate((np.zeros(1, _U), np.cumsum(_BYTES[data] * power[:len(data)])))
-    return mix((sums[ends] - sums[starts]) * power[max(CHUNK, len(data)) - starts] if len(data) <= CHUNK
-               else _one_by_one(data, starts, ends)), starts
-
-
-def _one_by_one(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """For a stretch longer than a chunk, which is a word longer than a chunk and little else."""
-    power, out = _power(len(data)), np.zeros(len(starts), _U)
-    for i, (a, b) in enumerate(zip(starts.tolist(), ends.tolist())):
-        out[i] = (_BYTES[data[a:b]] * power[:b - a]).sum(dtype=_U)
-    return out * power[CHUNK]
+    place = np.arange(len(data), dtype=_U)
+    first = np.zeros(len(data), _U)
+    first[starts] = starts
+    place -= np.maximum.accumulate(first)
+    sums = np.concatenate((np.zeros(1, _U), np.cumsum(mix((place << _U(8) | _LOWER[data]) + _U(0x9E3779B97F4A7C15)))))
+    return mix(sums[ends] - sums[starts]), starts
 
 
 def _stretches(raw: bytes) -> Iterator[bytes]:

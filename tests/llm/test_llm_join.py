@@ -1,6 +1,7 @@
 """The similarity join, the search, the fingerprints, the mixture, the classifier and the licences."""
 
 import hashlib
+import random
 import zlib
 from collections import Counter
 
@@ -67,8 +68,8 @@ def test_long_texts_give_the_same_shingles(monkeypatch):
     text = b" ".join(b"w%d" % (i * i % 997) for i in range(3000)) + b" " + b"x" * 900
     whole = list(shingles.shingle_sets([text, b"", b"A a"], 3))
     monkeypatch.setattr(shingles, "CHUNK", 256)
-    monkeypatch.setattr(shingles, "_powers", np.ones(1, np.uint64))
     parts = list(shingles.shingle_sets([text, b"", b"A a"], 3))
+    assert all((a == b).all() for a, b in zip(whole, parts, strict=True))
     assert [len(s) for s in whole] == [len(s) for s in parts] == [len(brute_shingles(t.decode(), 3)) for t in (text, b"", b"A a")]
 
 
@@ -413,3 +414,25 @@ def test_all_licences_of_a_text(spark):
     got = licenses.scan(spark.createDataFrame(docs, "doc_id long, text string"), known, notices).collect()
     assert {r["doc_id"]: r["notices"] for r in got} == {1: ["GPL-3.0", "MIT"], 2: ["MIT"], 3: [], 4: [], 5: ["CC-BY-NC-4.0", "GPL-3.0"], 6: []}
     assert {r["doc_id"]: (r["n_notices"], r["notice"]) for r in got}[1] == (3, "GPL-3.0")
+
+
+def test_words_built_alike_do_not_collide(spark):
+    """Thue-Morse words: sums of powers of any odd base agree on them modulo 2^64."""
+    bits = [bin(i).count("1") % 2 for i in range(4096)]
+    one, other = ("".join(letters[b] for b in bits) for letters in ("ab", "ba"))
+    df = spark.createDataFrame([(1, one), (2, other), (3, one), (4, f"{one} x y"), (5, f"{other} x y")], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.join(df, k=3, percent=90).collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5}
+
+
+def test_rows_without_ids_are_compared_with_their_own_texts_only(spark):
+    rng = random.Random(4)
+    base = [" ".join(rng.choice(WORDS_OF_ROWS) for _ in range(60)) for _ in range(40)]
+    rows = [(None, t) for t in base] + [(None, f"{t} more") for t in base] + [(7, t + " more still") for t in base[:10]]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = jaccard.join(df, k=3, percent=90).select("doc_id", "component", "component_id").collect()
+    assert len(found) == 90 and len({r["component"] for r in found}) == 40
+    assert sum(r["component_id"] == 7 for r in found) == 30
+
+
+WORDS_OF_ROWS = [f"w{i}" for i in range(500)]
