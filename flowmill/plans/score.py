@@ -19,7 +19,7 @@ from flowmill.operators.sampling import assign_variant
 from flowmill.plans.features import Fitted, apply_base
 from flowmill.plans.predict import weights
 from flowmill.plans.train import Model
-from flowmill.sources.schemas import FEATURES, NUM_CLASSES, TARGET
+from flowmill.sources.schemas import FEATURES, TARGET
 from flowmill.sources.session import pinned
 
 

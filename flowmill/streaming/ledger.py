@@ -1,8 +1,8 @@
 """Exact de-duplication against a ledger of all ids, without streaming state.
 
 The ledger is a table of the ids that have been let through: a folder per micro-batch, cut into hash buckets, with a
-Bloom filter in every file. A micro-batch reads only the buckets that its ids fall into, and where it has few
-ids only the files whose filters may have one. Memory does not grow with the stream; the ledger on storage does, by
+Bloom filter in every file. A micro-batch of few ids reads only the buckets they fall into, and of these only the
+files whose filters may have one; a large one, which falls into every bucket, is joined with the ledger. Memory does not grow with the stream; the ledger on storage does, by
 one id per event. From time to time older folders are put together into one.
 
 A micro-batch that runs again after a failure reads the folders of earlier batches only and replaces what its first
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-BUCKETS = 64
+BUCKETS = 16
 FEW_IDS = 1000  # of a batch, that are looked up one by one
 FOLDERS = 20  # of single batches, before they are put together
 SHAPE = "id string, bucket int"
@@ -50,15 +50,15 @@ def _ids(spark: SparkSession, folders: list[str]) -> DataFrame:
 
 
 def _known(first: DataFrame, folders: list[str], id_column: str, buckets: int) -> DataFrame:
-    """Ids of the ledger that the rows may have."""
+    """Ids of the ledger that the rows may have: all of it for a batch of many ids, which fall into every bucket."""
     spark = first.sparkSession
-    hit = [r["b"] for r in first.select(_bucket(id_column, buckets).alias("b")).distinct().collect()]  # one row per bucket at most
-    known = _ids(spark, folders).filter(F.col("bucket").isin(hit)).select("id")
-    few = [r[0] for r in first.select(F.col(id_column).cast("string")).limit(FEW_IDS + 1).collect()]
-    if len(few) > FEW_IDS:
-        return known
-    spark.conf.set("spark.sql.parquet.pushdown.inFilterThreshold", str(FEW_IDS))
-    return known.filter(F.col("id").isin(few))
+    known = _ids(spark, folders)
+    ids = F.col(id_column).cast("string")
+    few = first.select(ids.alias("id"), _bucket(id_column, buckets).alias("bucket")).limit(FEW_IDS + 1).collect()
+    if len(few) <= FEW_IDS:
+        spark.conf.set("spark.sql.parquet.pushdown.inFilterThreshold", str(FEW_IDS))
+        known = known.filter(F.col("bucket").isin(sorted({r["bucket"] for r in few}))).filter(F.col("id").isin([r["id"] for r in few]))
+    return known.select("id")
 
 
 def let_through(batch: DataFrame, batch_id: int, out: str, ledger: str, id_column: str = "event_id",
@@ -83,12 +83,13 @@ def let_through(batch: DataFrame, batch_id: int, out: str, ledger: str, id_colum
         if seen:
             known = _known(first, seen, id_column, buckets)
             new = first.join(known, first[id_column].cast("string") == known["id"], "left_anti")
+        new = new.select(*names).persist()
         nameless = batch.filter(F.col(id_column).isNull())
-        new.select(*names).unionByName(nameless).write.mode("overwrite").parquet(place)
+        new.unionByName(nameless).write.mode("overwrite").parquet(place)
+        _write(new, f"{ledger}/batch-{batch_id}", id_column, buckets)
+        new.unpersist()
     finally:
         first.unpersist()
-    ids = spark.read.schema(batch.schema).parquet(place).select(id_column).filter(F.col(id_column).isNotNull())
-    _write(ids, f"{ledger}/batch-{batch_id}", id_column, buckets)
 
 
 def write_distinct(stream: DataFrame, out: str, ledger: str, checkpoint: str, finish: bool = False, **options) -> StreamingQuery:
