@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowmill.llm import shingles
-from flowmill.llm.common import saved
+from flowmill.llm.common import saved, tidy
 from flowmill.llm.components import components
 
 FLUSH = 400_000  # signatures that a task sorts at once
@@ -80,7 +80,7 @@ def profiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
             ], ["doc_id", "text_hash", "n", "k1", "k2", "sketch", "fine", "signs"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _text_hash())
-    return rows.mapInArrow(work, "doc_id long, text_hash long, n long, k1 long, k2 long, sketch array<long>, fine binary, signs array<long>")
+    return rows.mapInArrow(tidy(work), "doc_id long, text_hash long, n long, k1 long, k2 long, sketch array<long>, fine binary, signs array<long>")
 
 
 def _star(signs: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -163,9 +163,9 @@ def stars(rows: DataFrame) -> DataFrame:
                                              ["leader", "member", "signs"])
 
     sent = rows.filter(F.size("signs") > 0).select("id", "signs").mapInArrow(
-        send, "part int, " + ", ".join(f"{n} binary" for n in names[1:])
+        tidy(send), "part int, " + ", ".join(f"{n} binary" for n in names[1:])
     )
-    return sent.repartition(partitions, "part").sortWithinPartitions("part").mapInArrow(meet, "leader long, member long, signs array<long>")
+    return sent.repartition(partitions, "part").sortWithinPartitions("part").mapInArrow(tidy(meet), "leader long, member long, signs array<long>")
 
 
 def _possible(a: str, b: str, percent: int) -> Column:
@@ -217,7 +217,7 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
                 x = np.array(found, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["a", "b"])
 
-    return ordered.mapInArrow(compare, "a long, b long")
+    return ordered.mapInArrow(tidy(compare), "a long, b long")
 
 
 def _tile_pairs(tile: list, percent: int, forest: bool) -> list[tuple[int, int]]:
@@ -274,7 +274,7 @@ def _tiles(members: DataFrame, nodes: DataFrame, percent: int, forest: bool) ->
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["x", "y"])
 
     ordered = meets.repartition("sign", "t1", "t2").sortWithinPartitions("sign", "t1", "t2", "id")
-    return ordered.mapInArrow(compare, "x long, y long")
+    return ordered.mapInArrow(tidy(compare), "x long, y long")
 
 
 def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:

@@ -25,6 +25,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowmill.llm.common import tidy
+
 FIT_ROWS = 10_000
 FOLDS = 5
 THRESHOLD = 0.3
@@ -164,7 +166,7 @@ def with_score(docs: DataFrame, weights: np.ndarray, bias: float, into: str = "s
         raise ValueError(f"column {into!r} is there already")
     for field in schema:
         field.nullable = True
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_scored")).mapInArrow(work, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_scored")).mapInArrow(tidy(work), schema)
 
 
 def report(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, threshold: float = THRESHOLD) -> DataFrame:
