@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from flowmill.llm import words
 
 MARK = "\x01"  # separates words that are encoded together
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 KEPT_WORDS = 400_000  # words of which a worker remembers the ids, twice: the latest and those before
 JOINED = 2000
 SPACE = re.compile(r"[ \t\n\v\f\r]")
@@ -47,9 +47,9 @@ class WordEncoder:
         self.full = Tokenizer.from_file(path)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        config = json.loads(self.full.to_str())
+        steps = [None if part is None else json.loads(part.__getstate__()) for part in (self.full.normalizer, self.full.pre_tokenizer)]
         self.plain = None
-        if (config["normalizer"], config["pre_tokenizer"]) == (NORMALIZER, PRE_TOKENIZER):
+        if steps == [NORMALIZER, PRE_TOKENIZER]:
             # lower-case letters pass those steps unchanged, so the model alone gives their ids
             self.plain = Tokenizer(self.full.model)
             self.plain.pre_tokenizer = pre_tokenizers.Sequence(
