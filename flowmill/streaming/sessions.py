@@ -5,7 +5,7 @@ events of a session are taken in the order of time, then event id. An event that
 session is late: it gets the features of the events kept then, is marked as late, and changes no state. On input that
 comes in order the features are those of the batch windows.
 
-The state is one short row per session that has been seen, and stays: keep it on disk
+The state holds a short entry per session that has been seen, and stays, in one row per bucket of sessions: keep it on disk
 (:func:`flowmill.streaming.events.keep_state_on_disk`).
 """
 
@@ -15,11 +15,14 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from flowmill.operators.sessions import ORDER, PREVIOUS_COUNT, PREVIOUS_MEANS
 from flowmill.sources.schemas import SESSION_KEYS
 
+SESSION, BUCKET = "_session", "_session_bucket"
+BUCKETS = 256
 FEATURES = "prev_bytes_mean_3 double, prev_packet_mean_3 double, prev_event_count_3 long, late boolean"
 
 
@@ -28,29 +31,38 @@ def _mean(values: list) -> float | None:
     return sum(known) / len(known) if known else None
 
 
-def session_features(flows: DataFrame, keys: tuple[str, ...] = SESSION_KEYS, order: tuple[str, str] = ORDER, n: int = 3) -> DataFrame:
-    """``flows`` (a stream with ``bytes_log``, ``packet_log`` and ``packet_count``) with :data:`FEATURES`."""
+def session_features(flows: DataFrame, keys: tuple[str, ...] = SESSION_KEYS, order: tuple[str, str] = ORDER, n: int = 3,
+                     buckets: int = BUCKETS) -> DataFrame:
+    """``flows`` (a stream with ``bytes_log``, ``packet_log`` and ``packet_count``) with :data:`FEATURES`.
+
+    Sessions go to ``buckets`` groups by the hash of their keys, and a group's state holds its sessions: a call per group
+    and micro-batch, not per session."""
     measured = [*PREVIOUS_MEANS.values(), *PREVIOUS_COUNT.values()]
     columns = flows.columns
     types = dict(flows.dtypes)
-    schema = ", ".join(f"`{c}` {types[c]}" for c in columns) + ", " + FEATURES
-    kept = f"events array<array<double>>, at {types[order[0]]}, then {types[order[1]]}"
+    schema = ", ".join(f"`{c}` {types[c]}" for c in columns) + f", `{SESSION}` string, " + FEATURES
+    kept = f"sessions array<string>, events array<array<array<double>>>, at array<{types[order[0]]}>, then array<{types[order[1]]}>"
 
     def follow(_, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        events, *last = state.get if state.exists else ([], None, None)
-        events = [list(e) for e in events]
-        # a session's events of one micro-batch; Arrow gives them in parts
-        rows = pd.concat(list(frames)).sort_values(list(order), kind="stable")
+        known = {}
+        if state.exists:
+            for session, events, at, then in zip(*state.get):
+                known[session] = ([list(e) for e in events], at, then)
+        # the events of a group's sessions in one micro-batch; Arrow gives them in parts
+        rows = pd.concat(list(frames)).sort_values([SESSION, *order], kind="stable")[[*columns, SESSION]]
         values = [[None if pd.isna(v) else float(v) for v in row] for row in rows[measured].itertuples(index=False)]
         found = []
-        for place, row in zip(zip(*(rows[c].tolist() for c in order)), values):
+        for session, place, row in zip(rows[SESSION].tolist(), zip(*(rows[c].tolist() for c in order)), values):
+            events, *last = known.get(session, ([], None, None))
             late = last[0] is not None and place < tuple(last)
             *means, counted = zip(*events) if events else [[]] * len(measured)
             found.append((*map(_mean, means), sum(v is not None for v in counted), late))
             if not late:
-                events, last = (events + [row])[-n:], place
-        state.update((events, *last))
+                known[session] = ((events + [row])[-n:], *place)
+        state.update(tuple(map(list, zip(*((s, *v) for s, v in known.items())))))
         names = [*PREVIOUS_MEANS, *PREVIOUS_COUNT, "late"]
         yield rows.reset_index(drop=True).join(pd.DataFrame(found, columns=names))
 
-    return flows.groupBy(*keys).applyInPandasWithState(follow, schema, kept, "append", GroupStateTimeout.NoTimeout)
+    keyed = flows.withColumn(SESSION, F.to_json(F.struct(*keys))).withColumn(BUCKET, F.pmod(F.xxhash64(SESSION), F.lit(buckets)))
+    found = keyed.groupBy(BUCKET).applyInPandasWithState(follow, schema, kept, "append", GroupStateTimeout.NoTimeout)
+    return found.drop(SESSION)

@@ -115,3 +115,22 @@ def test_session_features_follow_the_stream(spark, flows, tmp_path):
     for r in want:
         for c in (*batch.PREVIOUS_MEANS, *batch.PREVIOUS_COUNT):
             assert got[r["event_id"]][c] == (None if r[c] is None else pytest.approx(r[c])), (r["event_id"], c)
+
+
+def test_session_features_keep_state_by_bucket(spark, flows, tmp_path):
+    path = str(tmp_path / "flows")
+    for k in range(2):  # 40 sessions of one event a file, the second file in order behind the first
+        made = [{"event_id": 100 * k + p, "timestamp": 1000 + k, "packet_count": 3 + k, "src_port": 7 + p} for p in range(40)]
+        df = flows(*made).withColumns(flow.log_columns())
+        df.coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    out = str(tmp_path / "out")
+    run = events.write_files(sessions.session_features(stream, buckets=4), out, str(tmp_path / "progress"), finish=True)
+    run.awaitTermination()
+    assert run.lastProgress["stateOperators"][0]["numRowsTotal"] <= 4  # a row per bucket, not per session
+    got = {r["event_id"]: r for r in spark.read.parquet(out).collect()}
+    assert sorted(got) == [100 * k + p for k in range(2) for p in range(40)] and "_session" not in spark.read.parquet(out).columns
+    for p in range(40):
+        assert got[p]["prev_event_count_3"] == 0 and got[p]["prev_bytes_mean_3"] is None
+        assert got[100 + p]["prev_event_count_3"] == 1 and not got[100 + p]["late"]
+        assert got[100 + p]["prev_packet_mean_3"] == pytest.approx(got[p]["packet_log"])
