@@ -3,7 +3,6 @@ stream that ends at the last file, and the sink's table is the result."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from flowmill.catalog import models
@@ -139,8 +138,9 @@ SELECT event_id, {r('prev_bytes_mean_3')}, {r('prev_packet_mean_3')}, prev_event
 def stream_session_features(spark, sf_dir):
     """Events in order, a file after another: the windows of the batch job from a session's last three events."""
     path = new_dir(spark, "topic")
-    sent = event_messages(spark, sf_dir).withColumn("nth", F.ntile(FILES).over(Window.orderBy("message_time", F.col("key").cast("long"))))
-    sent = pinned(sent, "ordered")
+    # ranges of time, then event id, one after another: files in order without sorting all events in one task
+    ordered = event_messages(spark, sf_dir).repartitionByRange(FILES, "message_time", F.col("key").cast("long"))
+    sent = pinned(ordered.withColumn("nth", F.spark_partition_id() + 1), "ordered")
     for i in range(1, FILES + 1):
         sent.filter(F.col("nth") == i).drop("nth").coalesce(1).write.mode("append").parquet(path)
     flows = messages.usable(events.decoded(_stream(spark, path, files=1))).withColumn("event_id", F.col("event_id").cast("long"))
