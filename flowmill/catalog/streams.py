@@ -20,21 +20,26 @@ from flowmill.streaming import events, ledger, outbox, scoring
 from flowmill.streaming import sessions as stream_sessions
 
 FILES = 4
+FILE_ROWS = 500_000  # messages of a topic file at most: no task writes or reads a share of the topic that grows with it
 
 
-def _topic(spark, sf_dir, broken: bool = False, copies: bool = False) -> str:
+def _topic(spark, sf_dir, broken: bool = False, copies: bool = False) -> tuple[str, int]:
+    """The messages as ``FILES`` times ``scale`` files, and that ``scale``."""
     path = new_dir(spark, "topic")
     out = event_messages(spark, sf_dir, broken)
     if copies:  # every fifth event is delivered again at another offset
         again = out.filter(F.col("key").cast("long") % 5 == 0).withColumn("offset", F.col("offset") + 1)
         out = out.unionByName(again)
+    scale = max(1, -(-out.count() // (FILES * FILE_ROWS)))
     # by hash of the message: each file spans the whole time, in no order
-    out.repartition(FILES, F.xxhash64("key", "offset")).write.parquet(path)
-    return path
+    out.repartition(FILES * scale, F.xxhash64("key", "offset")).write.parquet(path)
+    return path, scale
 
 
-def _stream(spark, path: str, files: int = 2):
-    return events.file_stream(spark, path, files_per_batch=files)
+def _stream(spark, topic: tuple[str, int], files: int = 2):
+    """The topic in ``FILES / files`` micro-batches, however many files it has."""
+    path, scale = topic
+    return events.file_stream(spark, path, files_per_batch=files * scale)
 
 
 MESSAGE_COLUMNS = ("key", "value", "partition", "offset", "message_time")
@@ -69,7 +74,7 @@ def empty_polls(spark, sf_dir):
     kind = F.col("key").cast("long") % 7
     blank = F.when(kind == 0, F.lit(None).cast("string")).when(kind == 1, F.lit("  ")).otherwise(F.col("value"))
     event_messages(spark, sf_dir).withColumn("value", blank).write.parquet(path)
-    return _finish(events.present(_stream(spark, path)).select("key"), spark)
+    return _finish(events.present(_stream(spark, (path, 1))).select("key"), spark)
 
 
 @query("stream_land", f"WITH {TRAFFIC} SELECT CAST(event_id AS VARCHAR) AS event_id, {FLOW_SQL}, attack FROM traffic")
@@ -143,7 +148,7 @@ def stream_session_features(spark, sf_dir):
     sent = pinned(ordered.withColumn("nth", F.spark_partition_id() + 1), "ordered")
     for i in range(1, FILES + 1):
         sent.filter(F.col("nth") == i).drop("nth").coalesce(1).write.mode("append").parquet(path)
-    flows = messages.usable(events.decoded(_stream(spark, path, files=1))).withColumn("event_id", F.col("event_id").cast("long"))
+    flows = messages.usable(events.decoded(_stream(spark, (path, 1), files=1))).withColumn("event_id", F.col("event_id").cast("long"))
     found = stream_sessions.session_features(flows.withColumns(log_columns()))
     return rounded(_finish(found.select("event_id", *PREVIOUS_MEANS, *PREVIOUS_COUNT, "late"), spark))
 

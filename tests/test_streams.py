@@ -134,3 +134,17 @@ def test_session_features_keep_state_by_bucket(spark, flows, tmp_path):
         assert got[p]["prev_event_count_3"] == 0 and got[p]["prev_bytes_mean_3"] is None
         assert got[100 + p]["prev_event_count_3"] == 1 and not got[100 + p]["late"]
         assert got[100 + p]["prev_packet_mean_3"] == pytest.approx(got[p]["packet_log"])
+
+
+def test_topic_files_stay_small_as_the_topic_grows(spark, sf_dir, monkeypatch):
+    from flowmill.catalog import streams as catalog
+
+    def result():
+        return sorted(map(tuple, catalog.stream_quarantine(spark, sf_dir).collect()), key=str)
+
+    whole = result()
+    monkeypatch.setattr(catalog, "FILE_ROWS", 40)
+    path, scale = catalog._topic(spark, sf_dir, broken=True)
+    sizes = [r["n"] for r in spark.read.parquet(path).groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()]
+    assert scale > 1 and len(sizes) == catalog.FILES * scale and max(sizes) <= 2 * 40  # no file holds a share of all messages
+    assert result() == whole
