@@ -105,17 +105,30 @@ SPELLINGS = (
     (r"\bcentre(s|)\b", r"center\1"), (r"\bnon commercial", r"noncommercial"), (r"\bper cent\b", r"percent"),
     (r"\bcopyright owner", r"copyright holder"), (r"\bwhilst\b", r"while"), (r"\bhttps\b", r"http"),
 )
+#: A literal that every match of the rule of the same place holds: where a text lacks it, that rule leaves it as it is.
+NEEDLES = ("is", "our", "ogue", "ll", "dgement", "licen", "sub license", "centre", "non commercial", "per cent",
+           "copyright owner", "whilst", "https")
 
 
 def canonical(text: Column) -> Column:
-    out = F.regexp_replace(F.coalesce(text, F.lit("")), COPYRIGHT, " ")
-    return _words(F.regexp_replace(out, RESERVED, " "))
+    out = _unless(F.coalesce(text, F.lit("")), _states, lambda s: F.regexp_replace(s, COPYRIGHT, " "))
+    return _words(_unless(out, lambda s: s.contains("eserved"), lambda s: F.regexp_replace(s, RESERVED, " ")))
+
+
+def _states(text: Column) -> Column:
+    """False only where ``COPYRIGHT`` cannot match: a text without any spelling of copyright, (c) or ©."""
+    return F.translate(text, "COPYRIGHT", "copyright").contains("copyright") | text.contains("(c)") | text.contains("(C)") | text.contains("©")
+
+
+def _unless(out: Column, holds, then) -> Column:
+    """``then(out)`` where ``holds(out)``, else ``out`` unchanged; ``out`` is bound once, so rules in a row stay linear."""
+    return F.transform(F.array(out), lambda s: F.when(holds(s), then(s)).otherwise(s))[0]
 
 
 def _words(out: Column) -> Column:
     out = F.trim(F.lower(F.regexp_replace(out, "[^A-Za-z0-9]+", " ")))
-    for pattern, by in SPELLINGS:
-        out = F.regexp_replace(out, pattern, by.replace("\\", "$"))
+    for (pattern, by), needle in zip(SPELLINGS, NEEDLES, strict=True):
+        out = _unless(out, lambda s, n=needle: s.contains(n), lambda s, p=pattern, b=by: F.regexp_replace(s, p, b.replace("\\", "$")))
     return out
 
 
@@ -133,19 +146,22 @@ def scan(docs: DataFrame, known: DataFrame, notices: DataFrame) -> DataFrame:
     ``notices`` is a short fixed list, so its digests become a literal map."""
     short = {r["digest"]: r["license"] for r in known_digests(notices).collect()}
     names = F.create_map(*[F.lit(x) for pair in sorted(short.items()) for x in pair])
-    lines = F.split(F.coalesce("text", F.lit("")), "\n")
     found = F.filter(
-        F.transform(lines, lambda line: F.try_element_at(names, F.sha2(canonical(line), 256))),
+        F.transform("lines", lambda line: F.try_element_at(names, F.sha2(canonical(line), 256))),
         lambda name: name.isNotNull(),
     )
     ends = notices.select(canonical(F.col("text")).alias("words"), "license").filter("words <> ''").distinct().collect()
-    stated = F.transform(F.filter(lines, lambda line: line.rlike(COPYRIGHT)), _words)
+    stated = F.transform(F.filter("lines", lambda line: _states(line) & line.rlike(COPYRIGHT)), _words)
 
     def ending(words: str, name: str) -> Column:
-        return F.transform(F.filter(stated, lambda line: F.endswith(line, F.lit(f" {words}"))), lambda _: F.lit(name))
+        return F.transform(F.filter("stated", lambda line: F.endswith(line, F.lit(f" {words}"))), lambda _: F.lit(name))
 
+    # lines and the copyright lines are columns of their own, made once a row, not once for each notice that reads them
     behind = F.flatten(F.array(*[ending(r["words"], r["license"]) for r in ends]))
-    rows = docs.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("digest"), found.alias("found"), behind.alias("behind"))
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    rows = docs.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("digest"), lines.alias("lines"))
+    rows = rows.select("doc_id", "digest", found.alias("found"), stated.alias("stated"))
+    rows = rows.select("doc_id", "digest", "found", behind.alias("behind"))
     return rows.join(known_digests(known), "digest", "left").select(
         "doc_id", "digest", "license", F.size("found").cast("long").alias("n_notices"), F.array_min("found").alias("notice"),
         F.array_sort(F.array_distinct(F.concat("found", "behind"))).alias("notices"),

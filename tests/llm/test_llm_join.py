@@ -416,6 +416,16 @@ def test_all_licences_of_a_text(spark):
     assert {r["doc_id"]: (r["n_notices"], r["notice"]) for r in got}[1] == (3, "GPL-3.0")
 
 
+def test_licence_lines_are_split_and_searched_once_a_row(spark):
+    """Each notice reads the same copyright lines; they are made once, not once for each notice."""
+    known, notices = (spark.createDataFrame(list(r), "license string, text string") for r in (licenses.TEXTS, licenses.NOTICES))
+    docs = spark.createDataFrame([(1, "(c) 2020 Y. Licensed under CC BY 4.0.\nwhilst https")], "doc_id long, text string")
+    found = licenses.scan(docs, known, notices)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") == 1 and plan.count("split(") == 1
+    assert [(r["n_notices"], r["notices"]) for r in found.collect()] == [(0, ["CC-BY-4.0"])]
+
+
 def test_words_built_alike_do_not_collide(spark):
     """Thue-Morse words: sums of powers of any odd base agree on them modulo 2^64."""
     bits = [bin(i).count("1") % 2 for i in range(4096)]
